@@ -100,8 +100,3 @@ RAW_ROI_PROFILE = RateProfile(1, 2, 2, roi=UNROUNDED)
 UNROUNDED_PROFILE = RateProfile(
     UNROUNDED, UNROUNDED, UNROUNDED, roi=UNROUNDED, cost_per_order=UNROUNDED
 )
-
-
-# Dimension tables up to this many rows are hinted as broadcast; larger ones are left to the
-# optimizer, which picks the join from the sizes it measures.
-BROADCAST_ROW_LIMIT = 10_000

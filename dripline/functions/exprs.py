@@ -25,23 +25,33 @@ DEFAULT_DATE_FORMATS = (
 )
 
 
-def half_even(value: Column, places: int | None) -> Column:
-    """Round the scaled value half to even, as numpy does; ``None`` leaves it alone."""
+def half_even_sql(value: str, places: int | None) -> str:
+    """SQL that rounds the scaled value half to even, as numpy does; ``None`` leaves it alone."""
     if places is None:
         return value
     if places == 0:
-        return F.rint(value)
-    scale = float(10**places)
-    return F.rint(value * F.lit(scale)) / F.lit(scale)
+        return f"rint({value})"
+    scale = f"{10**places}.0D"
+    return f"rint(({value}) * {scale}) / {scale}"
 
 
-def guarded(numerator: Column, denominator: Column, places: int | None, percent: bool) -> Column:
-    """``numerator / denominator`` (x 100 for a percentage), or 0 without a denominator."""
-    top, bottom = numerator.cast("double"), denominator.cast("double")
-    ratio = F.try_divide(top, bottom)
+def half_even(value: str, places: int | None) -> Column:
+    """:func:`half_even_sql` as a column."""
+    return F.expr(half_even_sql(value, places))
+
+
+def guarded_sql(numerator: str, denominator: str, places: int | None, percent: bool) -> str:
+    """SQL of ``numerator / denominator`` (x 100 for a percentage), 0 without a denominator."""
+    top, bottom = f"cast({numerator} AS double)", f"cast({denominator} AS double)"
+    ratio = f"try_divide({top}, {bottom})"
     if percent:
-        ratio = ratio * F.lit(100.0)
-    return F.when(bottom > 0, half_even(ratio, places)).otherwise(F.lit(0.0))
+        ratio = f"{ratio} * 100.0D"
+    return f"CASE WHEN {bottom} > 0.0D THEN {half_even_sql(ratio, places)} ELSE 0.0D END"
+
+
+def guarded(numerator: str, denominator: str, places: int | None, percent: bool) -> Column:
+    """:func:`guarded_sql` as a column."""
+    return F.expr(guarded_sql(numerator, denominator, places, percent))
 
 
 def missing_to_null(text: Column) -> Column:

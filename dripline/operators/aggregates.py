@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from dripline.config import (
     CHANNEL_PROFILE,
@@ -24,8 +24,8 @@ from dripline.config import (
     MetricConfig,
     RateProfile,
 )
-from dripline.functions.exprs import guarded, week_label, week_start
-from dripline.operators.lookups import with_cost
+from dripline.functions.exprs import guarded_sql, week_label, week_start
+from dripline.operators.lookups import local_table, with_cost
 from dripline.operators.rows import RESULT_NAMES, rate_columns
 from dripline.schema import CORE_VOLUMES, VOLUME_NAMES
 
@@ -37,31 +37,38 @@ def channel_cube(
     df: DataFrame,
     keys: Sequence[str],
     volumes: Sequence[str] = CORE_VOLUMES,
-    extra: Mapping[str, Column] | None = None,
+    extra: Mapping[str, str] | None = None,
 ) -> DataFrame:
-    """Volume sums and ``campaigns`` per (keys, channel), unpriced."""
-    sums = [F.sum(name).alias(VOLUME_NAMES[name]) for name in volumes]
-    extras = [column.alias(name) for name, column in (extra or {}).items()]
+    """Volume sums and ``campaigns`` per (keys, channel), unpriced.
+
+    ``extra`` adds further SQL aggregates by name.
+    """
+    measures = {VOLUME_NAMES[name]: f"sum({name})" for name in volumes}
+    measures = {"campaigns": "count(1)", **measures, **(extra or {})}
     grouping = dict.fromkeys([*keys, "channel"])
-    return df.groupBy(*grouping).agg(F.count(F.lit(1)).alias("campaigns"), *sums, *extras)
+    columns = [F.expr(f"{sql} AS {name}") for name, sql in measures.items()]
+    return df.groupBy(*grouping).agg(*columns)
 
 
 def _price_and_sum(cube: DataFrame, keys: Sequence[str], config: MetricConfig) -> DataFrame:
     """Price a channel cube and sum it to ``keys`` in exact types."""
     measures = [name for name in ("campaigns", *_ALL) if name in cube.columns]
-    sums = [F.sum(name).alias(name) for name in (*measures, "cost")]
+    sums = [F.expr(f"sum({name}) AS {name}") for name in (*measures, "cost")]
     return with_cost(cube, config).groupBy(*keys).agg(*sums)
 
 
 def _finish(totals: DataFrame, config: MetricConfig) -> DataFrame:
     """Result types (bigint count, double sums), 0 for an empty selection, and GTV."""
-    columns: dict[str, Column] = {}
-    for name in ("campaigns", *_ALL, "cost"):
-        if name in totals.columns:
-            kind = "bigint" if name == "campaigns" else "double"
-            columns[name] = F.coalesce(F.col(name).cast(kind), F.lit(0).cast(kind))
-    totals = totals.withColumns(columns)
-    return totals.withColumn("gtv", F.col("orders") * F.lit(float(config.aov)))
+    columns = []
+    for name in totals.columns:
+        if name == "campaigns":
+            columns.append(f"coalesce(cast({name} AS bigint), 0L) AS {name}")
+        elif name in _ALL or name == "cost":
+            columns.append(f"coalesce(cast({name} AS double), 0.0D) AS {name}")
+        else:
+            columns.append(f"`{name}`")
+    gtv = f"coalesce(cast(orders AS double), 0.0D) * {float(config.aov)}D AS gtv"
+    return totals.selectExpr(*columns, gtv)
 
 
 def roll_up(cube: DataFrame, keys: Sequence[str], config: MetricConfig) -> DataFrame:
@@ -71,7 +78,7 @@ def roll_up(cube: DataFrame, keys: Sequence[str], config: MetricConfig) -> DataF
 
 def with_rates(df: DataFrame, config: MetricConfig, profile: RateProfile) -> DataFrame:
     """Add the profile's rates to a frame of totals."""
-    return df.withColumns(rate_columns(config, profile, RESULT_NAMES))
+    return df.selectExpr("*", *rate_columns(config, profile, RESULT_NAMES))
 
 
 def totals_by(
@@ -206,33 +213,27 @@ def kpi_totals(df: DataFrame, config: MetricConfig) -> DataFrame:
 def kpi_from_cube(cube: DataFrame, config: MetricConfig) -> DataFrame:
     """KPI row from a (journey, channel) cube; one row per journey makes a plain count distinct."""
     per_journey = _price_and_sum(cube, ["journey_name"], config)
-    sums = [F.sum(name).alias(name) for name in (*_CORE, "cost")]
-    totals = per_journey.agg(F.count("journey_name").alias("journeys"), *sums)
-    whole = {name: F.coalesce(F.col(name).cast("bigint"), F.lit(0)) for name in _CORE}
-    counted = totals.withColumns({**whole, "cost": F.coalesce(F.col("cost").cast("double"), F.lit(0.0))})
-    valued = counted.withColumn("gtv", F.col("orders").cast("double") * F.lit(float(config.aov)))
-    return with_rates(valued, config, UNROUNDED_PROFILE)
+    sums = [F.expr(f"sum({name}) AS {name}") for name in (*_CORE, "cost")]
+    totals = per_journey.agg(F.expr("count(journey_name) AS journeys"), *sums)
+    counted = totals.selectExpr(
+        "journeys",
+        *[f"coalesce(cast({name} AS bigint), 0L) AS {name}" for name in _CORE],
+        "coalesce(cast(cost AS double), 0.0D) AS cost",
+        f"coalesce(cast(cast(orders AS bigint) AS double), 0.0D) * {float(config.aov)}D AS gtv",
+    )
+    return with_rates(counted, config, UNROUNDED_PROFILE)
 
 
 def portfolio_insights(df: DataFrame, config: MetricConfig) -> DataFrame:
     """Grand totals where conversion is orders per delivered message."""
-    totals = kpi_totals(df, config).select(
-        F.col("sent").alias("total_sent"),
-        F.col("delivered").alias("total_delivered"),
-        F.col("orders").alias("total_orders"),
-        F.col("cost").alias("total_cost"),
-        F.col("gtv").alias("total_gtv"),
-    )
-    return totals.withColumns(
-        {
-            "overall_roi": guarded(F.col("total_gtv"), F.col("total_cost"), None, False),
-            "overall_delivery_rate": guarded(
-                F.col("total_delivered"), F.col("total_sent"), None, True
-            ),
-            "overall_conversion_rate": guarded(
-                F.col("total_orders"), F.col("total_delivered"), None, True
-            ),
-        }
+    ratios = {
+        "overall_roi": guarded_sql("gtv", "cost", None, percent=False),
+        "overall_delivery_rate": guarded_sql("delivered", "sent", None, percent=True),
+        "overall_conversion_rate": guarded_sql("orders", "delivered", None, percent=True),
+    }
+    totals = [f"{name} AS total_{name}" for name in ("sent", "delivered", "orders", "cost", "gtv")]
+    return kpi_totals(df, config).selectExpr(
+        *totals, *[f"{sql} AS {name}" for name, sql in ratios.items()]
     )
 
 
@@ -258,17 +259,16 @@ def journey_totals(df: DataFrame, config: MetricConfig) -> DataFrame:
 
 def channel_sent_totals(df: DataFrame, channels: Sequence[str] = FIXED_CHANNELS) -> DataFrame:
     """Sent per listed channel, 0 for a channel that never occurs."""
-    spark = df.sparkSession
-    wanted = spark.createDataFrame([(name,) for name in channels], "channel string")
+    wanted = local_table(df.sparkSession, [(name,) for name in channels], ("channel",))
     sent = df.where(F.col("channel").isin(*channels)).groupBy("channel").agg(F.sum("sent").alias("s"))
-    return wanted.join(sent, "channel", "left").select(
-        "channel", F.coalesce(F.col("s").cast("double"), F.lit(0.0)).alias("sent")
+    return wanted.join(sent, "channel", "left").selectExpr(
+        "channel", "coalesce(cast(s AS double), 0.0D) AS sent"
     )
 
 
-def date_range() -> dict[str, Column]:
+def date_range() -> dict[str, str]:
     """Extra measures of a cube that also serves the report header."""
-    return {"min_date": F.min(F.to_date("day")), "max_date": F.max(F.to_date("day"))}
+    return {"min_date": "min(to_date(day))", "max_date": "max(to_date(day))"}
 
 
 def report_header(df: DataFrame) -> DataFrame:

@@ -7,9 +7,11 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window, functions as F
 
 from dripline.config import MetricConfig
+from dripline.functions.exprs import guarded
 from dripline.operators.aggregates import channel_cube, journey_daily, kpi_from_cube
-from dripline.operators.quantiles import quantile_map
+from dripline.operators.quantiles import exact_quantiles
 from dripline.operators.ranking import top_n
+from dripline.session import materialize
 
 TIER_COLUMNS = ("roi", "ctr", "conversion_rate", "orders_per_sent", "delivery_rate")
 VOLUME_FLAG_COLUMNS = ("sent", "delivered", "clicks", "orders")
@@ -18,15 +20,15 @@ VOLUME_FLAG_COLUMNS = ("sent", "delivered", "clicks", "orders")
 def performance_tiers(summary: DataFrame, columns: Sequence[str] = TIER_COLUMNS) -> DataFrame:
     """Add ``<column>_tier`` from the column's 10th, 25th, 75th and 90th percentile.
 
-    The first matching tier wins: excellent, good, very_poor, poor, none. The thresholds
-    enter as a scalar subquery. Pass a summary that holds only the columns you need, so that
-    both uses of it share one exchange, or materialize it first.
+    The first matching tier wins: excellent, good, very_poor, poor, none. The summary is
+    written once, so finding the thresholds does not compute it a second time.
     """
-    limits = quantile_map(summary, columns, [0.10, 0.25, 0.75, 0.90]).scalar()
+    summary = materialize(summary)
+    limits = exact_quantiles(summary, columns, [0.10, 0.25, 0.75, 0.90])
     tiers = {}
     for name in columns:
         value = F.col(name)
-        p10, p25, p75, p90 = (limits[name][i] for i in range(4))
+        p10, p25, p75, p90 = (F.lit(limit) for limit in limits[name])
         tiers[f"{name}_tier"] = (
             F.when(value >= p90, "excellent")
             .when(value >= p75, "good")
@@ -39,9 +41,10 @@ def performance_tiers(summary: DataFrame, columns: Sequence[str] = TIER_COLUMNS)
 
 def high_volume_flags(summary: DataFrame, columns: Sequence[str] = VOLUME_FLAG_COLUMNS) -> DataFrame:
     """Add ``<column>_high``: at or above the column's 95th percentile."""
-    limits = quantile_map(summary, columns, [0.95]).scalar()
+    summary = materialize(summary)
+    limits = exact_quantiles(summary, columns, [0.95])
     return summary.withColumns(
-        {f"{name}_high": F.col(name) >= limits[name][0] for name in columns}
+        {f"{name}_high": F.col(name) >= F.lit(limits[name][0]) for name in columns}
     )
 
 
@@ -63,19 +66,14 @@ def conversion_funnel(df: DataFrame, config: MetricConfig) -> DataFrame:
                 F.lit(position).alias("stage"),
                 F.lit(label).alias("label"),
                 value.alias("value"),
-                _share(name, "sent").alias("pct_of_first"),
-                _share(name, before).alias("pct_of_previous"),
+                guarded(name, "sent", None, percent=True).alias("pct_of_first"),
+                guarded(name, before, None, percent=True).alias("pct_of_previous"),
             )
         )
         before = name
     return totals.select(F.inline(F.array(*entries)))
 
 
-def _share(part: str, whole: str):
-    top, bottom = F.col(part).cast("double"), F.col(whole).cast("double")
-    return F.when(bottom > 0, F.try_divide(top, bottom) * F.lit(100.0)).otherwise(F.lit(0.0))
-
-
 def volume_share(summary: DataFrame, n: int = 8) -> DataFrame:
     """Share of each top-``n`` journey in the messages of those ``n``."""
     top = top_n(summary.select("journey_name", "sent"), "sent", n)

@@ -1,4 +1,4 @@
-"""Exact quantiles that never gather all values in one task."""
+"""Exact quantiles of journey-level tables, in one task only while they are small."""
 
 from __future__ import annotations
 
@@ -6,18 +6,43 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, Window, functions as F
 
+# Up to this many rows an exact percentile fits one task easily. Above it, values are ranked
+# in buckets.
+ONE_TASK_ROWS = 200_000
+
 # Value ranges the ranking work is split into.
 _BUCKETS = 128
 
 
-def quantile_map(df: DataFrame, columns: Sequence[str], probabilities: Sequence[float]) -> DataFrame:
+def exact_quantiles(
+    df: DataFrame,
+    columns: Sequence[str],
+    probabilities: Sequence[float],
+    one_task_rows: int = ONE_TASK_ROWS,
+) -> dict[str, list[float | None]]:
+    """Linearly interpolated quantiles per column, in the order of ``probabilities``.
+
+    Runs at once, like ``DataFrame.approxQuantile``, and reads ``df`` more than once: pass a
+    materialized table. A column without values gives ``None``.
+    """
+    if df.count() <= one_task_rows:
+        wanted = F.array(*[F.lit(float(p)) for p in probabilities])
+        row = df.agg(*[F.percentile(name, wanted).alias(name) for name in columns]).first()
+        found = row.asDict()
+    else:
+        found = ranked_quantiles(df, columns, probabilities).first()["quantiles"]
+    return {name: found.get(name) or [None] * len(probabilities) for name in columns}
+
+
+def ranked_quantiles(
+    df: DataFrame, columns: Sequence[str], probabilities: Sequence[float]
+) -> DataFrame:
     """One row, one map: column name -> linearly interpolated quantiles, in the given order.
 
     Equal values are counted together first. An approximate histogram then only chooses the
     bucket limits; exact counts per bucket give each bucket its starting rank, and values are
     ranked inside their bucket. Every step is a grouped aggregate or a window over about one
-    part in 128 of the distinct values, so the result is exact at any row count. Use the
-    frame as a scalar subquery: ``quantile_map(...).scalar()["roi"][0]``.
+    part in 128 of the distinct values, so the result is exact at any row count.
     """
     long = df.select(*[F.col(name).cast("double").alias(name) for name in columns]).unpivot(
         [], list(columns), "metric", "value"

@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from dripline.config import OMIT, ROW_PROFILE, MetricConfig, RateProfile
-from dripline.functions.exprs import guarded, normalize_text, parse_day, parse_number
+from dripline.functions.exprs import guarded_sql, normalize_text, parse_day, parse_number
 from dripline.operators.lookups import with_cost, with_segments
 from dripline.schema import (
     DATE_COLUMNS,
@@ -45,28 +45,16 @@ def parse_days(df: DataFrame, strict: bool = False) -> DataFrame:
     return df.withColumns({name: parse_day(F.col(name), strict) for name in present})
 
 
-def rate_columns(config: MetricConfig, profile: RateProfile, names: dict[str, str]) -> dict[str, Column]:
-    """Rate and value columns of a profile over the named volume columns."""
-    sent, delivered, clicks, orders = (F.col(names[k]) for k in ("sent", "delivered", "clicks", "orders"))
-    cost, gtv = F.col("cost"), F.col("gtv")
-    kept_share = F.lit(1 - config.take_rate)
-    parts = {
-        "delivery_rate": (delivered, sent, True),
-        "ctr": (clicks, delivered, True),
-        "conversion_rate": (orders, clicks, True),
-        "orders_per_sent": (orders, sent, True),
-        "roi": (gtv, cost, False),
-        "roi_take_rate": (gtv * kept_share, cost, False),
-        "cost_per_order": (cost, orders, False),
-    }
-    columns = {}
-    for name, (numerator, denominator, percent) in parts.items():
-        places = getattr(profile, name)
-        if places != OMIT:
-            columns[name] = guarded(numerator, denominator, places, percent)
-    return columns
-
-
+# Metric -> (numerator, denominator, is a percentage).
+_RATES = {
+    "delivery_rate": ("{delivered}", "{sent}", True),
+    "ctr": ("{clicks}", "{delivered}", True),
+    "conversion_rate": ("{orders}", "{clicks}", True),
+    "orders_per_sent": ("{orders}", "{sent}", True),
+    "roi": ("gtv", "cost", False),
+    "roi_take_rate": ("gtv * {kept_share}D", "cost", False),
+    "cost_per_order": ("cost", "{orders}", False),
+}
 RESULT_NAMES = {name: name for name in ("sent", "delivered", "clicks", "orders")}
 _ROW_NAMES = {
     "sent": "sent",
@@ -76,17 +64,29 @@ _ROW_NAMES = {
 }
 
 
+def rate_columns(config: MetricConfig, profile: RateProfile, names: dict[str, str]) -> list[str]:
+    """SQL of the profile's rate and value columns over the named volume columns."""
+    values = {**names, "kept_share": 1 - config.take_rate}
+    columns = []
+    for name, (numerator, denominator, percent) in _RATES.items():
+        places = getattr(profile, name)
+        if places != OMIT:
+            top, bottom = numerator.format(**values), denominator.format(**values)
+            columns.append(f"{guarded_sql(top, bottom, places, percent)} AS {name}")
+    return columns
+
+
 def with_row_metrics(
     df: DataFrame, config: MetricConfig, profile: RateProfile = ROW_PROFILE
 ) -> DataFrame:
     """Add cost, GTV and the rates of each report row."""
-    valued = with_cost(df, config).withColumns(
-        {
-            "cost": F.col("cost").cast("double"),
-            "gtv": F.col("ct_conversions").cast("double") * F.lit(float(config.aov)),
-        }
+    kept = [f"`{name}`" for name in df.columns if name not in ("cost", "gtv")]
+    valued = with_cost(df, config).selectExpr(
+        *kept,
+        "cast(cost AS double) AS cost",
+        f"cast(ct_conversions AS double) * {float(config.aov)}D AS gtv",
     )
-    return valued.withColumns(rate_columns(config, profile, _ROW_NAMES))
+    return valued.selectExpr("*", *rate_columns(config, profile, _ROW_NAMES))
 
 
 def enrich(df: DataFrame, config: MetricConfig) -> DataFrame:

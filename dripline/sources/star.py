@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from dripline.config import MetricConfig
 
@@ -19,8 +19,6 @@ PRIORITIES = ("1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW")
 # Channel by remainder of the supplier key; the last two have no price.
 CHANNELS = ("Email", "Push", "SMS", "WhatsApp", "InApp", "RCS")
 
-STATUSES = {"F": "Completed", "O": "Running"}
-
 # Columns that tell apart rows of one campaign-day; together they are unique.
 ROW_KEY = (
     "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey",
@@ -43,12 +41,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-def _by_remainder(key: Column, labels: tuple[str, ...]) -> Column:
-    remainder = key % F.lit(len(labels))
-    column = F.when(remainder == 0, labels[0])
-    for i, label in enumerate(labels[1:-1], start=1):
-        column = column.when(remainder == i, label)
-    return column.otherwise(labels[-1])
+def _by_remainder(key: str, labels: tuple[str, ...]) -> str:
+    cases = " ".join(f"WHEN {i} THEN '{label}'" for i, label in enumerate(labels[:-1]))
+    return f"CASE {key} % {len(labels)} {cases} ELSE '{labels[-1]}' END"
 
 
 def campaign_fact(spark: SparkSession, sf_dir: str, keep_row_key: bool = False) -> DataFrame:
@@ -62,41 +57,34 @@ def campaign_fact(spark: SparkSession, sf_dir: str, keep_row_key: bool = False)
     orders = table(spark, sf_dir, "orders").select(
         "o_orderkey", "o_custkey", "o_orderstatus", "o_orderdate", "o_orderpriority"
     )
-    context = orders.join(customers, F.col("o_custkey") == F.col("c_custkey")).select(
+    context = orders.join(customers, F.col("o_custkey") == F.col("c_custkey")).selectExpr(
         "o_orderkey",
-        F.concat("c_mktsegment", F.lit(" / "), "o_orderpriority").alias("journey_name"),
-        F.when(F.col("o_orderstatus") == "F", STATUSES["F"])
-        .when(F.col("o_orderstatus") == "O", STATUSES["O"])
-        .otherwise("Paused")
-        .alias("status"),
-        F.to_date("o_orderdate").alias("day"),
+        "concat(c_mktsegment, ' / ', o_orderpriority) AS journey_name",
+        "CASE o_orderstatus WHEN 'F' THEN 'Completed' WHEN 'O' THEN 'Running' "
+        "ELSE 'Paused' END AS status",
+        "to_date(o_orderdate) AS day",
     )
-    lines = table(spark, sf_dir, "lineitem").select(*ROW_KEY)
-    quantity = F.col("l_quantity").cast("bigint")
-    part, supplier = F.col("l_partkey"), F.col("l_suppkey")
-    idle = F.col("l_linenumber") == 7
-
-    def volume(amount: Column, none: Column = idle) -> Column:
-        return F.when(none, F.lit(0)).otherwise(amount).cast("bigint")
-
+    # Lines numbered 7 sent nothing.
+    active = F.when(F.col("l_linenumber") == 7, F.lit(0)).otherwise(F.col("l_quantity"))
+    lines = table(spark, sf_dir, "lineitem").select(*ROW_KEY, active.cast("bigint").alias("active"))
     joined = lines.join(context, F.col("l_orderkey") == F.col("o_orderkey"))
     columns = [
-        F.concat(F.lit("C"), part.cast("string")).alias("campaign_id"),
-        F.concat(F.lit("Campaign "), part.cast("string")).alias("campaign_name"),
-        F.col("journey_name"),
-        _by_remainder(supplier, CHANNELS).alias("channel"),
-        F.col("status"),
-        F.col("day"),
-        F.to_date("l_shipdate").alias("start_date"),
-        F.col("l_linenumber").alias("source_seq"),
-        volume(quantity * 100).alias("sent"),
-        volume(quantity * (100 - part % 30)).alias("delivered"),
-        volume(quantity * (part % 50)).alias("unique_impressions"),
-        volume(quantity * (supplier % 11)).alias("unique_clicks"),
-        volume(quantity * (part % 3)).alias("unique_conversions"),
-        volume(quantity * (part % 2), idle | (supplier % 11 == 0)).alias("ct_conversions"),
-        F.col("l_extendedprice").cast("decimal(18,2)").alias("revenue_inr"),
+        "concat('C', l_partkey) AS campaign_id",
+        "concat('Campaign ', l_partkey) AS campaign_name",
+        "journey_name",
+        f"{_by_remainder('l_suppkey', CHANNELS)} AS channel",
+        "status",
+        "day",
+        "to_date(l_shipdate) AS start_date",
+        "l_linenumber AS source_seq",
+        "active * 100 AS sent",
+        "active * (100 - l_partkey % 30) AS delivered",
+        "active * (l_partkey % 50) AS unique_impressions",
+        "active * (l_suppkey % 11) AS unique_clicks",
+        "active * (l_partkey % 3) AS unique_conversions",
+        "if(l_suppkey % 11 = 0, 0L, active * (l_partkey % 2)) AS ct_conversions",
+        "cast(l_extendedprice AS decimal(18,2)) AS revenue_inr",
     ]
     if keep_row_key:
-        columns += [F.col(name) for name in ROW_KEY]
-    return joined.select(*columns)
+        columns += ROW_KEY
+    return joined.selectExpr(*columns)
