@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from dripline.config import UNKNOWN_SEGMENT, MetricConfig
 from dripline.operators.lookups import with_segments
 from dripline.operators.quantiles import exact_quantiles
+from dripline.schema import MONTH
 from dripline.session import materialize
 
 
@@ -62,8 +63,14 @@ def _user_type_predicate(
 
 
 def apply_filters(df: DataFrame, spec: FilterSpec, config: MetricConfig) -> DataFrame:
+    """Keep the selected rows. On a table stored by month, a date range also skips months."""
     predicate = spec.predicate(config.segments)
-    return df if predicate is None else df.filter(predicate)
+    if predicate is None:
+        return df
+    if MONTH in df.columns and spec.start and spec.end:
+        months = [str(bound)[:7] for bound in (spec.start, spec.end)]
+        predicate = F.col(MONTH).between(*months) & predicate
+    return df.filter(predicate)
 
 
 # Performance filter -> predicate on a journey summary.

@@ -70,3 +70,6 @@ DETAIL_COLUMNS = (
 LEGACY_DETAIL_COLUMNS = (
     "campaign_name", "journey_name", "channel", "status", "sent", "delivered", "ct_conversions",
 )
+
+# Partition column of a stored analytic table.
+MONTH = "report_month"

@@ -106,7 +106,8 @@ def read_reports(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
             F.url_decode(F.replace(file_path, F.lit("+"), F.lit("%2B"))).alias(SOURCE_RANK),
             F.col("_metadata.file_block_start").alias(SOURCE_BLOCK),
             F.monotonically_increasing_id().alias(SOURCE_ROW),
-            file_path.alias("_path"),
+            # The same spelling as in DataFrame.inputFiles, unlike the metadata path.
+            F.input_file_name().alias("_path"),
         )
         if not in_path_order:
             ranks = spark.createDataFrame(group.file_ranks, f"_path string, {SOURCE_RANK} string")

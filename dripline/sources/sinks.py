@@ -4,8 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-MONTH = "report_month"
-
+from dripline.schema import MONTH
 
 def write_combined(combined: DataFrame, path: str) -> None:
     """Combined reports as CSV part files with a header, replacing what was there."""
