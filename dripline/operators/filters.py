@@ -68,7 +68,7 @@ def apply_filters(df: DataFrame, spec: FilterSpec, config: MetricConfig) -> Data
     if predicate is None:
         return df
     if MONTH in df.columns and spec.start and spec.end:
-        months = [str(bound)[:7] for bound in (spec.start, spec.end)]
+        months = [int(str(bound)[:7].replace("-", "")) for bound in (spec.start, spec.end)]
         predicate = F.col(MONTH).between(*months) & predicate
     return df.filter(predicate)
 

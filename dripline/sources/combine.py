@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from dripline.functions.exprs import iso_date_text
 from dripline.schema import (
+    MONTH,
     PROVENANCE_COLUMNS,
     SOURCE_BLOCK,
     SOURCE_RANK,
@@ -63,7 +64,10 @@ def dedupe_latest(df: DataFrame, position: Sequence[str] = _POSITION) -> DataFra
         return df
     names = [*_chronology(df.columns), *[name for name in position if name in df.columns]]
     latest_first = [F.col(f"`{name}`").desc_nulls_first() for name in names if name not in key]
-    window = Window.partitionBy(*[F.col(f"`{name}`") for name in key]).orderBy(*latest_first)
+    # The month follows from the day, so it splits no group; with it in the key, a filter on
+    # months passes below the window and skips stored folders.
+    groups = [*key, MONTH] if MONTH in df.columns else key
+    window = Window.partitionBy(*[F.col(f"`{name}`") for name in groups]).orderBy(*latest_first)
     return (
         df.withColumn("_newest", F.row_number().over(window))
         .where(F.col("_newest") == 1)
@@ -82,14 +86,14 @@ def drop_provenance(df: DataFrame) -> DataFrame:
 
 
 def combine_reports(
-    spark: SparkSession, paths: Sequence[str], in_order: bool = True
+    spark: SparkSession, paths: Sequence[str], in_order: bool = True, multi_line: bool = True
 ) -> DataFrame:
     """Latest row per campaign-day over all files, with dates as text.
 
     ``in_order`` sorts chronologically; the input position ends the sort key, so days that
     hold many rows still spread over several range partitions.
     """
-    latest = dedupe_latest(typed_dates(read_reports(spark, paths)))
+    latest = dedupe_latest(typed_dates(read_reports(spark, paths, multi_line)))
     if in_order:
         latest = latest.orderBy(*chronological(latest.columns))
     return drop_provenance(render_dates(latest))

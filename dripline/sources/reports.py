@@ -49,23 +49,28 @@ class _HeaderGroup:
     file_ranks: list[tuple[str, str]] = field(default_factory=list)
 
 
-def _read_raw(spark: SparkSession, paths: str | list[str]) -> DataFrame:
-    return spark.read.option("header", True).option("escape", '"').csv(paths)
+def _read_raw(spark: SparkSession, paths: str | list[str], multi_line: bool) -> DataFrame:
+    reader = spark.read.option("header", True).option("escape", '"').option("multiLine", multi_line)
+    return reader.csv(paths)
 
 
-def _header_and_files(spark: SparkSession, path: str) -> tuple[tuple[str, ...], list[str]] | None:
+def _header_and_files(
+    spark: SparkSession, path: str, multi_line: bool
+) -> tuple[tuple[str, ...], list[str]] | None:
     try:
-        raw = _read_raw(spark, path)
+        raw = _read_raw(spark, path, multi_line)
     except PySparkException as error:
         log.warning("skipping %s: %s", path, error)
         return None
     return (tuple(raw.columns), raw.inputFiles()) if raw.columns else None
 
 
-def _group_by_header(spark: SparkSession, paths: Sequence[str]) -> list[_HeaderGroup]:
+def _group_by_header(
+    spark: SparkSession, paths: Sequence[str], multi_line: bool
+) -> list[_HeaderGroup]:
     """Group paths by header, in order of first appearance; missing and empty ones drop out."""
     with ThreadPoolExecutor(_HEADER_LOOKUPS) as pool:
-        found = list(pool.map(lambda path: _header_and_files(spark, path), paths))
+        found = list(pool.map(lambda path: _header_and_files(spark, path, multi_line), paths))
     groups: dict[tuple[str, ...], _HeaderGroup] = {}
     for rank, (path, entry) in enumerate(zip(paths, found, strict=True)):
         if entry is None:
@@ -74,7 +79,7 @@ def _group_by_header(spark: SparkSession, paths: Sequence[str]) -> list[_HeaderG
         if header not in groups:
             # A file without rows must not add its columns, so the first file of a group
             # has to hold at least one row.
-            if _read_raw(spark, path).isEmpty():
+            if _read_raw(spark, path, multi_line).isEmpty():
                 continue
             groups[header] = _HeaderGroup()
         groups[header].paths.append(path)
@@ -82,19 +87,25 @@ def _group_by_header(spark: SparkSession, paths: Sequence[str]) -> list[_HeaderG
     return list(groups.values())
 
 
-def read_reports(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
+def read_reports(
+    spark: SparkSession, paths: Sequence[str], multi_line: bool = True
+) -> DataFrame:
     """All report files as one text table with provenance columns.
 
     One scan per distinct header, matched by name: the first file sets the column order,
-    later columns append, and a column a file lacks is null.
+    later columns append, and a column a file lacks is null. A path may be a folder whose
+    files share one header; it then costs a single header lookup.
+
+    Quoted cells may span lines, so each file is read by one task. ``multi_line=False`` splits
+    large files over tasks, for reports without line breaks in cells.
     """
-    groups = _group_by_header(spark, list(paths))
+    groups = _group_by_header(spark, list(paths), multi_line)
     if not groups:
         raise NoReportRowsError("no report rows found in the given files")
     in_path_order = list(paths) == sorted(paths)
     parts = []
     for group in groups:
-        raw = _read_raw(spark, group.paths)
+        raw = _read_raw(spark, group.paths, multi_line)
         texts = [missing_to_null(F.col(f"`{name}`")).alias(name) for name in raw.columns]
         file_path = F.col("_metadata.file_path")
         # Position of a row: file in the list, block in the file, row in the block.
@@ -131,9 +142,10 @@ def load_report(
     strict_days: bool = False,
     trim: bool = True,
     strip_nan: bool = True,
+    multi_line: bool = True,
 ) -> DataFrame:
     """One report file, or a folder of part files with one header, as the analytic table."""
-    raw = _read_raw(spark, path)
+    raw = _read_raw(spark, path, multi_line)
     texts = raw.select(*[missing_to_null(F.col(f"`{name}`")).alias(name) for name in raw.columns])
     cleaned = clean_strings(clean_numeric(standardize(texts), strip_nan=strip_nan), trim=trim)
     return with_row_metrics(with_segments(parse_days(cleaned, strict_days), config), config)

@@ -21,12 +21,19 @@ def write_table(df: DataFrame, path: str, fmt: str = "parquet") -> None:
     writer.format(fmt).save(path)
 
 
-def write_fact(df: DataFrame, path: str) -> None:
-    """Analytic rows as Parquet by month of ``day``, so that date ranges prune folders.
+def with_month(df: DataFrame, day: str = "day") -> DataFrame:
+    """Add the month of a date column as a number such as 202401; null without a day."""
+    if day not in df.columns:
+        return df.withColumn(MONTH, F.lit(None).cast("int"))
+    moment = F.col(f"`{day}`")
+    return df.withColumn(MONTH, F.year(moment) * 100 + F.month(moment))
+
+
+def write_by_month(df: DataFrame, path: str, day: str = "day") -> None:
+    """Parquet in folders by month, so that date ranges skip folders.
 
     The rebalance hint groups rows by month without pinning a month to one task: adaptive
     execution splits large months and merges small ones.
     """
-    monthly = df.withColumn(MONTH, F.date_format("day", "yyyy-MM"))
-    balanced = monthly.hint("rebalance", F.col(MONTH))
+    balanced = with_month(df, day).hint("rebalance", F.col(MONTH))
     balanced.write.mode("overwrite").partitionBy(MONTH).parquet(path)

@@ -47,7 +47,7 @@ def _by_remainder(key: str, labels: tuple[str, ...]) -> str:
 
 
 def campaign_fact(spark: SparkSession, sf_dir: str, keep_row_key: bool = False) -> DataFrame:
-    """One report row per order line.
+    """One report row per order line; ``keep_row_key`` adds the row key and a ``source`` flag.
 
     Orders meet customers before lines: that pair is narrow, so the wide line table is
     shuffled once, on the order key only. No side is hinted as broadcast, since all three
@@ -66,7 +66,9 @@ def campaign_fact(spark: SparkSession, sf_dir: str, keep_row_key: bool = False)
     )
     # Lines numbered 7 sent nothing.
     active = F.when(F.col("l_linenumber") == 7, F.lit(0)).otherwise(F.col("l_quantity"))
-    lines = table(spark, sf_dir, "lineitem").select(*ROW_KEY, active.cast("bigint").alias("active"))
+    lines = table(spark, sf_dir, "lineitem").select(
+        *ROW_KEY, "l_returnflag", active.cast("bigint").alias("active")
+    )
     joined = lines.join(context, F.col("l_orderkey") == F.col("o_orderkey"))
     columns = [
         "concat('C', l_partkey) AS campaign_id",
@@ -86,5 +88,5 @@ def campaign_fact(spark: SparkSession, sf_dir: str, keep_row_key: bool = False)
         "cast(l_extendedprice AS decimal(18,2)) AS revenue_inr",
     ]
     if keep_row_key:
-        columns += ROW_KEY
+        columns += [*ROW_KEY, "l_returnflag AS source"]
     return joined.selectExpr(*columns)

@@ -13,8 +13,10 @@ from pyspark.sql.types import (
     TimestampType,
 )
 
+from dripline.schema import MONTH
 from dripline.sources.combine import dedupe_latest, drop_provenance, render_dates
 from dripline.sources.reports import NoReportRowsError, read_reports, typed_dates
+from dripline.sources.sinks import write_by_month
 
 BATCH_COLUMN = "batch_id"
 
@@ -63,7 +65,7 @@ def start_incremental_combine(
         except NoReportRowsError:
             return
         latest = dedupe_latest(typed_dates(rows))
-        latest.write.mode("overwrite").parquet(f"{log_path}/{BATCH_COLUMN}={batch_id}")
+        write_by_month(latest, f"{log_path}/{BATCH_COLUMN}={batch_id}", "Day")
 
     writer = arrivals.writeStream.foreachBatch(append_batch).option(
         "checkpointLocation", checkpoint_path
@@ -73,17 +75,20 @@ def start_incremental_combine(
 
 
 def current_rows(spark: SparkSession, log_path: str) -> DataFrame:
-    """Latest row per campaign-day over all batches so far, with provenance."""
+    """Latest row per campaign-day over all batches so far, with provenance.
+
+    A filter on ``report_month`` reads and compares those months only.
+    """
     log = spark.read.option("mergeSchema", True).parquet(log_path).drop(BATCH_COLUMN)
     return dedupe_latest(log)
 
 
 def current_table(spark: SparkSession, log_path: str) -> DataFrame:
     """The combined table as of the last finished batch."""
-    return drop_provenance(render_dates(current_rows(spark, log_path)))
+    return drop_provenance(render_dates(current_rows(spark, log_path).drop(MONTH)))
 
 
 def compact(spark: SparkSession, log_path: str, new_log_path: str) -> None:
     """Write the current rows as the first batch of a new log."""
-    rows = current_rows(spark, log_path)
-    rows.write.mode("overwrite").parquet(f"{new_log_path}/{BATCH_COLUMN}=-1")
+    rows = current_rows(spark, log_path).drop(MONTH)
+    write_by_month(rows, f"{new_log_path}/{BATCH_COLUMN}=-1", "Day")

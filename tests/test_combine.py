@@ -135,6 +135,27 @@ def test_against_brute_force(spark, tmp_path, seed):
     assert values(combined) == sorted(brute_force(files), key=str)
 
 
+def test_quoted_cells(spark, tmp_path):
+    path = write_csv(tmp_path / "report.csv", ["Campaign ID", "Day", "Campaign Name"], [
+        ["1", "2024-01-05", 'two\nlines, "quoted"'], ["2", "2024-01-06", "plain"],
+    ], 1)
+    found = [row["Campaign Name"] for row in combine.combine_reports(spark, [path]).collect()]
+    assert found == ['two\nlines, "quoted"', "plain"]
+
+
+def test_month_filter_skips_folders_of_the_log(spark, tmp_path):
+    inbox = tmp_path / "in"
+    inbox.mkdir()
+    data = [["c", f"2024-{month:02d}-05", "", str(month)] for month in range(1, 13)]
+    write_csv(inbox / "report1.csv", HEADER, data, 1)
+    log = str(tmp_path / "log")
+    incremental.start_incremental_combine(spark, str(inbox), log, str(tmp_path / "s")).awaitTermination()
+    march = incremental.current_rows(spark, log).where("report_month = 202403")
+    assert [row["Sent"] for row in march.collect()] == ["3"]
+    text = march._jdf.queryExecution().executedPlan().toString()
+    assert "report_month" in text[text.index("PartitionFilters") : text.index("PushedFilters")]
+
+
 def test_discover(spark, tmp_path):
     write_csv(tmp_path / "report_b.csv", HEADER, [["c", "", "", "1"]], 1)
     write_csv(tmp_path / "report_a.csv", HEADER, [["c", "", "", "1"]], 1)
@@ -206,6 +227,6 @@ def test_write_table(spark, tmp_path, fmt):
 def test_write_fact_prunes_months(spark, tmp_path):
     frame = spark.sql("SELECT id, date_add(DATE '2024-01-01', cast(id AS int)) AS day FROM range(90)")
     path = str(tmp_path / "fact")
-    sinks.write_fact(frame, path)
+    sinks.write_by_month(frame, path)
     back = spark.read.parquet(path)
     assert back.count() == 90 and back.select("report_month").distinct().count() == 3

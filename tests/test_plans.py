@@ -54,7 +54,7 @@ def test_unused_columns_are_not_read(spark, sf_dir):
 
 def test_filters_reach_the_scan(spark, sf_dir, tmp_path):
     path = str(tmp_path / "fact")
-    sinks.write_fact(campaign_fact(spark, sf_dir), path)
+    sinks.write_by_month(campaign_fact(spark, sf_dir), path)
     stored = spark.read.parquet(path)
     text = formatted(filters.apply_filters(stored, SELECTION, CONFIG))
     pushed = re.search(r"PushedFilters: (.*)", text).group(1)

@@ -26,7 +26,7 @@ fact0 AS (
          CASE WHEN l_linenumber = 7 OR l_suppkey % 11 = 0 THEN 0
               ELSE cast(l_quantity AS bigint) * (l_partkey % 2) END AS ct_conversions,
          cast(l_extendedprice AS decimal(18,2)) AS revenue_inr,
-         l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_shipdate
+         l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_shipdate, l_returnflag
   FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey
 ),
 fact AS (
@@ -305,12 +305,12 @@ def _number(text: str) -> str:
 REPORTED = """,
 reported AS (
   SELECT * REPLACE (CASE WHEN source_seq = 3 THEN NULL ELSE start_date END AS start_date),
-         CASE status WHEN 'Completed' THEN 1 WHEN 'Running' THEN 2 ELSE 3 END AS source_rank
+         CASE l_returnflag WHEN 'A' THEN 1 WHEN 'N' THEN 2 ELSE 3 END AS source_rank
   FROM fact),
 """
 _ROW_KEY_DESC = """l_orderkey DESC, l_linenumber DESC, l_partkey DESC, l_suppkey DESC,
   l_quantity DESC, l_extendedprice DESC, l_shipdate DESC"""
-# The Paused report has no start date, so its rows sort after all dated ones.
+# The third report has no start date, so its rows sort after all dated ones.
 COMBINED = REPORTED + f"""
 merged AS (
   SELECT campaign_id, day, CASE WHEN source_rank = 3 THEN NULL ELSE start_date END AS start_date,

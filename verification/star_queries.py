@@ -10,7 +10,6 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from dripline.config import FIXED_CHANNELS, LEGACY_PROFILE
 from dripline.functions.exprs import iso_date_text
 from dripline.operators import (
     aggregates as agg,
@@ -24,9 +23,10 @@ from dripline.operators import (
 from dripline.operators.filters import FilterSpec
 from dripline.operators.lookups import with_segments
 from dripline.plans import report as report_plan
-from dripline.schema import CORE_VOLUMES, LEGACY_DETAIL_COLUMNS, SOURCE_TS
+from dripline.schema import COLUMN_TO_HEADER, LEGACY_DETAIL_COLUMNS, SOURCE_TS
 from dripline.session import new_work_path
 from dripline.sources import combine, sinks
+from dripline.sources.reports import standardize
 from dripline.sources.star import CHANNELS, ROW_KEY, campaign_fact, star_config
 from dripline.streaming import incremental
 
@@ -47,11 +47,12 @@ SELECTION = FilterSpec(
     end="2000-06-30",
 )
 
-# Arrival times of the three report files, one per status.
-SOURCE_TIMES = {
-    "Completed": "2024-01-01 00:00:00",
-    "Running": "2024-01-02 00:00:00",
-    "Paused": "2024-01-03 00:00:00",
+# The three report files: which rows each holds, and when it arrived. The flag is a column of
+# the line table, so each file's filter reaches that scan before any shuffle.
+SOURCES = {
+    "first": ("source = 'A'", "2024-01-01 00:00:00"),
+    "second": ("source = 'N'", "2024-01-02 00:00:00"),
+    "third": ("coalesce(source, '') NOT IN ('A', 'N')", "2024-01-03 00:00:00"),
 }
 
 
@@ -140,13 +141,8 @@ def render_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _source_time() -> Column:
-    status = F.col("status")
-    return (
-        F.when(status == "Completed", SOURCE_TIMES["Completed"])
-        .when(status == "Running", SOURCE_TIMES["Running"])
-        .otherwise(SOURCE_TIMES["Paused"])
-        .cast("timestamp")
-    )
+    cases = " ".join(f"WHEN {rows} THEN timestamp '{time}'" for rows, time in SOURCES.values())
+    return F.expr(f"CASE {cases} END")
 
 
 def _reported(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -158,25 +154,25 @@ def _reported(spark: SparkSession, sf_dir: str) -> DataFrame:
 def dedupe_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
     reported = _reported(spark, sf_dir).withColumn(SOURCE_TS, _source_time())
     latest = combine.dedupe_latest(reported, position=ROW_KEY)
-    return _text_days(_plain(latest.drop(SOURCE_TS, *ROW_KEY)))
+    return _text_days(_plain(latest.drop(SOURCE_TS, "source", *ROW_KEY)))
 
 
 _REPORT_COLUMNS = {
-    "Completed": ["campaign_id", "day", "start_date", "journey_name", "sent", "delivered"],
-    "Running": ["campaign_id", "day", "start_date", "journey_name", "sent", "unique_clicks"],
-    "Paused": ["campaign_id", "day", "journey_name", "sent", "delivered", "status"],
+    "first": ["campaign_id", "day", "start_date", "journey_name", "sent", "delivered"],
+    "second": ["campaign_id", "day", "start_date", "journey_name", "sent", "unique_clicks"],
+    "third": ["campaign_id", "day", "journey_name", "sent", "delivered", "status"],
 }
 
 
 def combine_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Three reports with different columns, merged by name and reduced to the latest rows."""
     reported = _reported(spark, sf_dir)
-    reports = [
-        reported.where(F.col("status") == status).select(
-            *columns, F.lit(SOURCE_TIMES[status]).cast("timestamp").alias(SOURCE_TS), *ROW_KEY
+    reports = []
+    for name, (condition, time) in SOURCES.items():
+        arrived = F.lit(time).cast("timestamp").alias(SOURCE_TS)
+        reports.append(
+            reported.where(condition).select(*_REPORT_COLUMNS[name], arrived, *ROW_KEY)
         )
-        for status, columns in _REPORT_COLUMNS.items()
-    ]
     latest = combine.dedupe_latest(combine.align(reports), position=ROW_KEY)
     ordered = latest.orderBy(*combine.chronological(latest.columns, ROW_KEY))
     return combine.render_dates(ordered).drop(SOURCE_TS, *ROW_KEY)
@@ -190,19 +186,20 @@ def write_combined(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def incremental_combine(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Report files arriving one status after the other, combined by the stream."""
+    """Report files arriving one after the other, combined by the stream."""
     reported = _reported(spark, sf_dir)
     root = new_work_path(spark, "incremental")
-    for i, (status, columns) in enumerate(_REPORT_COLUMNS.items()):
-        # One file holds all rows of a campaign, in row-key order.
-        part = reported.where(F.col("status") == status).repartition("campaign_id")
-        part = part.sortWithinPartitions(*ROW_KEY).select(*columns)
-        combine.render_dates(part).write.option("header", True).csv(f"{root}/reports/{i}")
+    for name, (condition, _) in SOURCES.items():
+        # A campaign-day lies in one file, in row-key order.
+        part = reported.where(condition).repartition("campaign_id", "day")
+        part = part.sortWithinPartitions(*ROW_KEY).select(*_REPORT_COLUMNS[name])
+        part = part.withColumnsRenamed(COLUMN_TO_HEADER)
+        sinks.write_combined(combine.render_dates(part), f"{root}/reports/{name}")
     stream = incremental.start_incremental_combine(
         spark, f"{root}/reports/*", f"{root}/log", f"{root}/state", pattern="*.csv"
     )
     stream.awaitTermination()
-    return incremental.current_table(spark, f"{root}/log")
+    return standardize(incremental.current_table(spark, f"{root}/log"))
 
 
 def filter_spec(fact: DataFrame) -> DataFrame:
