@@ -14,14 +14,14 @@ _NUMBER_PATTERN = r"^\s*[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?\s*$"
 
 _BLANKS = " \t\n\r\f\v"
 
-# Date layouts tried after ISO, in this order.
+# Date layouts tried after ISO, in this order, each on texts of its shape only.
 DEFAULT_DATE_FORMATS = (
-    "M/d/yyyy",
-    "M/d/yyyy H:mm",
-    "M/d/yyyy H:mm:ss",
-    "d-MMM-yyyy",
-    "d MMM yyyy",
-    "MMM d, yyyy",
+    ("M/d/yyyy", r"^\d+/\d+/\d+$"),
+    ("M/d/yyyy H:mm", r"^\d+/\d+/\d+ \d+:\d+$"),
+    ("M/d/yyyy H:mm:ss", r"^\d+/\d+/\d+ \d+:\d+:\d+$"),
+    ("d-MMM-yyyy", r"^\d+-[A-Za-z]{3}-\d+$"),
+    ("d MMM yyyy", r"^\d+ [A-Za-z]{3} \d+$"),
+    ("MMM d, yyyy", r"^[A-Za-z]{3} \d+, \d+$"),
 )
 
 
@@ -75,14 +75,15 @@ def normalize_text(text: Column, trim: bool = True, missing_label: str = MISSING
 
 
 def parse_day(
-    text: Column, strict: bool = False, formats: Sequence[str] = DEFAULT_DATE_FORMATS
+    text: Column, strict: bool = False, formats: Sequence[tuple[str, str]] = DEFAULT_DATE_FORMATS
 ) -> Column:
-    """Timestamp from text, each row on its own.
+    """Timestamp from text, each row on its own; ``formats`` pairs layouts with their shape.
 
     Unreadable text gives null, or fails the job under ``strict``.
     """
     readings = [F.try_to_timestamp(text)]
-    readings += [F.try_to_timestamp(text, F.lit(layout)) for layout in formats]
+    for layout, shape in formats:
+        readings.append(F.when(text.rlike(shape), F.try_to_timestamp(text, F.lit(layout))))
     parsed = F.coalesce(*readings)
     if not strict:
         return parsed

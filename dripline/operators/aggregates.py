@@ -1,15 +1,15 @@
 """Grouped totals and the KPI tables built on them.
 
-Every total is summed per (keys, channel) first and priced afterwards. The scan side of the
-plan is then one partial aggregate over plain numbers, a hot journey or channel shrinks to one
-row per task before any shuffle, and the price join touches only groups.
+Prices are applied to sums, never to rows. The scan side of a plan is one partial aggregate
+over plain numbers, so a hot journey, channel or day shrinks to one row per task before any
+shuffle, and costs are exact decimals that do not depend on row order.
 """
 
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from dripline.config import (
     CHANNEL_PROFILE,
@@ -33,6 +33,18 @@ _CORE = tuple(VOLUME_NAMES[name] for name in CORE_VOLUMES)
 _ALL = tuple(VOLUME_NAMES.values())
 
 
+# With more distinct prices than this, totals go through a channel cube instead of one
+# conditional sum per price.
+MAX_PRICE_SUMS = 16
+
+_COST_TYPE = "decimal(34,8)"
+
+
+def _measures(volumes: Sequence[str]) -> list[Column]:
+    sums = [F.expr(f"sum({name}) AS {VOLUME_NAMES[name]}") for name in volumes]
+    return [F.expr("count(1) AS campaigns"), *sums]
+
+
 def channel_cube(
     df: DataFrame,
     keys: Sequence[str],
@@ -43,20 +55,47 @@ def channel_cube(
 
     ``extra`` adds further SQL aggregates by name.
     """
-    measures = {VOLUME_NAMES[name]: f"sum({name})" for name in volumes}
-    measures = {"campaigns": "count(1)", **measures, **(extra or {})}
     grouping = dict.fromkeys([*keys, "channel"])
-    columns = [F.expr(f"{sql} AS {name}") for name, sql in measures.items()]
-    return df.groupBy(*grouping).agg(*columns)
+    extras = [F.expr(f"{sql} AS {name}") for name, sql in (extra or {}).items()]
+    return df.groupBy(*grouping).agg(*_measures(volumes), *extras)
 
 
-def _price_and_sum(cube: DataFrame, keys: Sequence[str], config: MetricConfig) -> DataFrame:
+def sum_cube(cube: DataFrame, keys: Sequence[str], config: MetricConfig) -> DataFrame:
     """Price a channel cube and sum it to ``keys`` in exact types."""
     measures = [name for name in ("campaigns", *_ALL) if name in cube.columns]
     sums = [F.expr(f"sum({name}) AS {name}") for name in (*measures, "cost")]
     return with_cost(cube, config).groupBy(*keys).agg(*sums)
 
 
+def exact_totals(
+    df: DataFrame,
+    keys: Sequence[str],
+    config: MetricConfig,
+    volumes: Sequence[str] = CORE_VOLUMES,
+) -> DataFrame:
+    """Volume sums and cost per ``keys`` in exact types, from report rows.
+
+    One aggregate without a join: messages are summed once more per distinct price, and the
+    few sums are priced afterwards.
+    """
+    by_price: dict[str, list[str]] = {}
+    for channel, price in config.unit_costs.items():
+        by_price.setdefault(str(price), []).append(channel)
+    if "channel" in keys or len(by_price) > MAX_PRICE_SUMS:
+        return sum_cube(channel_cube(df, keys, volumes), keys, config)
+    paid = [
+        F.sum(F.when(F.col("channel").isin(*channels), F.col("sent"))).alias(f"_paid_{i}")
+        for i, channels in enumerate(by_price.values())
+    ]
+    totals = df.groupBy(*keys).agg(*_measures(volumes), *paid)
+    cost = f"cast(0 AS {_COST_TYPE})"
+    for i, price in enumerate(by_price):
+        part = f"coalesce(cast(_paid_{i} AS decimal(28,4)), 0) * cast('{price}' AS decimal(9,4))"
+        cost = f"cast({cost} + cast({part} AS {_COST_TYPE}) AS {_COST_TYPE})"
+    names = [f"`{name}`" for name in totals.columns if not name.startswith("_paid_")]
+    return totals.selectExpr(*names, f"{cost} AS cost")
+
+
 def _finish(totals: DataFrame, config: MetricConfig) -> DataFrame:
     """Result types (bigint count, double sums), 0 for an empty selection, and GTV."""
     columns = []
@@ -73,7 +112,7 @@ def _finish(totals: DataFrame, config: MetricConfig) -> DataFrame:
 
 def roll_up(cube: DataFrame, keys: Sequence[str], config: MetricConfig) -> DataFrame:
     """Totals with cost and GTV per ``keys``, from a channel cube that contains them."""
-    return _finish(_price_and_sum(cube, keys, config), config)
+    return _finish(sum_cube(cube, keys, config), config)
 
 
 def with_rates(df: DataFrame, config: MetricConfig, profile: RateProfile) -> DataFrame:
@@ -87,7 +126,8 @@ def totals_by(
     config: MetricConfig,
     volumes: Sequence[str] = CORE_VOLUMES,
 ) -> DataFrame:
-    return roll_up(channel_cube(df, keys, volumes), keys, config)
+    """Totals with cost and GTV per ``keys``."""
+    return _finish(exact_totals(df, keys, config, volumes), config)
 
 
 def journey_summary(
@@ -196,23 +236,30 @@ def journey_weekly(
     days around New Year form buckets of their own. ``iso_weeks`` gives one row per Monday.
     """
     chosen = df if journey is None else df.where(F.col("journey_name") == journey)
-    weekly = chosen.where(F.col("day").isNotNull()).withColumns(
+    dated = chosen.where(F.col("day").isNotNull()).withColumn("day", F.to_date("day"))
+    # Sum to days first: week labels are then worked out per day, not per report row.
+    daily = exact_totals(dated, ["journey_name", "day"], config).withColumns(
         {"week": week_label(F.col("day")), "week_start": week_start(F.col("day"))}
     )
     keys = ["journey_name", "week_start"] if iso_weeks else ["journey_name", "week", "week_start"]
-    totals = totals_by(weekly, keys, config).drop("campaigns")
+    sums = [F.expr(f"sum({name}) AS {name}") for name in (*_CORE, "cost")]
+    totals = _finish(daily.groupBy(*keys).agg(*sums), config)
     order = ["journey_name", "week_start"] + ([] if iso_weeks else ["week"])
     return with_rates(totals, config, WEEKLY_PROFILE).orderBy(*order)
 
 
 def kpi_totals(df: DataFrame, config: MetricConfig) -> DataFrame:
     """One row of totals and overall rates. Counts are whole numbers, cut not rounded."""
-    return kpi_from_cube(channel_cube(df, ["journey_name"]), config)
+    return _kpi(exact_totals(df, ["journey_name"], config), config)
 
 
 def kpi_from_cube(cube: DataFrame, config: MetricConfig) -> DataFrame:
-    """KPI row from a (journey, channel) cube; one row per journey makes a plain count distinct."""
-    per_journey = _price_and_sum(cube, ["journey_name"], config)
+    """KPI row from a (journey, channel) cube."""
+    return _kpi(sum_cube(cube, ["journey_name"], config), config)
+
+
+def _kpi(per_journey: DataFrame, config: MetricConfig) -> DataFrame:
+    # One row per journey, so counting rows counts distinct journeys.
     sums = [F.expr(f"sum({name}) AS {name}") for name in (*_CORE, "cost")]
     totals = per_journey.agg(F.expr("count(journey_name) AS journeys"), *sums)
     counted = totals.selectExpr(

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from dripline.config import MetricConfig
 from dripline.functions.exprs import guarded
-from dripline.operators.aggregates import channel_cube, journey_daily, kpi_from_cube
+from dripline.operators.aggregates import journey_daily, kpi_totals
 from dripline.operators.quantiles import exact_quantiles
 from dripline.operators.ranking import top_n
 from dripline.session import materialize
@@ -56,7 +56,7 @@ def conversion_funnel(df: DataFrame, config: MetricConfig) -> DataFrame:
         ("Clicks Generated", "clicks"),
         ("Orders Converted", "orders"),
     ]
-    totals = kpi_from_cube(channel_cube(df, ["journey_name"]), config)
+    totals = kpi_totals(df, config)
     entries = []
     before = "sent"
     for position, (label, name) in enumerate(stages, start=1):

@@ -92,6 +92,14 @@ def test_journey_summary(fact):
     assert found["b"]["roi"] == 0.0
 
 
+def test_many_prices_give_the_same_costs(fact, monkeypatch):
+    direct = agg.totals_by(fact, ["journey_name"], CONFIG)
+    monkeypatch.setattr(agg, "MAX_PRICE_SUMS", 1)
+    through_cube = agg.totals_by(fact, ["journey_name"], CONFIG)
+    assert direct.columns == through_cube.columns
+    assert by(direct, "journey_name") == by(through_cube, "journey_name")
+
+
 def test_sums_agree_across_tables(fact):
     kpi = agg.kpi_totals(fact, CONFIG).first().asDict()
     for table in (
