@@ -16,6 +16,11 @@ SESSION_CONF = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.optimizeSkewsInRebalancePartitions.enabled": "true",
     "spark.sql.adaptive.advisoryPartitionSizeInBytes": "128m",
+    # Parquet on disk is several times smaller than its rows in memory. Broadcast decisions
+    # should rest on the latter.
+    "spark.sql.sources.fileCompressionFactor": "4.0",
+    # Join by hash instead of sorting when every build partition is measured to be small.
+    "spark.sql.adaptive.maxShuffledHashJoinLocalMapThreshold": "64m",
 }
 
 CHECKPOINT_DIR_KEY = "spark.checkpoint.dir"

@@ -57,9 +57,13 @@ SOURCES = {
 
 
 def _text_days(df: DataFrame) -> DataFrame:
-    kinds = {"date", "timestamp", "timestamp_ntz"}
-    days = [name for name, kind in df.dtypes if kind in kinds]
-    return df.withColumns({name: iso_date_text(F.col(name)) for name in days})
+    texts = {}
+    for name, kind in df.dtypes:
+        if kind == "date":
+            texts[name] = F.col(name).cast("string")
+        elif kind.startswith("timestamp"):
+            texts[name] = iso_date_text(F.col(name))
+    return df.withColumns(texts)
 
 
 def _on_fact(operator: Callable[[DataFrame], DataFrame]) -> Query:
