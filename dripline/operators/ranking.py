@@ -53,3 +53,8 @@ def first_journeys(df: DataFrame, n: int = 10) -> DataFrame:
 def page(df: DataFrame, order: Sequence[Column | str], number: int, size: int = 25) -> DataFrame:
     """Page ``number`` (from 1) of a sorted table."""
     return df.orderBy(*order).offset((number - 1) * size).limit(size)
+
+
+def first_rows(summary: DataFrame, n: int) -> DataFrame:
+    """The first ``n`` rows of a journey table by name, for tables without a ROI."""
+    return summary.orderBy(TIEBREAK).limit(n)

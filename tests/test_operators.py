@@ -10,6 +10,7 @@ from dripline.operators import aggregates as agg
 from dripline.operators import analytics, filters, quantiles, ranking, reshape, rows
 from dripline.operators.filters import FilterSpec
 from dripline.operators.lookups import with_segments
+from dripline.plans.dashboard import TABS, dashboard_tab
 from dripline.plans.report import SECTIONS, report
 
 CONFIG = MetricConfig(segments={"a": ("NU", "ALL"), "b": ("RU", "OM")})
@@ -298,6 +299,22 @@ def test_report_sections(fact):
         report(fact, CONFIG, ["nonsense"])
 
 
+def test_dashboard_tabs(fact):
+    spec = FilterSpec(channels=["Email", "SMS"])
+    sizes = {
+        tab: {name: frame.count() for name, frame in dashboard_tab(fact, tab, spec, CONFIG).items()}
+        for tab in TABS
+    }
+    assert sizes["overview"] == {"kpis": 1, "channels": 2, "funnel": 4, "cost_vs_gtv": 2}
+    assert sizes["channel-analysis"] == {"journeys": 2}
+    assert sizes["weekly-analysis"] == {"daily": 2, "weekly": 2}
+    assert sizes["trends"] == {"daily": 2} and sizes["volume-analysis"] == {"channels": 2}
+    assert sizes["summary"] == {"journeys": 2} and sizes["details"] == {"campaigns": 3}
+    assert sizes["report"]["journey_table"] == 2
+    with pytest.raises(ValueError, match="unknown tab"):
+        dashboard_tab(fact, "nonsense", spec, CONFIG)
+
+
 def test_hot_group_keeps_every_row(spark):
     data = [(f"C{i}", "hot" if i % 3 else f"j{i}", "Email", float(i)) for i in range(3_000)]
     base = spark.createDataFrame(data, "campaign_id string, journey_name string, channel string, sent double")

@@ -495,6 +495,13 @@ _BODIES: dict[str, tuple[tuple[str, ...], str]] = {
     ),
     "journey_daily": ((), _DAILY),
     "journey_weekly": ((), _WEEKLY),
+    "weekly_view": (
+        (),
+        _WEEKLY.replace(
+            "FROM fact",
+            "FROM fact WHERE journey_name = 'BUILDING / 2-HIGH' AND status IN ('Completed', 'Paused')",
+        ),
+    ),
     "journey_weekly_iso": (
         (),
         _grouped_by(
@@ -559,6 +566,7 @@ _BODIES: dict[str, tuple[tuple[str, ...], str]] = {
         (),
         "SELECT DISTINCT journey_name FROM fact ORDER BY journey_name LIMIT 10",
     ),
+    "first_journey_rows": ((SUMMARY,), "SELECT * FROM summary ORDER BY journey_name LIMIT 15"),
     "performance_tiers": (
         (SUMMARY,),
         f"""SELECT journey_name, {', '.join(_TIERS)}, {', '.join(_tier(n) for n in _TIERS)}

@@ -23,6 +23,7 @@ from dripline.operators import (
 from dripline.operators.filters import FilterSpec
 from dripline.operators.lookups import with_segments
 from dripline.plans import report as report_plan
+from dripline.plans.dashboard import dashboard_tab
 from dripline.schema import COLUMN_TO_HEADER, LEGACY_DETAIL_COLUMNS, SOURCE_TS
 from dripline.session import new_work_path
 from dripline.sources import combine, sinks
@@ -221,6 +222,13 @@ def single_channel_summary(fact: DataFrame) -> DataFrame:
     return agg.journey_summary(email, CONFIG)
 
 
+def weekly_view(fact: DataFrame) -> DataFrame:
+    """One journey's weeks, with untouched journey and channel lists read as "all"."""
+    spec = FilterSpec(journeys=[], channels=[], statuses=["Completed", "Paused"], empty_means_all=True)
+    tables = dashboard_tab(fact, "weekly-analysis", spec, CONFIG, "BUILDING / 2-HIGH")
+    return tables["weekly"]
+
+
 def details_page(fact: DataFrame) -> DataFrame:
     """Third page of the campaigns that sold something, in detail order."""
     details = rows.campaign_details(rows.enrich(fact, CONFIG)).where("roi > 100 and status = 'Running'")
@@ -311,6 +319,7 @@ QUERIES: dict[str, Query] = {
     "daily_trends": _on_fact(lambda fact: agg.daily_trends(fact, CONFIG)),
     "journey_daily": _on_fact(lambda fact: agg.journey_daily(fact, CONFIG)),
     "journey_weekly": _on_fact(lambda fact: agg.journey_weekly(fact, CONFIG)),
+    "weekly_view": _on_fact(weekly_view),
     "journey_weekly_iso": _on_fact(lambda fact: agg.journey_weekly(fact, CONFIG, iso_weeks=True)),
     "journey_daily_long": _on_fact(lambda fact: analytics.journey_daily_long(fact, CONFIG)),
     "kpi_totals": _on_fact(lambda fact: agg.kpi_totals(fact, CONFIG)),
@@ -346,6 +355,7 @@ QUERIES: dict[str, Query] = {
         lambda s: ranking.sort_custom(s, [("ctr", "asc"), ("cost", "desc")])
     ),
     "default_journeys": _on_fact(ranking.first_journeys),
+    "first_journey_rows": _on_summary(lambda s: ranking.first_rows(s, 15)),
     # Analytics.
     "performance_tiers": _on_summary(
         lambda s: analytics.performance_tiers(_only(*analytics.TIER_COLUMNS)(s))
