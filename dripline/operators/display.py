@@ -79,7 +79,10 @@ def legacy_display(summary: DataFrame, fixed_roi: bool = True) -> DataFrame:
     roi = F.format_number("roi", 2) if fixed_roi else F.col("roi").cast("string")
     if fixed_roi:
         roi = F.replace(roi, F.lit(","), F.lit(""))
-    rate = {name: F.concat(F.col(name).cast("string"), F.lit("%")) for name in ("v_ctr", "v_cr", "v_ord_per_sent")}
+    rate = {
+        name: F.concat(F.col(name).cast("string"), F.lit("%"))
+        for name in ("v_ctr", "v_cr", "v_ord_per_sent")
+    }
     return summary.select(
         F.col("journey_name").alias("Row Labels"),
         F.col("campaigns").alias("Count of Campaign ID"),

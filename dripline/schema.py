@@ -33,7 +33,7 @@ NUMERIC_COLUMNS = (
 STRING_COLUMNS = ("journey_name", "channel", "status", "campaign_name", "day")
 DATE_COLUMNS = ("day", "start_date")
 
-# Cell texts the reference's CSV reader takes as missing.
+# Cell texts that pandas' CSV reader takes as missing.
 MISSING_TEXTS = (
     "", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN",
     "<NA>", "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null",

@@ -133,14 +133,14 @@ def parse_day(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def render_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    day = F.col("day").cast("timestamp")
+    day = F.col("day").cast("timestamp_ntz")
     timed = campaign_fact(spark, sf_dir).select(
         "campaign_id",
         "source_seq",
         F.when(F.col("source_seq") == 2, day + F.expr("interval 37800 seconds"))
         .otherwise(day)
         .alias("day"),
-        F.col("start_date").cast("timestamp").alias("start_date"),
+        F.col("start_date").cast("timestamp_ntz").alias("start_date"),
     )
     return combine.render_dates(timed)
 
