@@ -10,8 +10,13 @@ from dripline.llm import (
     chat_format,
     decontaminate,
     host_rules,
+    jaccard_join,
+    language,
+    mixing,
+    quality_trees,
     secret_scan,
     token_count,
+    toxicity,
 )
 from dripline.llm.support import table
 
@@ -31,6 +36,24 @@ def secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.identify(table(spark, sf_dir, "documents"))
+
+
+def toxicity_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def quality_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_trees.scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.link_components(table(spark, sf_dir, "documents")).select(
+        "doc_id", "n_shingles", "component_id"
+    )
+
+
 def quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return host_rules.quality_verdicts(table(spark, sf_dir, "documents")).select(
         "doc_id",
@@ -72,12 +95,27 @@ def benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, n_tokens, p_good, p_low, p_toxic, rate) of each document."""
+    labelled = mixing.label_domains(table(spark, sf_dir, "labels"))
+    mixed = mixing.mix(table(spark, sf_dir, "documents"), labelled, mixing.TARGETS)
+    shares = [
+        F.coalesce(F.col("domains")[name], F.lit(0.0)).alias(f"p_{name}") for name in mixing.TARGETS
+    ]
+    return mixed.select("doc_id", "n_tokens", *shares, "rate")
+
+
 QUERIES: dict[str, Query] = {
     "op1_secret_scans": secret_scans,
+    "op2_language_id": language_id,
+    "op3_toxicity": toxicity_scores,
+    "op4_quality_classifier": quality_scores,
+    "op5_ngram_jaccard_join": near_duplicates,
     "op6_quality_rules": quality_rules,
     "op7_chat_formatting": chat_formatting,
     "op8_token_counts": token_counts,
     "op9_benchmark_decontamination": benchmark_decontamination,
+    "op10_mixing": source_mixing,
 }
 
 ALL_QUERIES: dict[str, Query] = dict(QUERIES)

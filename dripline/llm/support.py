@@ -249,8 +249,9 @@ def gram_hashes(hashes: np.ndarray, k: int) -> np.ndarray:
 
 def sequence_hash(hashes: np.ndarray) -> np.uint64:
     """One hash for a whole sequence of words, different from that of any longer one."""
-    total = (hashes * powers(_GRAM_BASE, len(hashes))).sum(dtype=np.uint64)
-    return mix(np.array([total + np.uint64(len(hashes)) * _LENGTH]))[0]
+    terms = hashes * powers(_GRAM_BASE, len(hashes))
+    length = np.array([len(hashes)], dtype=np.uint64) * _LENGTH
+    return mix(terms.sum(dtype=np.uint64, keepdims=True) + length)[0]
 
 
 class HashSet:
