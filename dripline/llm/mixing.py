@@ -45,7 +45,7 @@ STEPS = 40
 TOLERANCE = 1e-4
 
 # Shares of the tokens of the mixture, by domain.
-TARGETS = {"good": 0.90, "low": 0.07, "toxic": 0.03}
+TARGETS = {"good": 0.88, "low": 0.06, "toxic": 0.06}
 
 # Upper ends of the bins of the statistics; the last bin is open.
 BINS = {
