@@ -24,6 +24,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
@@ -201,6 +202,16 @@ def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
+def in_blocks(benchmark: DataFrame, block_words: int) -> tuple[DataFrame, int]:
+    """(item_id, text) of the benchmark, and into how many blocks it has to be cut."""
+    items = benchmark.select(
+        F.col("item_id").cast("string").alias("item_id"), F.col("text").alias("text")
+    )
+    # Words are at least a byte and a separator apart.
+    size = items.agg(F.sum(F.octet_length("text") / 2 + 1)).first()[0] or 0
+    return items, 1 + int(size // block_words)
+
+
 def find_spans(
     documents: DataFrame,
     benchmark: DataFrame,
@@ -215,14 +226,8 @@ def find_spans(
     ``spans`` holds start, end, start, end ... of the disjoint runs of hit words; ``items`` the
     ids found, sorted as text. ``block_words`` bounds what the driver holds and sends at a time.
     """
-    spark = documents.sparkSession
-    ship(spark)
-    items = benchmark.select(
-        F.col("item_id").cast("string").alias("item_id"), F.col("text").alias("text")
-    )
-    # Words are at least a byte and a separator apart.
-    size = items.agg(F.sum(F.octet_length("text") / 2 + 1)).first()[0] or 0
-    n_blocks = 1 + int(size // block_words)
+    ship(documents.sparkSession)
+    items, n_blocks = in_blocks(benchmark, block_words)
     docs = documents.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     id_type = docs.schema["doc_id"].dataType.simpleString()
     if n_blocks == 1:
@@ -317,6 +322,44 @@ def contamination(
     )
 
 
+def keep_clean(
+    documents: DataFrame,
+    benchmark: DataFrame,
+    text: str = "text",
+    window: int = WINDOW,
+    k: int = GRAM,
+    share: int = 20,
+    block_words: int = BLOCK_WORDS,
+) -> DataFrame:
+    """The documents that are not contaminated, with all their columns.
+
+    Rows are judged where they are. Only with a benchmark of several blocks the digests of the
+    contaminated texts are joined to the documents.
+    """
+    ship(documents.sparkSession)
+    items, n_blocks = in_blocks(benchmark, block_words)
+    if n_blocks > 1:
+        digest = F.sha2(F.coalesce(F.col(text), F.lit("")).cast("binary"), 256)
+        names = documents.select(digest.alias("doc_id"), F.col(text).alias("text"))
+        judged = contamination(
+            names, benchmark, share=share, window=window, k=k, block_words=block_words
+        )
+        bad = judged.where("contaminated").select(F.col("doc_id").alias("__digest")).distinct()
+        return documents.join(bad, digest == F.col("__digest"), "left_anti")
+    rows = [(row["item_id"], row["text"]) for row in items.collect()]
+    block = documents.sparkSession.sparkContext.broadcast(build_block(rows, window, k))
+
+    @F.pandas_udf("boolean")
+    def clean(texts: pd.Series) -> pd.Series:
+        answers = []
+        for n_words, runs, _ in find_in_texts(pa.array(texts, pa.large_string()), block.value):
+            n_hit = sum(end - start for start, end in runs)
+            answers.append(n_hit == 0 or share * n_hit < n_words)
+        return pd.Series(answers, dtype=bool)
+
+    return documents.where(clean(F.col(text)))
+
+
 def items_digest(ids: list[str]) -> str:
     """What ``items_sha256`` is for these ids."""
     return hashlib.sha256(",".join(sorted(ids)).encode()).hexdigest()

@@ -42,6 +42,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql import Window
@@ -123,18 +124,18 @@ def most_shared(a: bytes, b: bytes, n_a: int, n_b: int) -> int:
 
 @dataclass
 class CommonShingles:
-    """The shingles that come last in the order, with how often they were counted."""
+    """The shingles that come last in the order, with the binary logarithms of their counts."""
 
     shingles: np.ndarray
-    counts: np.ndarray
+    levels: np.ndarray
 
     def of(self, shingles: np.ndarray) -> np.ndarray:
-        """The counts of some shingles; 0 for those that are not common."""
+        """The levels of some shingles; 0 for those that are not common."""
         if len(self.shingles) == 0:
             return np.zeros(len(shingles), dtype=np.int64)
         at = np.searchsorted(self.shingles, shingles)
         at[at == len(self.shingles)] = 0
-        return np.where(self.shingles[at] == shingles, self.counts[at], 0)
+        return np.where(self.shingles[at] == shingles, self.levels[at], 0)
 
 
 def find_common(docs: DataFrame, size: int, most: int) -> CommonShingles:
@@ -182,10 +183,11 @@ def find_common(docs: DataFrame, size: int, most: int) -> CommonShingles:
     while least > 1 and total + sizes.get(least - 1, 0) <= most:
         least -= 1
         total += sizes.get(least, 0)
-    kept = totals.where(F.col("n") >= F.lit(2**least)).toArrow()
+    kept = totals.select("shingle", power.alias("level")).where(F.col("level") >= least).toArrow()
     shingles = kept.column("shingle").to_numpy().view(np.uint64)
     order = np.argsort(shingles)
-    return CommonShingles(shingles[order], kept.column("n").to_numpy()[order])
+    levels = kept.column("level").to_numpy().astype(np.uint8)
+    return CommonShingles(shingles[order], levels[order])
 
 
 def sign(docs: DataFrame, common: CommonShingles, size: int, percent: int) -> DataFrame:
@@ -206,12 +208,12 @@ def sign(docs: DataFrame, common: CommonShingles, size: int, percent: int) -> Da
                 rare, frequent, central, cells = None, None, 0, None
                 if first:
                     seen.add(name)
-                    counts = shared.value.of(own)
-                    window = np.lexsort((mix(own), counts))[: n - least_shared(n, percent) + 1]
+                    levels = shared.value.of(own)
+                    window = np.lexsort((mix(own), levels))[: n - least_shared(n, percent) + 1]
                     chosen = own[window].view(np.int64)
-                    usual = counts[window] > 0
+                    usual = levels[window] > 0
                     rare, frequent = chosen[~usual], chosen[usual]
-                    central = int(1000 * np.minimum(counts, 1_000_000).mean())
+                    central = int(1_000_000 * levels.mean())
                     cells = cells_of(own)
                 for key, value in zip(
                     _SIGNED,
@@ -345,6 +347,11 @@ def _bit_table(classes: DataFrame) -> np.ndarray:
     return table.view(np.uint64)
 
 
+def _has_bit(table: np.ndarray, name: int) -> bool:
+    slot = (name & 0xFFFFFFFFFFFFFFFF) >> (64 - FILTER_BITS)
+    return bool(int(table[slot >> 6]) >> (slot & 63) & 1)
+
+
 def sets_of(docs: DataFrame, classes: DataFrame, size: int) -> DataFrame:
     """(class, shingles) of some classes, from the texts.
 
@@ -360,8 +367,7 @@ def sets_of(docs: DataFrame, classes: DataFrame, size: int) -> DataFrame:
                 if len(own) == 0:
                     continue
                 name = set_hash(own, _CLASS_SEED)
-                slot = (name & 0xFFFFFFFFFFFFFFFF) >> (64 - FILTER_BITS)
-                if int(wanted.value[slot >> 6]) >> (slot & 63) & 1 and name not in seen:
+                if name not in seen and _has_bit(wanted.value, name):
                     seen.add(name)
                     names.append(name)
                     sets.append(own.tobytes())
@@ -506,6 +512,45 @@ def _remaining(regions: DataFrame, pivots: DataFrame, groups: DataFrame | None)
     )
 
 
+def signed_groups(
+    documents: DataFrame, doc_id: str, text: str, size: int, percent: int, common: int, pivots: int
+) -> tuple[DataFrame, DataFrame | None]:
+    """(doc_id, n, class, check) of each document, and the groups of the classes that link."""
+    ship(documents.sparkSession)
+    docs = documents.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
+    signed = materialize(sign(docs, find_common(docs, size, common), size, percent))
+    groups = class_groups(docs, signed, size, percent, pivots)
+    return signed.select("doc_id", "n", "class", "check"), groups
+
+
+def with_groups(classes: DataFrame, groups: DataFrame | None) -> DataFrame:
+    """Rows with ``class``, and the ``group`` of each: the class itself if it links with none."""
+    if groups is None:
+        return classes.withColumn("group", F.col("class"))
+    named = groups.select(F.col("node").alias("class"), F.col("component").alias("group"))
+    return classes.join(named, "class", "left").withColumn("group", F.coalesce("group", "class"))
+
+
+def classes_of(rows: DataFrame) -> DataFrame:
+    """(class, least, n_rows): the smallest id and the number of rows of each class.
+
+    Two different sets with one hash would be one class; a second hash tells, and the job fails.
+    """
+    clash = F.raise_error(F.lit("two sets have the same class hash")).cast("bigint")
+    same = F.col("low") == F.col("high")
+    return (
+        rows.where(F.col("class").isNotNull())
+        .groupBy("class")
+        .agg(
+            F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id")).alias("least"),
+            F.count(F.lit(1)).alias("n_rows"),
+            F.min("check").alias("low"),
+            F.max("check").alias("high"),
+        )
+        .select(F.when(same, F.col("class")).otherwise(clash).alias("class"), "least", "n_rows")
+    )
+
+
 def link_components(
     documents: DataFrame,
     doc_id: str = "doc_id",
@@ -520,45 +565,89 @@ def link_components(
     Documents with the same ``class`` have equal sets. ``percent`` is the least similarity in
     hundredths, ``size`` the words of a shingle.
     """
-    ship(documents.sparkSession)
-    docs = documents.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    signed = materialize(sign(docs, find_common(docs, size, common), size, percent))
-    groups = class_groups(docs, signed, size, percent, first_pivots)
-    rows = signed.select("doc_id", F.col("n").cast("bigint").alias("n_shingles"), "class", "check")
-    # Two different sets of one hash are not to be expected below ten billion sets; if it happens,
-    # the result would be wrong without this.
-    clash = F.raise_error(F.lit("two sets have the same class hash")).cast("bigint")
-    classes = (
-        rows.where(F.col("class").isNotNull())
-        .groupBy("class")
-        .agg(
-            F.min("doc_id").alias("least"),
-            F.min("check").alias("low"),
-            F.max("check").alias("high"),
-        )
-        .select(
-            F.when(F.col("low") == F.col("high"), F.col("class")).otherwise(clash).alias("class"),
-            "least",
-        )
-    )
+    rows, groups = signed_groups(documents, doc_id, text, size, percent, common, first_pivots)
+    classes = with_groups(classes_of(rows), groups).select("class", "group", "least")
     if groups is not None:
-        named = groups.select(F.col("node").alias("class"), "component")
-        least = (
-            classes.join(named, "class")
-            .groupBy("component")
+        # Only classes that link have a group of several.
+        of_group = (
+            classes.where(F.col("group").isNotNull())
+            .groupBy("group")
             .agg(F.min("least").alias("group_least"))
         )
-        of_class = named.join(least, "component").select("class", "group_least")
-        classes = classes.join(of_class, "class", "left").select(
-            "class", F.coalesce("group_least", "least").alias("component_id")
+        classes = classes.join(of_group, "group").select(
+            "class", F.col("group_least.doc_id").alias("component_id")
         )
     else:
-        classes = classes.withColumnRenamed("least", "component_id")
+        classes = classes.select("class", F.col("least.doc_id").alias("component_id"))
     return rows.join(classes, "class", "left").select(
         "doc_id",
-        "n_shingles",
+        F.col("n").cast("bigint").alias("n_shingles"),
         F.when(F.col("class").isNull(), F.col("doc_id"))
         .otherwise(F.col("component_id"))
         .alias("component_id"),
         "class",
     )
+
+
+def keep_one(
+    documents: DataFrame,
+    doc_id: str = "doc_id",
+    text: str = "text",
+    size: int = SHINGLE,
+    percent: int = PERCENT,
+    common: int = COMMON,
+    first_pivots: int = FIRST_PIVOTS,
+) -> DataFrame:
+    """One document of each group, with all columns: the smallest id, and of equal ids the first
+    text. Documents with an empty set all stay.
+
+    A text whose class has one row and no link stays where it is; only the others, told by a bit
+    table of fixed size, move to be joined with the decision.
+    """
+    rows, groups = signed_groups(documents, doc_id, text, size, percent, common, first_pivots)
+    classes = materialize(with_groups(classes_of(rows), groups))
+    linking = classes.groupBy("group").agg(
+        F.count(F.lit(1)).alias("n_classes"), F.sum("n_rows").alias("n_rows")
+    ).where(F.col("n_rows") > 1)
+    contested = materialize(classes.join(linking.select("group"), "group", "left_semi"))
+    chosen = (
+        contested.groupBy("group")
+        .agg(F.min(F.struct("least", "class")).alias("first"))
+        .select(
+            F.col("first.least.doc_id").alias("__keep_id"), F.col("first.class").alias("__keep")
+        )
+    )
+    bits = documents.sparkSession.sparkContext.broadcast(_bit_table(contested.select("class")))
+
+    @F.pandas_udf("class long, contested boolean")
+    def named(texts: pd.Series) -> pd.DataFrame:
+        names, asked = [], []
+        for own in shingle_sets(pa.array(texts, pa.large_string()), size):
+            name = set_hash(own, _CLASS_SEED) if len(own) else None
+            names.append(name)
+            asked.append(name is not None and _has_bit(bits.value, name))
+        return pd.DataFrame({"class": pd.array(names, dtype="Int64"), "contested": asked})
+
+    columns = [F.col(f"`{c}`") for c in documents.columns]
+    marked = documents.select(*columns, named(F.col(text)).alias("__named"))
+    alone = marked.where(~F.col("__named.contested")).select(*columns)
+    moved = marked.where(F.col("__named.contested"))
+    # A bit may stand for other classes too: what is not contested after all stays as well.
+    known = contested.select(F.col("class").alias("__known"))
+    decided = (
+        moved.join(known, F.col("__named.class") == F.col("__known"), "left")
+        .join(
+            chosen,
+            (F.col("__named.class") == F.col("__keep"))
+            & F.col(doc_id).eqNullSafe(F.col("__keep_id")),
+            "left",
+        )
+        .where(F.col("__known").isNull() | F.col("__keep").isNotNull())
+    )
+    first = Window.partitionBy("__named.class").orderBy(F.col(text), F.to_json(F.struct(*columns)))
+    single = (
+        decided.withColumn("__rank", F.row_number().over(first))
+        .where(F.col("__keep").isNull() | (F.col("__rank") == 1))
+        .select(*columns)
+    )
+    return alone.unionByName(single)

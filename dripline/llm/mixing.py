@@ -10,11 +10,12 @@ tokens by domain match the targets. Among all such rates, those nearest to 1 are
 squares over tokens). They are found by projected gradient descent with lazy projection: the
 gradients by domain are summed up, and a document's rate is
 
-    max(0, 1 - posterior . summed gradients)
+    1 - posterior . summed gradients, projected to 0 .. max_rate
 
 One step needs the tokens drawn by domain and their curvature (how they answer to a change), a few
 sums over all documents; the curvature scales the step, and a step that does not come nearer to
-the targets is halved. Rates are an expression of the posterior, so none are stored or moved.
+the targets is halved. It ends when the targets are met or, if they cannot be, when no step comes
+nearer. A domain without a target takes no part: its tokens follow from the others. Rates are an expression of the posterior, so none are stored or moved.
 
 Bounds: the classifier is counted on at most ``per_domain`` labelled documents of each domain (the
 smallest by hash) and uses at most ``n_words`` words; everything else covers all documents. Only
@@ -41,8 +42,11 @@ from dripline.session import materialize
 PER_DOMAIN = 3_000
 N_WORDS = 200
 SMOOTHING = 1.0
-STEPS = 40
+STEPS = 25
 TOLERANCE = 1e-4
+LEAST_SCALE = 1 / 64
+# No document is drawn more often than this.
+MAX_RATE = 4.0
 
 # Shares of the tokens of the mixture, by domain.
 TARGETS = {"good": 0.88, "low": 0.06, "toxic": 0.06}
@@ -268,15 +272,17 @@ class Mixture:
     domains: list[str]
     pull: list[float]
     available: list[float]
-    wanted: list[float]
+    wanted: list[float | None]
     drawn: list[float]
+    max_rate: float = MAX_RATE
 
     def rate(self) -> Column:
         """The rate of a document as an expression of its posterior."""
         if not any(self.pull):
             return F.lit(1.0)
         pulls = (F.get(F.col("posterior"), F.lit(d)) * F.lit(x) for d, x in enumerate(self.pull))
-        return F.greatest(F.lit(1.0) - sum(pulls, F.lit(0.0)), F.lit(0.0))
+        rate = F.lit(1.0) - sum(pulls, F.lit(0.0))
+        return F.least(F.greatest(rate, F.lit(0.0)), F.lit(self.max_rate))
 
 
 def solve(matrix: list[list[float]], right: list[float]) -> list[float]:
@@ -291,6 +297,7 @@ def fit_rates(
     budget: float = 1.0,
     steps: int = STEPS,
     tolerance: float = TOLERANCE,
+    max_rate: float = MAX_RATE,
 ) -> Mixture:
     """Fit over rows (n_tokens, posterior). ``budget`` scales all the tokens there are.
 
@@ -302,8 +309,8 @@ def fit_rates(
 
     def drawn_with(pull: list[float]) -> tuple[list[float], list[list[float]]]:
         """Tokens drawn by domain, and how they answer to a change of the pull."""
-        rate = Mixture(domains, pull, [], [], []).rate()
-        moves = (rate > 0).cast("double")
+        rate = Mixture(domains, pull, [], [], [], max_rate).rate()
+        moves = ((rate > 0) & (rate < max_rate)).cast("double")
         row = members.agg(
             *(F.coalesce(F.sum(tokens * p[i] * rate), F.lit(0.0)).alias(f"a_{i}") for i in range(k)),
             *(
@@ -318,26 +325,28 @@ def fit_rates(
     if k == 0:
         return Mixture([], [], [], [], [])
     available, answer = drawn_with([0.0] * k)
-    asked = [
-        max(0.0, targets.get(domain, 0.0)) if available[i] > 0 else 0.0
-        for i, domain in enumerate(domains)
-    ]
-    total = sum(available) * budget
-    if total == 0 or sum(asked) == 0:
+    part = [i for i in range(k) if domains[i] in targets and available[i] > 0]
+    asked = {i: max(0.0, targets[domains[i]]) for i in part}
+    total = sum(available[i] for i in part) * budget
+    if total == 0 or sum(asked.values()) == 0:
         return Mixture(domains, [0.0] * k, available, available, available)
-    wanted = [total * x / sum(asked) for x in asked]
-    mixture = Mixture(domains, [0.0] * k, available, wanted, list(available))
+    # A domain that takes no part wants what it gets.
+    wanted = [total * asked[i] / sum(asked.values()) if i in asked else None for i in range(k)]
+    mixture = Mixture(domains, [0.0] * k, available, wanted, list(available), max_rate)
 
     def off(drawn: list[float]) -> float:
-        return max(abs(x - y) for x, y in zip(drawn, wanted, strict=True))
+        return max(abs(drawn[i] - wanted[i]) for i in part)
 
     scale, step = 1.0, None
     for _ in range(steps):
-        if off(mixture.drawn) <= tolerance * total:
+        if off(mixture.drawn) <= tolerance * total or scale < LEAST_SCALE:
             break
         if step is None:
-            gradient = [x - y for x, y in zip(mixture.drawn, wanted, strict=True)]
-            step = solve(answer, gradient)
+            gradient = [mixture.drawn[i] - wanted[i] for i in part]
+            solved = solve([[answer[i][j] for j in part] for i in part], gradient)
+            step = [0.0] * k
+            for i, x in zip(part, solved, strict=True):
+                step[i] = x
         tried = [x + scale * y for x, y in zip(mixture.pull, step, strict=True)]
         drawn, answer_there = drawn_with(tried)
         if off(drawn) < off(mixture.drawn):
@@ -355,6 +364,7 @@ def mix(
     doc_id: str = "doc_id",
     text: str = "text",
     budget: float = 1.0,
+    max_rate: float = MAX_RATE,
     **settings,
 ) -> DataFrame:
     """(doc_id, n_tokens, domain probabilities as a map, rate) of each document."""
@@ -362,7 +372,7 @@ def mix(
     classifier = fit_classifier(docs, labelled, **settings)
     rows = docs.select("doc_id", *(c.alias(n) for n, c in evidence(F.col("text")).items()))
     members = materialize(classifier.posteriors(rows, "doc_id"))
-    mixture = fit_rates(members, classifier.domains, targets, budget)
+    mixture = fit_rates(members, classifier.domains, targets, budget, max_rate=max_rate)
     names = F.array(*(F.lit(x) for x in classifier.domains)).cast("array<string>")
     return members.select(
         "doc_id",
@@ -379,6 +389,7 @@ def with_rate(
     name: str = "mix_rate",
     text: str = "text",
     budget: float = 1.0,
+    max_rate: float = MAX_RATE,
     **settings,
 ) -> DataFrame:
     """The documents with their rate in column ``name`` (replaced if there is one)."""
@@ -389,6 +400,6 @@ def with_rate(
     rows = documents.select(kept, *(c.alias(n) for n, c in found.items()))
     members = classifier.posteriors(rows, "__row")
     narrow = materialize(members.select("n_tokens", "posterior"))
-    mixture = fit_rates(narrow, classifier.domains, targets, budget)
+    mixture = fit_rates(narrow, classifier.domains, targets, budget, max_rate=max_rate)
     columns = [c for c in documents.columns if c != name]
     return members.select(*(F.col(f"__row.`{c}`") for c in columns), mixture.rate().alias(name))

@@ -121,7 +121,40 @@ SELECT doc_id, cast(len(words) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hi
 FROM docs LEFT JOIN hit USING (row_key) LEFT JOIN named USING (row_key)
 """
 
+NGRAM_JACCARD_JOIN = r"""
+WITH RECURSIVE docs AS (
+    SELECT doc_id, regexp_extract_all(
+        translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+        '[^\x20\x09-\x0D]+') AS words
+    FROM documents
+), shingles AS (
+    SELECT DISTINCT doc_id, array_to_string(words[i : i + least(len(words), 5) - 1], ' ') AS shingle
+    FROM (
+        SELECT *, unnest(range(1, len(words) - least(len(words), 5) + 2)) AS i
+        FROM docs WHERE len(words) > 0
+    )
+), sizes AS (
+    SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id
+), shared AS (
+    SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS k
+    FROM shingles a JOIN shingles b ON a.shingle = b.shingle AND a.doc_id <> b.doc_id
+    GROUP BY a.doc_id, b.doc_id
+), links AS (
+    SELECT x, y FROM shared JOIN sizes sx ON sx.doc_id = x JOIN sizes sy ON sy.doc_id = y
+    WHERE 100 * k >= 75 * (sx.n + sy.n - k)
+), reach AS (
+    SELECT doc_id AS origin, doc_id AS node FROM docs
+    UNION
+    SELECT origin, y FROM reach JOIN links ON x = node
+)
+SELECT docs.doc_id, cast(coalesce(any_value(n), 0) AS BIGINT) AS n_shingles,
+    min(node) AS component_id
+FROM docs JOIN reach ON origin = docs.doc_id LEFT JOIN sizes USING (doc_id)
+GROUP BY docs.doc_id
+"""
+
 ORACLE_SQL: dict[str, str] = {
+    "op5_ngram_jaccard_join": NGRAM_JACCARD_JOIN,
     "op6_quality_rules": QUALITY_RULES,
     "op7_chat_formatting": CHAT_FORMATTING,
     "op9_benchmark_decontamination": BENCHMARK_DECONTAMINATION,

@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+import corpus_pipeline
 from dripline.llm import (
     chat_format,
     decontaminate,
@@ -118,4 +119,4 @@ QUERIES: dict[str, Query] = {
     "op10_mixing": source_mixing,
 }
 
-ALL_QUERIES: dict[str, Query] = dict(QUERIES)
+ALL_QUERIES: dict[str, Query] = {**QUERIES, "pipeline": corpus_pipeline.run}
