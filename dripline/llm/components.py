@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from dripline.session import materialize
+from dripline.llm.support import store
+
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -15,15 +16,17 @@ def components(links: DataFrame) -> DataFrame:
     aggregation, which a node with very many neighbours leaves as one row per task. Each round
     is written to the shared folder, so a lost executor costs no earlier round.
     """
-    both = materialize(
+    both = store(
         links.select("a", "b")
         .union(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        .dropDuplicates()
+        .dropDuplicates(),
+        "neighbours",
     )
-    names = materialize(
-        both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("least")).select(
-            "node", F.least("node", "least").alias("component")
-        )
+    names = store(
+        both.groupBy(F.col("a").alias("node"))
+        .agg(F.min("b").alias("least"))
+        .select("node", F.least("node", "least").alias("component")),
+        "names",
     )
     while True:
         heard = (
@@ -37,11 +40,13 @@ def components(links: DataFrame) -> DataFrame:
         further = names.select(
             F.col("node").alias("found"), F.col("component").alias("beyond")
         )
-        moved = materialize(
+        moved = store(
             nearer.join(further, "found").select(
-                "node", F.least("found", "beyond").alias("component"),
+                "node",
+                F.least("found", "beyond").alias("component"),
                 (F.least("found", "beyond") != F.col("component")).alias("changed"),
-            )
+            ),
+            "names",
         )
         names = moved.select("node", "component")
         if moved.where("changed").isEmpty():

@@ -54,14 +54,15 @@ from dripline.llm.support import (
     mix,
     sequence_hash,
     ship,
+    shuffles_freed,
+    store,
     text_chunks,
     word_hashes,
 )
-from dripline.session import materialize
 
 SHINGLE = 5
 PERCENT = 75
-COMMON = 1 << 20
+COMMON = 1 << 19
 COUNTED_TOGETHER = 1 << 22
 FIRST_PIVOTS = 4
 FILTER_BITS = 24
@@ -168,11 +169,12 @@ def find_common(docs: DataFrame, size: int, most: int) -> CommonShingles:
         if held:
             yield counted()
 
-    totals = materialize(
+    totals = store(
         docs.select("text")
         .mapInArrow(shared, "shingle long, n long")
         .groupBy("shingle")
-        .agg(F.sum("n").alias("n"))
+        .agg(F.sum("n").alias("n")),
+        "shared-shingles",
     )
     # The smallest power of two from which on there are few enough.
     power = F.floor(F.log2("n")).cast("int")
@@ -427,11 +429,10 @@ def grouped(pairs: DataFrame, groups: DataFrame) -> DataFrame:
     return pairs
 
 
-def nearest_pivots(pairs: DataFrame, most: int) -> DataFrame:
-    """The pairs (a, b) of each class b with the ``most`` pivots that seem nearest."""
-    nearest = Window.partitionBy("b").orderBy(F.desc("most"), "a")
-    ranked = pairs.withColumn("rank", F.row_number().over(nearest))
-    return ranked.where(F.col("rank") <= most).select("a", "b")
+def nearest_pivots(pairs: DataFrame) -> DataFrame:
+    """The pair (a, b) of each class b with the pivot that seems nearest."""
+    nearest = F.max(F.struct("most", "a")).alias("nearest")
+    return pairs.groupBy("b").agg(nearest).select(F.col("nearest.a").alias("a"), "b")
 
 
 def class_groups(
@@ -443,16 +444,16 @@ def class_groups(
         .groupBy("class")
         .agg(F.min("cells").alias("cells"))
     )
-    regions = materialize(regions_of(signed).withColumn("group", F.col("class")))
+    regions = store(regions_of(signed).withColumn("group", F.col("class")), "regions")
     links, groups, sets, known, answered = None, None, None, None, None
     parts, number = first_pivots, 0
     while not regions.isEmpty():
         pivots, pairs = pivot_pairs(regions, parts, number, percent)
-        pivots = materialize(pivots)
+        pivots = store(pivots, "pivots")
         possible = within_window(pairs, cells, percent)
         if answered is not None:
             possible = possible.join(answered, ["a", "b"], "left_anti")
-        waiting = materialize(possible)
+        waiting = store(possible, "waiting")
         classes = (
             waiting.select(F.col("a").alias("class"))
             .union(waiting.select(F.col("b").alias("class")))
@@ -460,16 +461,15 @@ def class_groups(
         )
         if known is not None:
             classes = classes.join(known, "class", "left_anti")
-        classes = materialize(classes)
+        classes = store(classes, "classes")
         if not classes.isEmpty():
-            fresh = materialize(sets_of(docs, classes, size))
+            fresh = store(sets_of(docs, classes, size), "sets")
             sets = fresh if sets is None else sets.unionByName(fresh)
             known = classes if known is None else known.unionByName(classes)
-        # Each class meets the pivot of its cell first, then ever more of those it is not yet
-        # grouped with.
-        most = 1
+        # Each class meets the pivot of its cell first, then all those it is not yet grouped with.
+        chosen = nearest_pivots(waiting)
         while not waiting.isEmpty():
-            answers = materialize(linked(nearest_pivots(waiting, most), sets, percent))
+            answers = store(linked(chosen, sets, percent), "answers")
             met = answers.select("a", "b")
             met = met.union(met.select(F.col("b").alias("a"), F.col("a").alias("b")))
             answered = met if answered is None else answered.unionByName(met)
@@ -483,9 +483,8 @@ def class_groups(
                     .where(F.col("group_a") != F.col("group_b"))
                     .select("a", "b", "n_a", "n_b", "most")
                 )
-            waiting = materialize(left)
-            most *= 16
-        regions = materialize(_remaining(regions, pivots, groups))
+            waiting = chosen = store(left, "waiting")
+        regions = store(_remaining(regions, pivots, groups), "regions")
         parts, number = parts * 4, number + 1
     return groups
 
@@ -518,8 +517,10 @@ def signed_groups(
     """(doc_id, n, class, check) of each document, and the groups of the classes that link."""
     ship(documents.sparkSession)
     docs = documents.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    signed = materialize(sign(docs, find_common(docs, size, common), size, percent))
-    groups = class_groups(docs, signed, size, percent, pivots)
+    with shuffles_freed(documents.sparkSession):
+        common_shingles = find_common(docs, size, common)
+        signed = store(sign(docs, common_shingles, size, percent), "signed")
+        groups = class_groups(docs, signed, size, percent, pivots)
     return signed.select("doc_id", "n", "class", "check"), groups
 
 
@@ -605,11 +606,13 @@ def keep_one(
     table of fixed size, move to be joined with the decision.
     """
     rows, groups = signed_groups(documents, doc_id, text, size, percent, common, first_pivots)
-    classes = materialize(with_groups(classes_of(rows), groups))
+    classes = store(with_groups(classes_of(rows), groups), "classes")
     linking = classes.groupBy("group").agg(
         F.count(F.lit(1)).alias("n_classes"), F.sum("n_rows").alias("n_rows")
     ).where(F.col("n_rows") > 1)
-    contested = materialize(classes.join(linking.select("group"), "group", "left_semi"))
+    contested = store(
+        classes.join(linking.select("group"), "group", "left_semi"), "contested"
+    )
     chosen = (
         contested.groupBy("group")
         .agg(F.min(F.struct("least", "class")).alias("first"))

@@ -10,6 +10,7 @@ import hashlib
 import tempfile
 import zipfile
 from collections.abc import Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass
 from pathlib import Path
 
@@ -18,6 +19,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql import Window
 
+from dripline.session import new_work_path
+
 CHUNK_BYTES = 1 << 20
 
 _shipped: set[str] = set()
@@ -47,6 +50,35 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def store(df: DataFrame, label: str) -> DataFrame:
+    """Write an intermediate table to the shared folder and read it again.
+
+    What has been written survives the loss of executors. Unlike a checkpoint it has a known size,
+    so that small tables are joined without a shuffle, and few partitions if it is small.
+    """
+    spark = df.sparkSession
+    path = new_work_path(spark, label)
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextmanager
+def shuffles_freed(spark: SparkSession) -> Iterator[None]:
+    """Within this, Spark removes the shuffle files of each action when the action is over.
+
+    For loops whose results are all stored: their old shuffles would fill the executors' disks.
+    """
+    before = spark.conf.get(_CLEANUP, "false")
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(_CLEANUP, before)
+
+
 def fold(doc_id: Column, folds: int) -> Column:
     """crc32 of the id as text, modulo ``folds``; null for a null id."""
     return F.crc32(doc_id.cast("string").cast("binary")) % F.lit(folds)
