@@ -152,7 +152,7 @@ def fit(
         texts = rows.sort_values("doc_id")["text"]
         vectors = [vector(c, idf) for c in map(counts_of, texts) if c is not None]
         if not vectors:
-            return pd.DataFrame({"lang": [], "least": [], "centroid": []})
+            return pd.DataFrame({"lang": [], "least": [], "centroid": []}, dtype=object)
         vectors = np.array(vectors)
         found = spherical_clusters(vectors, clusters, ROUNDS)
         cosines = vectors @ found.T

@@ -231,8 +231,8 @@ def fit(
         .toArrow()
     )
     target = known.column("label").to_numpy().astype(float)
-    if target.min() == target.max():  # the labelled texts of one class are missing
-        return _constant(float(target[0]))
+    if len(set(target)) < 2:  # the labelled texts of a class are missing
+        return _constant(float(target[0]) if len(target) else 1.0)
     rows = np.array(known.column("found").to_pylist())
     n = np.bincount(target.astype(int), minlength=2)
     weight = np.array([totals[0] / n[0], totals[1] / n[1]])

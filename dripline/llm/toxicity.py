@@ -168,8 +168,8 @@ def fit(
     real = bucket >= 0
     seen[one[real], bucket[real]] = count[real]
     n[one[~real]] = count[~real]
-    if not n.all():
-        return none
+    if not n.all():  # the labelled texts of a class are missing
+        return Model(none.feature, none.weight, np.inf if n[1] else -np.inf)
     share = (seen + SMOOTHING) / (n[:, None] + 2 * SMOOTHING)
     ratio = np.log(share[1] / share[0])
     telling = np.abs(share[1] - share[0]) * np.abs(ratio)
