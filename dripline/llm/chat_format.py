@@ -163,7 +163,7 @@ def format_turns(
     kind = chosen.schema["content"].dataType
     if not isinstance(kind, (StringType, ArrayType)):
         raise TypeError(f"content is a string or an array of parts, not {kind.simpleString()}")
-    types = [f"{name} {chosen.schema[name].dataType.simpleString()}" for name in ("conv_id", "turn")]
+    types = [f"{x} {chosen.schema[x].dataType.simpleString()}" for x in ("conv_id", "turn")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -15,7 +15,8 @@ gradients by domain are summed up, and a document's rate is
 One step needs the tokens drawn by domain and their curvature (how they answer to a change), a few
 sums over all documents; the curvature scales the step, and a step that does not come nearer to
 the targets is halved. It ends when the targets are met or, if they cannot be, when no step comes
-nearer. A domain without a target takes no part: its tokens follow from the others. Rates are an expression of the posterior, so none are stored or moved.
+nearer. A domain without a target takes no part: its tokens follow from the others. Rates are an
+expression of the posterior, so none are stored or moved.
 
 Bounds: the classifier is counted on at most ``per_domain`` labelled documents of each domain (the
 smallest by hash) and uses at most ``n_words`` words; everything else covers all documents. Only
@@ -166,7 +167,7 @@ class Classifier:
                 for d in range(k)
             ),
         )
-        largest = F.greatest(*(F.col(f"__log_{d}") for d in range(k))) if k > 1 else F.col("__log_0")
+        largest = F.array_max(F.array(*(F.col(f"__log_{d}") for d in range(k))))
         shifted = logs.select(
             *kept,
             "n_tokens",
@@ -232,7 +233,9 @@ def fit_classifier(
     mean = sum(shares[1:], shares[0]) / n
     spread = sum(((p - mean) * F.log(p / mean) for p in shares), F.lit(0.0))
     found = (
-        by_word.select("word", spread.alias("spread"), *(p.alias(f"p_{d}") for d, p in enumerate(shares)))
+        by_word.select(
+            "word", spread.alias("spread"), *(p.alias(f"p_{d}") for d, p in enumerate(shares))
+        )
         .orderBy(F.desc("spread"), "word")
         .limit(n_words)
         .collect()
@@ -311,10 +314,11 @@ def fit_rates(
         """Tokens drawn by domain, and how they answer to a change of the pull."""
         rate = Mixture(domains, pull, [], [], [], max_rate).rate()
         moves = ((rate > 0) & (rate < max_rate)).cast("double")
+        none = F.lit(0.0)
         row = members.agg(
-            *(F.coalesce(F.sum(tokens * p[i] * rate), F.lit(0.0)).alias(f"a_{i}") for i in range(k)),
+            *(F.coalesce(F.sum(tokens * p[i] * rate), none).alias(f"a_{i}") for i in range(k)),
             *(
-                F.coalesce(F.sum(tokens * p[i] * p[j] * moves), F.lit(0.0)).alias(f"g_{i}_{j}")
+                F.coalesce(F.sum(tokens * p[i] * p[j] * moves), none).alias(f"g_{i}_{j}")
                 for i in range(k)
                 for j in range(i, k)
             ),

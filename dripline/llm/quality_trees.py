@@ -264,7 +264,8 @@ def scores(
     **settings,
 ) -> DataFrame:
     """(doc_id, held_out, score, predicted) of each document."""
-    scored = with_score(documents.select("doc_id", "text"), labels, "score", label=label, **settings)
+    texts = documents.select("doc_id", "text")
+    scored = with_score(texts, labels, "score", label=label, **settings)
     return scored.select(
         "doc_id",
         held_out(F.col("doc_id"), FOLDS, HELD_OUT).alias("held_out"),
