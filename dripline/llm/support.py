@@ -23,14 +23,23 @@ from dripline.session import new_work_path
 
 CHUNK_BYTES = 1 << 20
 
+# Texts are long: a batch of Spark's usual 10,000 rows takes a worker hundreds of MB.
+BATCH_ROWS = 1_000
+_BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
 _shipped: set[str] = set()
 
 
 def ship(spark: SparkSession) -> None:
-    """Let the Python workers of a local session import this package wherever it was started.
+    """Prepare a session for Python workers on long texts.
 
-    On a cluster the package is given with ``--py-files`` or installed, as usual.
+    Arrow batches are cut to :data:`BATCH_ROWS` rows if the session allows more. The workers of a
+    local session can import this package wherever it was started; on a cluster the package is
+    given with ``--py-files`` or installed, as usual.
     """
+    rows = int(spark.conf.get(_BATCH_ROWS))
+    if rows <= 0 or rows > BATCH_ROWS:
+        spark.conf.set(_BATCH_ROWS, str(BATCH_ROWS))
     context = spark.sparkContext
     master = context.master
     if not master.startswith("local") or master.startswith("local-cluster"):
