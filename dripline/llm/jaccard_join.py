@@ -146,13 +146,14 @@ def find_common(docs: DataFrame, size: int, most: int) -> CommonShingles:
         held, n, seen = [], 0, set()
 
         def counted() -> pa.RecordBatch:
-            shingles, counts = np.unique(np.concatenate(held), return_counts=True)
-            several = counts >= 2
+            shingles = np.concatenate(held)
+            held.clear()
+            shingles.sort()
+            # Every occurrence but the first has an equal one before it.
+            again = shingles[1:][shingles[1:] == shingles[:-1]]
+            several, more = np.unique(again, return_counts=True)
             return pa.RecordBatch.from_arrays(
-                [
-                    pa.array(shingles[several].view(np.int64)),
-                    pa.array(counts[several].astype(np.int64)),
-                ],
+                [pa.array(several.view(np.int64)), pa.array(more.astype(np.int64) + 1)],
                 names=["shingle", "n"],
             )
 
@@ -165,7 +166,7 @@ def find_common(docs: DataFrame, size: int, most: int) -> CommonShingles:
                     n += len(own)
                     if n >= COUNTED_TOGETHER:
                         yield counted()
-                        held, n = [], 0
+                        n = 0
         if held:
             yield counted()
 

@@ -21,7 +21,7 @@ from pyspark.sql import Window
 
 from dripline.session import new_work_path
 
-CHUNK_BYTES = 1 << 20
+CHUNK_BYTES = 1 << 18
 
 # Texts are long: a batch of Spark's usual 10,000 rows takes a worker hundreds of MB.
 BATCH_ROWS = 1_000
