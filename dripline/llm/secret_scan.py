@@ -1,9 +1,10 @@
 r"""Secrets in texts, also below layers of URL, Unicode, base64 and compressed encoding.
 
 Every text starts a worklist. A layer is scanned for secrets, then every encoded part in it
-becomes a further layer, until no layer has anything left to decode. A layer that was seen at the
-same place with the same content is not entered again, which ends cycles (an archive that holds
-itself). Every character of a layer knows which characters of the original text it came from, so
+becomes a further layer, until no layer has anything left to decode. Decoded bytes are a step of
+their own: what is compressed in them is unpacked to bytes, which may be compressed again. A layer
+that was seen at the same place with the same content is not entered again, which ends cycles (an
+archive that holds itself). Every character of a layer knows which characters of the original text it came from, so
 a secret found in any layer is reported by its place in the original.
 
 How places are mapped: escapes character by character; base64 by the characters that hold the
@@ -90,6 +91,24 @@ class Layer:
         return self.low[start:end], self.high[start:end]
 
 
+@dataclass
+class Data:
+    """Decoded bytes and, for each of them, the range of the original it came from."""
+
+    data: bytes
+    low: np.ndarray
+    high: np.ndarray
+    path: tuple[str, ...]
+
+    @classmethod
+    def at_one_place(cls, data: bytes, place: tuple[int, int], path: tuple[str, ...]) -> Data:
+        low, high = (np.broadcast_to(np.int64(x), len(data)) for x in place)
+        return cls(data, low, high, path)
+
+    def range(self, start: int, end: int) -> tuple[int, int]:
+        return int(self.low[start:end].min()), int(self.high[start:end].max())
+
+
 def _text_of(data: bytes, low: np.ndarray, high: np.ndarray, path: tuple[str, ...]) -> Layer:
     """Bytes with the range of each, as a text: UTF-8, or one character a byte if it isn't that."""
     try:
@@ -178,25 +197,16 @@ BASE64 = re.compile(
 _URL_SAFE = str.maketrans("-_", "+/")
 
 
-def _opened(
-    data: bytes, low: np.ndarray, high: np.ndarray, path: tuple[str, ...], limit: int
-) -> Layer | None:
-    """The layer that some decoded bytes make, unpacked if they are compressed; None: too long."""
+def unpacked(part: Data, limit: int) -> Iterator[Data | None]:
+    """The content of compressed bytes, as bytes again; None: too long."""
     try:
-        packed = decompressed(data, limit)
+        packed = decompressed(part.data, limit)
     except Unopened:
-        return None
-    if packed is None:
-        return _text_of(data, low, high, path)
-    name, content = packed
-    n = len(content)
-    start, end = int(low.min()), int(high.max())
-    return _text_of(
-        content,
-        np.broadcast_to(np.int64(start), n),
-        np.broadcast_to(np.int64(end), n),
-        (*path, name),
-    )
+        yield None
+        return
+    if packed is not None:
+        name, content = packed
+        yield Data.at_one_place(content, part.range(0, len(part.data)), (*part.path, name))
 
 
 def _replaced(
@@ -217,7 +227,7 @@ def _replaced(
     )
 
 
-def percent_layers(layer: Layer, limit: int) -> Iterator[Layer | None]:
+def percent_layers(layer: Layer) -> Iterator[Layer | Data]:
     if "%" not in layer.text:
         return
     parts = []
@@ -228,12 +238,12 @@ def percent_layers(layer: Layer, limit: int) -> Iterator[Layer | None]:
         inner = _text_of(data, low, high, ())
         parts.append((match.start(), match.end(), inner.text, inner.low, inner.high))
         if data.startswith(_PACKED_STARTS):
-            yield _opened(data, low, high, (*layer.path, "url"), limit)
+            yield Data(data, low, high, (*layer.path, "url"))
     if parts:
         yield _replaced(layer, "url", parts)
 
 
-def unicode_layers(layer: Layer, limit: int) -> Iterator[Layer]:
+def unicode_layers(layer: Layer) -> Iterator[Layer]:
     if "\\" not in layer.text and "&#" not in layer.text:
         return
     parts = []
@@ -259,7 +269,7 @@ def unicode_layers(layer: Layer, limit: int) -> Iterator[Layer]:
         yield _replaced(layer, "unicode", joined)
 
 
-def base64_layers(layer: Layer, limit: int) -> Iterator[Layer | None]:
+def base64_layers(layer: Layer) -> Iterator[Data]:
     """Layers of each base64-like run. Letters before it may hide where it begins, so the run is
     read from its first four characters on; what gives neither text nor data finds nothing."""
     for match in BASE64.finditer(layer.text):
@@ -282,7 +292,7 @@ def base64_layers(layer: Layer, limit: int) -> Iterator[Layer | None]:
             bits = np.arange(len(data), dtype=np.int64) * 8
             first = place[skip + bits // 6]
             last = place[skip + (bits + 7) // 6]
-            yield _opened(data, low[first], high[last], (*layer.path, "base64"), limit)
+            yield Data(data, low[first], high[last], (*layer.path, "base64"))
 
 
 def _worth(data: bytes) -> bool:
@@ -296,32 +306,44 @@ _PLAIN_RUN = re.compile(rb"[\x20-\x7e\t\r\n]{12,}")
 DECODERS = (percent_layers, unicode_layers, base64_layers)
 
 
+def _inner(item: Layer | Data, limit: int) -> Iterator[Layer | Data | None]:
+    """What one step of decoding makes of a layer or of decoded bytes; None: a part too long."""
+    if isinstance(item, Layer):
+        for decoder in DECODERS:
+            yield from decoder(item)
+        return
+    yield from unpacked(item, limit)
+    if _PLAIN_RUN.search(item.data):
+        yield _text_of(item.data, item.low, item.high, item.path)
+
+
 def scan(text: str, limit: int = MAX_LAYER_CHARS) -> tuple[list[Span], list[Span], dict, int]:
     """Spans of the text itself, all spans, the path of each added one, parts not opened."""
     base = base_spans(text)
     paths: dict[Span, tuple[str, ...]] = {span: () for span in base}
     unopened = 0
-    worklist = [Layer(text, None, None)]
-    seen: set[tuple[int, int, bytes]] = set()
+    worklist: list[Layer | Data] = [Layer(text, None, None)]
+    seen: set[tuple[type, int, int, bytes]] = set()
     while worklist:
-        layer = worklist.pop()
-        for decoder in DECODERS:
-            for inner in decoder(layer, limit):
-                if inner is None:
-                    unopened += 1
-                    continue
-                if not inner.text:
-                    continue
-                low, high = int(inner.low.min()), int(inner.high.max())
-                content = inner.text.encode("utf-8", "surrogatepass")
-                key = (low, high, hashlib.sha256(content).digest())
-                if key in seen:
-                    continue
-                seen.add(key)
+        item = worklist.pop()
+        for inner in _inner(item, limit):
+            if inner is None:
+                unopened += 1
+                continue
+            is_text = isinstance(inner, Layer)
+            content = inner.text.encode("utf-8", "surrogatepass") if is_text else inner.data
+            if not content:
+                continue
+            low, high = int(inner.low.min()), int(inner.high.max())
+            key = (type(inner), low, high, hashlib.sha256(content).digest())
+            if key in seen:
+                continue
+            seen.add(key)
+            if is_text:
                 for start, kind, end in base_spans(inner.text):
                     first, last = inner.range(start, end)
                     paths.setdefault((first, kind, last), inner.path)
-                worklist.append(inner)
+            worklist.append(inner)
     return base, sorted(paths), paths, unopened
 
 

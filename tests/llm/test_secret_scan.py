@@ -8,6 +8,7 @@ import urllib.parse
 import zlib
 
 import pytest
+import zstandard
 from hypothesis import given, strategies as st
 
 from dripline.llm.secret_scan import KINDS, base_spans, find_secrets, redact, redacted, scan, written
@@ -142,3 +143,27 @@ def test_whole_table_against_brute_force(spark, sf_dir):
             row["spans"].split(",") if row["spans"] else []
         )
     assert sum(len(row["found"]) for row in rows) > 3 and KINDS[0] == "assign"
+
+
+PACKERS = {
+    "gzip": gzip.compress,
+    "zlib": zlib.compress,
+    "bz2": bz2.compress,
+    "xz": lzma.compress,
+    "zstd": zstandard.ZstdCompressor().compress,
+}
+
+
+def hides_secret(text):
+    return any(kind == 0 for _, kind, _ in scan(text)[1])
+
+
+@pytest.mark.parametrize("outer", PACKERS)
+@pytest.mark.parametrize("inner", PACKERS)
+def test_compressed_in_compressed(outer, inner):
+    packed = PACKERS[outer](PACKERS[inner](f"note {SECRET} end".encode()))
+    hidden = base64.b64encode(packed).decode()
+    text = f"see {hidden} end"
+    assert hides_secret(text) and not hides_secret(redacted(text))
+    twice = base64.b64encode(PACKERS[outer](packed)).decode()
+    assert hides_secret(f"see {twice} end")
