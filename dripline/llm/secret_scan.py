@@ -30,6 +30,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, functions as F
 
 from dripline.llm.support import ship, strings
@@ -128,61 +129,90 @@ class Unopened(Exception):
     """A part whose content is longer than the limit."""
 
 
-def _zlib(data: bytes, limit: int, bits: int) -> bytes:
-    stream = zlib.decompressobj(bits)
-    out = stream.decompress(data, limit + 1)
-    if len(out) > limit:
-        raise Unopened
-    return out
+@dataclass(frozen=True)
+class Format:
+    """A compressed format: how its data begins, and a reader of one member (stream or frame).
 
+    ``block`` is how many bytes a reader is given at once. A reader that cannot bound what it
+    returns gets few, so that a bomb fills no memory.
+    """
 
-def _other(make: Callable[[], object]) -> Callable[[bytes, int], bytes]:
-    def unpack(data: bytes, limit: int) -> bytes:
-        out = make().decompress(data, max_length=limit + 1)
-        if len(out) > limit:
-            raise Unopened
-        return out
-
-    return unpack
-
-
-def _zstd(data: bytes, limit: int) -> bytes:
-    import zstandard
-
-    with zstandard.ZstdDecompressor().stream_reader(data) as stream:
-        out = stream.read(limit + 1)
-    if len(out) > limit:
-        raise Unopened
-    return out
+    name: str
+    starts: tuple[bytes, ...]
+    reader: Callable[[], object]
+    block: int = 1 << 16
+    bounded: bool = True
 
 
 # The first bytes of compressed data, by format.
-COMPRESSED: tuple[tuple[str, tuple[bytes, ...], Callable[[bytes, int], bytes]], ...] = (
-    ("gzip", (b"\x1f\x8b\x08",), lambda data, limit: _zlib(data, limit, 31)),
-    (
+COMPRESSED = (
+    Format("gzip", (b"\x1f\x8b\x08",), lambda: zlib.decompressobj(31)),
+    Format(
         "zlib",
         (b"\x78\x01", b"\x78\x5e", b"\x78\x9c", b"\x78\xda"),
-        lambda data, limit: _zlib(data, limit, 15),
+        lambda: zlib.decompressobj(15),
+    ),
+    Format("bzip2", (b"BZh",), bz2.BZ2Decompressor),
+    Format("xz", (b"\xfd7zXZ\x00",), lzma.LZMADecompressor),
+    Format(
+        "zstd",
+        (b"\x28\xb5\x2f\xfd",),
+        lambda: zstandard.ZstdDecompressor().decompressobj(),
+        256,
+        False,
     ),
-    ("bzip2", (b"BZh",), _other(bz2.BZ2Decompressor)),
-    ("xz", (b"\xfd7zXZ\x00",), _other(lzma.LZMADecompressor)),
-    ("zstd", (b"\x28\xb5\x2f\xfd",), _zstd),
 )
+# What the libraries raise for damaged data. Anything else is a fault of the installation.
+DAMAGED = (zlib.error, lzma.LZMAError, zstandard.ZstdError, OSError, EOFError, ValueError)
+
+_PACKED_STARTS = tuple(start for form in COMPRESSED for start in form.starts)
+_ZEROS = re.compile(rb"\x00*")
+_SKIPPED_FRAME = re.compile(rb"[\x50-\x5f]\x2a\x4d\x18(....)", re.DOTALL)
 
-_PACKED_STARTS = tuple(start for _, starts, _ in COMPRESSED for start in starts)
+
+def _member(form: Format, data: memoryview, at: int, room: int) -> tuple[bytes, int, bool]:
+    """Content of the member that begins at a place, where it ends, and whether it is whole.
+
+    Of a damaged or cut member it is what came before that.
+    """
+    stream = form.reader()
+    out, size = [], 0
+    while not stream.eof and at < len(data):
+        block = data[at : at + form.block]
+        at += len(block)
+        try:
+            more = (room + 1 - size,) if form.bounded else ()
+            out.append(stream.decompress(block, *more))
+        except DAMAGED:
+            return b"".join(out), at, False
+        size += len(out[-1])
+        if size > room:
+            raise Unopened
+    return b"".join(out), at - len(stream.unused_data), stream.eof
+
+
+def _next_member(form: Format, data: bytes, at: int) -> int | None:
+    """Where a further member of the same format begins: at once, or behind what may stand
+    between members (zeros as padding, frames that zstd readers skip)."""
+    while form.name == "zstd" and (frame := _SKIPPED_FRAME.match(data, at)):
+        at = frame.end() + int.from_bytes(frame[1], "little")
+    if form.name in ("gzip", "xz"):
+        at = _ZEROS.match(data, at).end() if at < len(data) else at
+    return at if data.startswith(form.starts, at) else None
 
 
 def decompressed(data: bytes, limit: int) -> tuple[str, bytes] | None:
-    """Format and content of compressed bytes; None if they are not compressed data."""
-    for name, starts, unpack in COMPRESSED:
-        if data.startswith(starts):
-            try:
-                return name, unpack(data, limit)
-            except Unopened:
-                raise
-            except Exception:  # each library has errors of its own for damaged data
-                return None
-    return None
+    """Format and content of compressed bytes, all members joined; None if there is none."""
+    form = next((x for x in COMPRESSED if data.startswith(x.starts)), None)
+    if form is None:
+        return None
+    out, size, at = [], 0, 0
+    while at is not None:
+        content, at, whole = _member(form, memoryview(data), at, limit - size)
+        out.append(content)
+        size += len(content)
+        at = _next_member(form, data, at) if whole else None
+    return (form.name, b"".join(out)) if size else None
 
 
 PERCENT = re.compile(r"(?:%[0-9A-Fa-f]{2})+")

@@ -167,3 +167,40 @@ def test_compressed_in_compressed(outer, inner):
     assert hides_secret(text) and not hides_secret(redacted(text))
     twice = base64.b64encode(PACKERS[outer](packed)).decode()
     assert hides_secret(f"see {twice} end")
+
+
+@pytest.mark.parametrize("name", PACKERS)
+@pytest.mark.parametrize("n", [2, 3])
+def test_all_members_are_read(name, n):
+    pack = PACKERS[name]
+    members = b"".join(pack(b"nothing of note here " * 9) for _ in range(n - 1))
+    hidden = base64.b64encode(members + pack(SECRET.encode())).decode()
+    assert hides_secret(f"see {hidden} end")
+    # A secret may lie across two members.
+    hidden = base64.b64encode(pack(SECRET[:12].encode()) + pack(SECRET[12:].encode())).decode()
+    assert hides_secret(f"see {hidden} end")
+
+
+def test_what_may_stand_between_members():
+    first, second = b"nothing of note here " * 9, SECRET.encode()
+    skipped = b"\x50\x2a\x4d\x18\x04\x00\x00\x00abcd"
+    for name, between in (("gzip", bytes(5)), ("xz", bytes(4)), ("zstd", skipped)):
+        data = PACKERS[name](first) + between + PACKERS[name](second)
+        assert hides_secret(f"see {base64.b64encode(data).decode()} end"), name
+
+
+def test_members_are_bounded_together():
+    for name, pack in PACKERS.items():
+        bomb = base64.b64encode(pack(b"a" * 6_000) + pack(b"a" * 6_000)).decode()
+        assert scan(bomb, limit=10_000)[3] == 1, name
+        assert scan(bomb, limit=12_000)[3] == 0, name
+
+
+def test_a_missing_library_is_not_hidden(monkeypatch):
+    def missing():
+        raise ImportError("zstandard")
+
+    monkeypatch.setattr("zstandard.ZstdDecompressor", missing)
+    hidden = base64.b64encode(PACKERS["zstd"](SECRET.encode() * 3)).decode()
+    with pytest.raises(ImportError):
+        scan(hidden)
