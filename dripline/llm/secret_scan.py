@@ -165,7 +165,8 @@ COMPRESSED = (
 # What the libraries raise for damaged data. Anything else is a fault of the installation.
 DAMAGED = (zlib.error, lzma.LZMAError, zstandard.ZstdError, OSError, EOFError, ValueError)
 
-_PACKED_STARTS = tuple(start for form in COMPRESSED for start in form.starts)
+_FORMATS = {start: form for form in COMPRESSED for start in form.starts}
+_PACKED = re.compile(b"|".join(re.escape(start) for start in _FORMATS))
 _ZEROS = re.compile(rb"\x00*")
 _SKIPPED_FRAME = re.compile(rb"[\x50-\x5f]\x2a\x4d\x18(....)", re.DOTALL)
 
@@ -201,18 +202,16 @@ def _next_member(form: Format, data: bytes, at: int) -> int | None:
     return at if data.startswith(form.starts, at) else None
 
 
-def decompressed(data: bytes, limit: int) -> tuple[str, bytes] | None:
-    """Format and content of compressed bytes, all members joined; None if there is none."""
-    form = next((x for x in COMPRESSED if data.startswith(x.starts)), None)
-    if form is None:
-        return None
-    out, size, at = [], 0, 0
+def decompressed(data: bytes, form: Format, at: int, limit: int) -> tuple[bytes, int, bool]:
+    """Content of the compressed bytes that begin at a place, all members joined; where they end,
+    and whether the last member is whole."""
+    view, out, size, end, whole = memoryview(data), [], 0, at, True
     while at is not None:
-        content, at, whole = _member(form, memoryview(data), at, limit - size)
+        content, end, whole = _member(form, view, at, limit - size)
         out.append(content)
         size += len(content)
-        at = _next_member(form, data, at) if whole else None
-    return (form.name, b"".join(out)) if size else None
+        at = _next_member(form, data, end) if whole else None
+    return b"".join(out), end, whole
 
 
 PERCENT = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
@@ -220,23 +219,41 @@ ESCAPE = re.compile(
     r"\\u\{([0-9A-Fa-f]{1,6})\}|\\u([0-9A-Fa-f]{4})|\\U([0-9A-Fa-f]{8})|\\x([0-9A-Fa-f]{2})"
     r"|&\#([0-9]{1,7});|&\#[xX]([0-9A-Fa-f]{1,6});"
 )
-# Line breaks may stand between full lines of base64.
+# Base64 goes on over line breaks (also written as escapes), with the indentation, quote marks and
+# signs of continuation, citation or comment around them. Lines may have any width: whatever does
+# not belong to the data only stands before or behind it, as letters in front of a run do.
+_DIGIT = "[A-Za-z0-9+/_-]"
+_BREAK = (
+    r"""(?:["'`]?[\x20\t]*[,.\\]?|["'`][\x20\t]*\+|[\x20\t]\+)[\x20\t]*"""
+    r"""(?:\r?\n|(?:\\r)?\\n)[\x20\t>\#*|]*(?:(?://|--?)[\x20\t]+)?["'`]?"""
+)
+BASE64_BREAK = re.compile(_BREAK)
 BASE64 = re.compile(
-    r"[A-Za-z0-9+/_-]{60,}(?:\r?\n[A-Za-z0-9+/_-]{4,})+={0,2}|[A-Za-z0-9+/_-]{16,}={0,2}"
+    rf"(?<!{_DIGIT})(?:{_DIGIT}{{16,}}+(?:(?>{_BREAK}){_DIGIT}++)*+"
+    rf"|{_DIGIT}++(?:(?>{_BREAK}){_DIGIT}++)++)={{0,2}}"
 )
 _URL_SAFE = str.maketrans("-_", "+/")
 
 
 def unpacked(part: Data, limit: int) -> Iterator[Data | None]:
-    """The content of compressed bytes, as bytes again; None: too long."""
-    try:
-        packed = decompressed(part.data, limit)
-    except Unopened:
-        yield None
-        return
-    if packed is not None:
-        name, content = packed
-        yield Data.at_one_place(content, part.range(0, len(part.data)), (*part.path, name))
+    """The contents of what is compressed in some bytes, wherever it begins; None: too long.
+
+    The search goes on behind what was unpacked whole. Bytes that only look like a beginning, and
+    damaged or cut data, may hide a further beginning.
+    """
+    at = 0
+    while found := _PACKED.search(part.data, at):
+        form, start = _FORMATS[found[0]], found.start()
+        at = start + 1
+        try:
+            content, end, whole = decompressed(part.data, form, start, limit)
+        except Unopened:
+            yield None
+            continue
+        if whole:
+            at = end
+        if content:
+            yield Data.at_one_place(content, part.range(start, end), (*part.path, form.name))
 
 
 def _replaced(
@@ -257,6 +274,68 @@ def _replaced(
     )
 
 
+# Escaped bytes leave many characters as they are: a run of them is read together with its escapes.
+_URL_RUN = re.compile(r"[\x21-\x7e]+")
+_PRINTED_RUN = re.compile(r"[\x20-\x7e]+")
+_URL_BYTE = re.compile(r"%([0-9A-Fa-f]{2})")
+_SHORT = {"a": 7, "b": 8, "t": 9, "n": 10, "v": 11, "f": 12, "r": 13, "0": 0}
+_UNICODE_BYTE = re.compile(ESCAPE.pattern + r"|\\([abtnvfr0\\'\"/])")
+
+
+def _url_bytes(run: str) -> Iterator[tuple[int, int, int]]:
+    """(start, end, byte) of each escape of a run."""
+    for match in _URL_BYTE.finditer(run):
+        yield match.start(), match.end(), int(match[1], 16)
+
+
+def _unicode_bytes(run: str) -> Iterator[tuple[int, int, int]]:
+    """(start, end, byte) of each escape of a run, short ones like \\n too; -1 for no byte."""
+    for match in _UNICODE_BYTE.finditer(run):
+        group = match.lastindex
+        if group == 7:
+            code = _SHORT.get(match[7], ord(match[7]))
+        else:
+            code = int(match[group], 10 if group == 5 else 16)
+        yield match.start(), match.end(), code if code < 256 else -1
+
+
+def _escaped_bytes(
+    layer: Layer,
+    name: str,
+    runs: re.Pattern,
+    mark: str,
+    escapes: Callable[[str], Iterator[tuple[int, int, int]]],
+) -> Iterator[Data]:
+    """The bytes of each run of plain characters and escapes that may hold compressed data."""
+    for match in runs.finditer(layer.text):
+        run = match[0]
+        if mark not in run:
+            continue
+        data = np.frombuffer(run.encode("ascii"), dtype=np.uint8).astype(np.int16)
+        kept = np.ones(len(data), dtype=bool)
+        last = np.arange(1, len(data) + 1)
+        for start, end, byte in escapes(run):
+            data[start], last[start] = byte, end
+            kept[start + 1 : end] = False
+        first = np.flatnonzero(kept)
+        data, last = data[first], last[first]
+        low, high = layer.ranges(match.start(), match.end())
+        # A range of the original for each byte, of all characters that its escape has.
+        low, high = np.minimum.reduceat(low, first), np.maximum.reduceat(high, first)
+        # What is no byte ends a piece.
+        edges = [-1, *np.flatnonzero(data < 0).tolist(), len(data)]
+        for a, b in zip(edges, edges[1:]):
+            piece = data[a + 1 : b].astype(np.uint8)
+            contents = [piece]
+            if name == "url":
+                # Forms write a space as a bare plus sign.
+                bare = last[a + 1 : b] - first[a + 1 : b] == 1
+                contents.append(np.where(bare & (piece == ord("+")), np.uint8(32), piece))
+            for content in {x.tobytes() for x in contents}:
+                if _PACKED.search(content):
+                    yield Data(content, low[a + 1 : b], high[a + 1 : b], (*layer.path, name))
+
+
 def percent_layers(layer: Layer) -> Iterator[Layer | Data]:
     if "%" not in layer.text:
         return
@@ -267,13 +346,12 @@ def percent_layers(layer: Layer) -> Iterator[Layer | Data]:
         low, high = low.reshape(-1, 3).min(axis=1), high.reshape(-1, 3).max(axis=1)
         inner = _text_of(data, low, high, ())
         parts.append((match.start(), match.end(), inner.text, inner.low, inner.high))
-        if data.startswith(_PACKED_STARTS):
-            yield Data(data, low, high, (*layer.path, "url"))
     if parts:
         yield _replaced(layer, "url", parts)
+        yield from _escaped_bytes(layer, "url", _URL_RUN, "%", _url_bytes)
 
 
-def unicode_layers(layer: Layer) -> Iterator[Layer]:
+def unicode_layers(layer: Layer) -> Iterator[Layer | Data]:
     if "\\" not in layer.text and "&#" not in layer.text:
         return
     parts = []
@@ -297,16 +375,25 @@ def unicode_layers(layer: Layer) -> Iterator[Layer]:
         i += 1
     if joined:
         yield _replaced(layer, "unicode", joined)
+        for mark in ("\\", "&#"):
+            yield from _escaped_bytes(layer, "unicode", _PRINTED_RUN, mark, _unicode_bytes)
 
 
 def base64_layers(layer: Layer) -> Iterator[Data]:
     """Layers of each base64-like run. Letters before it may hide where it begins, so the run is
     read from its first four characters on; what gives neither text nor data finds nothing."""
     for match in BASE64.finditer(layer.text):
-        run = match[0]
-        digits = np.frombuffer(run.encode("ascii"), dtype=np.uint8)
-        place = np.flatnonzero((digits != 10) & (digits != 13) & (digits != ord("=")))
-        letters = run.replace("\r", "").replace("\n", "").rstrip("=").translate(_URL_SAFE)
+        run = match[0].rstrip("=")
+        if len(run) < 16:
+            continue
+        # Where the parts between line breaks are.
+        edges = [0]
+        for gap in BASE64_BREAK.finditer(run):
+            edges += gap.span()
+        edges.append(len(run))
+        parts = list(zip(edges[::2], edges[1::2]))
+        letters = "".join(run[a:b] for a, b in parts).translate(_URL_SAFE)
+        place = np.concatenate([np.arange(a, b) for a, b in parts])
         low, high = layer.ranges(match.start(), match.end())
         for skip in range(4):
             body = letters[skip:]
@@ -326,9 +413,9 @@ def base64_layers(layer: Layer) -> Iterator[Data]:
 
 
 def _worth(data: bytes) -> bool:
-    """Whether decoded bytes can be a layer: compressed, or a run of plain characters that is long
-    enough for the shortest secret or a further layer."""
-    return data.startswith(_PACKED_STARTS) or _PLAIN_RUN.search(data) is not None
+    """Whether decoded bytes can be a layer: with something compressed in them, or with a run of
+    plain characters that is long enough for the shortest secret or a further layer."""
+    return _PACKED.search(data) is not None or _PLAIN_RUN.search(data) is not None
 
 
 _PLAIN_RUN = re.compile(rb"[\x20-\x7e\t\r\n]{12,}")

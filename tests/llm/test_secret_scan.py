@@ -2,6 +2,7 @@ import base64
 import bz2
 import gzip
 import hashlib
+import json
 import lzma
 import re
 import urllib.parse
@@ -204,3 +205,61 @@ def test_a_missing_library_is_not_hidden(monkeypatch):
     hidden = base64.b64encode(PACKERS["zstd"](SECRET.encode() * 3)).decode()
     with pytest.raises(ImportError):
         scan(hidden)
+
+
+LONG_NOTE = f"{SECRET} ".encode() + b" ".join(hashlib.sha256(b"%d" % i).digest() for i in range(9))
+
+
+@pytest.mark.parametrize("name", PACKERS)
+def test_compressed_data_behind_other_letters(name):
+    hidden = base64.b64encode(PACKERS[name](LONG_NOTE)).decode()
+    for before in ("files/backup_", "data_", "a/b/c/", "x" * 50, "--"):
+        assert hides_secret(f"see {before}{hidden} end"), before
+    hidden = base64.b64encode(b"some bytes \x00\xff" + PACKERS[name](LONG_NOTE)).decode()
+    assert hides_secret(hidden)
+
+
+@pytest.mark.parametrize("name", PACKERS)
+@pytest.mark.parametrize("quote", [urllib.parse.quote, urllib.parse.quote_plus])
+def test_url_escaped_compressed_data(name, quote):
+    packed = PACKERS[name](LONG_NOTE)
+    hidden = f"https://host/path?q=1&data={quote(packed)}"
+    text = f"é {hidden} and after it"
+    assert hides_secret(text)
+    start, _, end = next(x for x in scan(text)[1] if x[1] == 0)
+    assert text.index(quote(packed)[:20]) == start and end == 2 + len(hidden)
+
+
+@pytest.mark.parametrize("name", PACKERS)
+def test_escaped_compressed_data(name):
+    packed = PACKERS[name](LONG_NOTE)
+    as_json = json.dumps(packed.decode("latin-1"))
+    entities = "".join(chr(x) if chr(x).isalnum() and x < 128 else f"&#{x};" for x in packed)
+    for text in (f"data = {packed!r} # bytes", f'{{"data": {as_json}}}', f"<p>{entities}</p>"):
+        assert hides_secret(text), text
+
+
+@pytest.mark.parametrize("pack", [bytes, gzip.compress])
+@pytest.mark.parametrize("width", [8, 20, 59, 64])
+@pytest.mark.parametrize(
+    ("first", "between", "last"),
+    [
+        ("key: ", "\n     ", "\nend"),
+        ('x = ("', '"\n     "', '")'),
+        ('x = "', '" +\r\n\t"', '";'),
+        ("> ", "\n> ", "\n> bye"),
+        ("# ", "\n# ", "\n"),
+        ('{"x": "', "\\n", '\\n"}'),
+    ],
+)
+def test_base64_in_lines(pack, width, first, between, last):
+    data = base64.b64encode(pack(LONG_NOTE)).decode()
+    text = first + between.join(data[i : i + width] for i in range(0, len(data), width)) + last
+    spans = [x for x in scan(text)[1] if x[1] == 0]
+    assert spans and len(first) <= spans[0][0] < spans[0][2] <= len(text)
+    assert not hides_secret(redacted(text))
+
+
+def test_runs_of_letters_take_linear_time():
+    for text in ("x" * 300_000, "abc\n" * 100_000, '"' * 100_000, "%78%9c" * 20_000, " \t" * 100_000):
+        assert scan(text)[1] == []
