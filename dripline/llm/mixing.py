@@ -22,7 +22,8 @@ Bounds: the classifier is counted on at most ``per_domain`` labelled documents o
 smallest by hash) and uses at most ``n_words`` words; everything else covers all documents. Only
 sums by domain, the classifier's table and the steps reach the driver.
 
-Defined results: a null or empty text has no tokens and keeps the rate its posterior gives; a null
+Defined results: labels without a document here teach nothing, not even the prior. A null or empty
+text has no tokens and keeps the rate its posterior gives; a null
 id is not learned. Repeated rows are learned once and count each in the totals. A domain without
 labelled documents, or without tokens, takes no part; if none is left, every rate is 1. An empty
 table gives no rows. Columns other than the named ones are not read.
@@ -187,8 +188,15 @@ def fit_classifier(
     per_domain: int = PER_DOMAIN,
     n_words: int = N_WORDS,
 ) -> Classifier:
-    """Count the table from documents (doc_id, text) and labels (doc_id, domain)."""
-    known = labelled.where(F.col("domain").isNotNull() & F.col("doc_id").isNotNull())
+    """Count the table from documents (doc_id, text) and labels (doc_id, domain).
+
+    Priors and sample are those of the labels that have a document here.
+    """
+    known = materialize(
+        labelled.where(F.col("domain").isNotNull() & F.col("doc_id").isNotNull()).join(
+            documents.select("doc_id").dropDuplicates(), "doc_id", "left_semi"
+        )
+    )
     chosen = smallest_by_hash(known, "domain", "doc_id", per_domain)
     texts = (
         # At most per_domain ids of each domain.

@@ -1,3 +1,4 @@
+import math
 import re
 
 import pytest
@@ -99,3 +100,16 @@ def test_no_python_runs(spark, sf_dir):
     rows = docs.select("doc_id", *(c.alias(n) for n, c in mixing.evidence(F.col("text")).items()))
     plan = classifier.posteriors(rows, "doc_id")._jdf.queryExecution().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
+
+
+def test_labels_without_a_document_here_teach_nothing(spark):
+    texts = [(i, f"plain words about number{i}") for i in range(40)]
+    texts += [(100 + i, f"JUNK!! ### JUNK{i}") for i in range(4)]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    labelled = [(i, "good" if i < 100 else "low") for i, _ in texts]
+    gone = [(1_000 + i, "low") for i in range(500)] + [(5_000, "toxic")]
+    schema = "doc_id long, domain string"
+    own = mixing.fit_classifier(docs, spark.createDataFrame(labelled, schema), per_domain=20)
+    both = mixing.fit_classifier(docs, spark.createDataFrame(labelled + gone, schema), per_domain=20)
+    assert both == own and both.domains == ["good", "low"]
+    assert both.constant == pytest.approx([math.log(40 / 44), math.log(4 / 44)])
