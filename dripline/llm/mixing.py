@@ -10,13 +10,15 @@ tokens by domain match the targets. Among all such rates, those nearest to 1 are
 squares over tokens). They are found by projected gradient descent with lazy projection: the
 gradients by domain are summed up, and a document's rate is
 
-    1 - posterior . summed gradients, projected to 0 .. max_rate
+    1 - posterior . summed gradients, projected to 0 or above (to 0 .. max_rate if there is one)
 
 One step needs the tokens drawn by domain and their curvature (how they answer to a change), a few
-sums over all documents; the curvature scales the step, and a step that does not come nearer to
-the targets is halved. It ends when the targets are met or, if they cannot be, when no step comes
-nearer. A domain without a target takes no part: its tokens follow from the others. Rates are an
-expression of the posterior, so none are stored or moved.
+sums over all documents; the curvature scales the step, and a step that gains too little of the
+dual value (least squares plus gradients, which is largest at the wanted rates) is halved. It ends
+when the targets are met or, if they cannot be, when no step gains, and then has the rates that
+came nearest. Tokens wanted and drawn by domain are returned, and a miss is logged as a warning. A
+domain without a target takes no part: its tokens follow from the others. Rates are an expression
+of the posterior, so none are stored or moved.
 
 Bounds: the classifier is counted on at most ``per_domain`` labelled documents of each domain (the
 smallest by hash) and uses at most ``n_words`` words; everything else covers all documents. Only
@@ -31,8 +33,9 @@ table gives no rows. Columns other than the named ones are not read.
 
 from __future__ import annotations
 
+import logging
 import math
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, functions as F
@@ -44,12 +47,15 @@ from dripline.session import materialize
 PER_DOMAIN = 3_000
 N_WORDS = 200
 SMOOTHING = 1.0
-STEPS = 25
+STEPS = 40
 TOLERANCE = 1e-4
 LEAST_SCALE = 1 / 64
-# No document is drawn more often than this.
+LEAST_GAIN = 1e-4
+# For callers that want a cap: no document is drawn more often than this. The operators have none.
 MAX_RATE = 4.0
 
+_log = logging.getLogger(__name__)
+
 # Shares of the tokens of the mixture, by domain.
 TARGETS = {"good": 0.88, "low": 0.06, "toxic": 0.06}
 
@@ -278,22 +284,40 @@ def fit_classifier(
 
 @dataclass
 class Mixture:
-    """Domains, summed gradients by domain, and tokens by domain: there are, wanted, drawn."""
+    """Domains, summed gradients by domain, and tokens by domain: there are, wanted, drawn.
+
+    A domain without a target wants None. Without ``max_rate`` rates have no upper bound.
+    """
 
     domains: list[str]
     pull: list[float]
     available: list[float]
     wanted: list[float | None]
     drawn: list[float]
-    max_rate: float = MAX_RATE
+    max_rate: float | None = None
+
+    def pulled(self) -> Column:
+        return sum(
+            (F.get(F.col("posterior"), F.lit(d)) * F.lit(x) for d, x in enumerate(self.pull)),
+            F.lit(0.0),
+        )
 
     def rate(self) -> Column:
         """The rate of a document as an expression of its posterior."""
         if not any(self.pull):
             return F.lit(1.0)
-        pulls = (F.get(F.col("posterior"), F.lit(d)) * F.lit(x) for d, x in enumerate(self.pull))
-        rate = F.lit(1.0) - sum(pulls, F.lit(0.0))
-        return F.least(F.greatest(rate, F.lit(0.0)), F.lit(self.max_rate))
+        rate = F.greatest(F.lit(1.0) - self.pulled(), F.lit(0.0))
+        return rate if self.max_rate is None else F.least(rate, F.lit(self.max_rate))
+
+    def missed(self, tolerance: float = TOLERANCE) -> dict[str, tuple[float, float]]:
+        """(wanted, drawn) tokens of each domain whose target is missed by more than a share of
+        all the tokens wanted."""
+        total = sum(x for x in self.wanted if x is not None)
+        return {
+            name: (wanted, drawn)
+            for name, wanted, drawn in zip(self.domains, self.wanted, self.drawn, strict=True)
+            if wanted is not None and abs(drawn - wanted) > tolerance * total
+        }
 
 
 def solve(matrix: list[list[float]], right: list[float]) -> list[float]:
@@ -308,22 +332,26 @@ def fit_rates(
     budget: float = 1.0,
     steps: int = STEPS,
     tolerance: float = TOLERANCE,
-    max_rate: float = MAX_RATE,
+    max_rate: float | None = MAX_RATE,
 ) -> Mixture:
     """Fit over rows (n_tokens, posterior). ``budget`` scales all the tokens there are.
 
-    ``members`` is summed once per step, so it should be stored.
+    ``max_rate`` None sets no upper bound, as the operators do. ``members`` is summed once per step, so it should be stored.
     """
     k = len(domains)
     p = [F.get(F.col("posterior"), F.lit(d)) for d in range(k)]
     tokens = F.col("n_tokens")
 
-    def drawn_with(pull: list[float]) -> tuple[list[float], list[list[float]]]:
-        """Tokens drawn by domain, and how they answer to a change of the pull."""
-        rate = Mixture(domains, pull, [], [], [], max_rate).rate()
-        moves = ((rate > 0) & (rate < max_rate)).cast("double")
+    def drawn_with(pull: list[float]) -> tuple[list[float], list[list[float]], float]:
+        """Tokens drawn by domain, how they answer to a change of the pull, and the dual value
+        without the targets' part."""
+        there = Mixture(domains, pull, [], [], [], max_rate)
+        rate = there.rate()
+        moves = (rate > 0 if max_rate is None else (rate > 0) & (rate < max_rate)).cast("double")
         none = F.lit(0.0)
+        value = tokens * ((rate - 1) * (rate - 1) / 2 + there.pulled() * rate)
         row = members.agg(
+            F.coalesce(F.sum(value), none).alias("value"),
             *(F.coalesce(F.sum(tokens * p[i] * rate), none).alias(f"a_{i}") for i in range(k)),
             *(
                 F.coalesce(F.sum(tokens * p[i] * p[j] * moves), none).alias(f"g_{i}_{j}")
@@ -332,16 +360,16 @@ def fit_rates(
             ),
         ).first()
         answer = [[row[f"g_{min(i, j)}_{max(i, j)}"] for j in range(k)] for i in range(k)]
-        return [row[f"a_{i}"] for i in range(k)], answer
+        return [row[f"a_{i}"] for i in range(k)], answer, row["value"]
 
     if k == 0:
         return Mixture([], [], [], [], [])
-    available, answer = drawn_with([0.0] * k)
+    available, answer, value = drawn_with([0.0] * k)
     part = [i for i in range(k) if domains[i] in targets and available[i] > 0]
     asked = {i: max(0.0, targets[domains[i]]) for i in part}
     total = sum(available[i] for i in part) * budget
     if total == 0 or sum(asked.values()) == 0:
-        return Mixture(domains, [0.0] * k, available, available, available)
+        return Mixture(domains, [0.0] * k, available, [None] * k, available, max_rate)
     # A domain that takes no part wants what it gets.
     wanted = [total * asked[i] / sum(asked.values()) if i in asked else None for i in range(k)]
     mixture = Mixture(domains, [0.0] * k, available, wanted, list(available), max_rate)
@@ -349,62 +377,83 @@ def fit_rates(
     def off(drawn: list[float]) -> float:
         return max(abs(drawn[i] - wanted[i]) for i in part)
 
+    pull, drawn, nearest = mixture.pull, mixture.drawn, mixture
     scale, step = 1.0, None
     for _ in range(steps):
-        if off(mixture.drawn) <= tolerance * total or scale < LEAST_SCALE:
+        if off(drawn) <= tolerance * total or scale < LEAST_SCALE:
             break
         if step is None:
-            gradient = [mixture.drawn[i] - wanted[i] for i in part]
+            gradient = [drawn[i] - wanted[i] for i in part]
             solved = solve([[answer[i][j] for j in part] for i in part], gradient)
             step = [0.0] * k
             for i, x in zip(part, solved, strict=True):
                 step[i] = x
-        tried = [x + scale * y for x, y in zip(mixture.pull, step, strict=True)]
-        drawn, answer_there = drawn_with(tried)
-        if off(drawn) < off(mixture.drawn):
-            mixture.pull, mixture.drawn, answer = tried, drawn, answer_there
+            gain = sum(x * y for x, y in zip(solved, gradient, strict=True))
+            if gain <= tolerance * tolerance * total:
+                break
+        tried = [x + scale * y for x, y in zip(pull, step, strict=True)]
+        drawn_there, answer_there, value_there = drawn_with(tried)
+        value_there -= sum(tried[i] * wanted[i] for i in part)
+        if off(drawn_there) < off(nearest.drawn):
+            nearest = replace(mixture, pull=tried, drawn=drawn_there)
+        met = off(drawn_there) <= tolerance * total
+        if met or value_there >= value + LEAST_GAIN * scale * gain:
+            pull, drawn, answer, value = tried, drawn_there, answer_there, value_there
             scale, step = min(1.0, 2 * scale), None
         else:
             scale /= 2
-    return mixture
+    for name, (asked_for, got) in nearest.missed(tolerance).items():
+        _log.warning("target of %s missed: %.1f tokens wanted, %.1f drawn", name, asked_for, got)
+    return nearest
+
+
+def mix(documents: DataFrame, *args, **settings) -> DataFrame:
+    """(doc_id, n_tokens, domain probabilities as a map, rate) of each document."""
+    return mixed(documents, *args, **settings)[0]
 
 
-def mix(
+def mixed(
     documents: DataFrame,
     labelled: DataFrame,
     targets: dict[str, float],
     doc_id: str = "doc_id",
     text: str = "text",
     budget: float = 1.0,
-    max_rate: float = MAX_RATE,
+    max_rate: float | None = None,
     **settings,
-) -> DataFrame:
-    """(doc_id, n_tokens, domain probabilities as a map, rate) of each document."""
+) -> tuple[DataFrame, Mixture]:
+    """The rows of :func:`mix`, and the mixture with the tokens wanted and drawn by domain."""
     docs = documents.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     classifier = fit_classifier(docs, labelled, **settings)
     rows = docs.select("doc_id", *(c.alias(n) for n, c in evidence(F.col("text")).items()))
     members = materialize(classifier.posteriors(rows, "doc_id"))
     mixture = fit_rates(members, classifier.domains, targets, budget, max_rate=max_rate)
     names = F.array(*(F.lit(x) for x in classifier.domains)).cast("array<string>")
-    return members.select(
+    rows = members.select(
         "doc_id",
         "n_tokens",
         F.map_from_arrays(names, F.col("posterior")).alias("domains"),
         mixture.rate().alias("rate"),
     )
+    return rows, mixture
 
 
-def with_rate(
+def with_rate(documents: DataFrame, *args, **settings) -> DataFrame:
+    """The documents with their rate in column ``name`` (replaced if there is one)."""
+    return rated(documents, *args, **settings)[0]
+
+
+def rated(
     documents: DataFrame,
     labelled: DataFrame,
     targets: dict[str, float],
     name: str = "mix_rate",
     text: str = "text",
     budget: float = 1.0,
-    max_rate: float = MAX_RATE,
+    max_rate: float | None = None,
     **settings,
-) -> DataFrame:
-    """The documents with their rate in column ``name`` (replaced if there is one)."""
+) -> tuple[DataFrame, Mixture]:
+    """The rows of :func:`with_rate`, and the mixture with the tokens wanted and drawn by domain."""
     plain = documents.select(F.col("doc_id").alias("doc_id"), F.col(text).alias("text"))
     classifier = fit_classifier(plain, labelled, **settings)
     found = evidence(F.col(text))
@@ -414,4 +463,5 @@ def with_rate(
     narrow = materialize(members.select("n_tokens", "posterior"))
     mixture = fit_rates(narrow, classifier.domains, targets, budget, max_rate=max_rate)
     columns = [c for c in documents.columns if c != name]
-    return members.select(*(F.col(f"__row.`{c}`") for c in columns), mixture.rate().alias(name))
+    rows = members.select(*(F.col(f"__row.`{c}`") for c in columns), mixture.rate().alias(name))
+    return rows, mixture

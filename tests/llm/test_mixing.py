@@ -1,4 +1,5 @@
 import math
+import random
 import re
 
 import pytest
@@ -113,3 +114,52 @@ def test_labels_without_a_document_here_teach_nothing(spark):
     both = mixing.fit_classifier(docs, spark.createDataFrame(labelled + gone, schema), per_domain=20)
     assert both == own and both.domains == ["good", "low"]
     assert both.constant == pytest.approx([math.log(40 / 44), math.log(4 / 44)])
+
+
+def test_a_scarce_domain_meets_its_target_without_a_cap(spark):
+    frame = members(spark, [(10, [1.0, 0.0])] * 20 + [(1, [0.0, 1.0])])
+    mixture = fit_rates(frame, ["a", "b"], {"a": 0.5, "b": 0.5}, max_rate=None)
+    assert drawn(frame, mixture) == pytest.approx([100.5, 100.5], rel=1e-3)
+    assert mixture.wanted == pytest.approx([100.5, 100.5]) and mixture.missed() == {}
+    capped = fit_rates(frame, ["a", "b"], {"a": 0.5, "b": 0.5}, max_rate=4.0)
+    assert capped.missed()["b"] == pytest.approx((100.5, 4.0))
+
+
+def test_operators_meet_the_target_of_a_scarce_domain(spark, caplog):
+    texts = [(i, f"plain words about number{i} and more of the same kind") for i in range(200)]
+    texts += [(500 + i, "JUNK!! JUNK!! ### $$$") for i in range(2)]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    labelled = spark.createDataFrame(
+        [(i, "good" if i < 500 else "low") for i, _ in texts], "doc_id long, domain string"
+    )
+    for operator, name in ((mixing.mixed, "rate"), (mixing.rated, "mix_rate")):
+        rows, mixture = operator(docs, labelled, {"good": 0.8, "low": 0.2})
+        assert mixture.missed() == {} and mixture.drawn == pytest.approx(mixture.wanted, rel=1e-2)
+        assert max(row[name] for row in rows.collect()) > 4
+    assert not caplog.records
+    mix(docs, labelled, {"good": 0.8, "low": 0.2}, max_rate=1.5)
+    assert "target of low missed" in caplog.text
+
+
+def test_targets_that_few_documents_can_meet(spark):
+    generator = random.Random(5)
+    rows = []
+    for _ in range(300):
+        x, y = generator.random() ** 8, generator.random() ** 4
+        rows.append((generator.randint(1, 400), [1 - max(x, y), max(x, y) * 0.7, max(x, y) * 0.3]))
+    top = sorted(rows, key=lambda row: -row[1][1])[:5]
+    asked = [sum(n * p[d] for n, p in top) for d in range(3)]
+    frame = members(spark, rows)
+    targets = dict(zip("abc", asked))
+    mixture = fit_rates(frame, list("abc"), targets, max_rate=None)
+    assert mixture.missed() == {}
+    rates = [r["rate"] for r in frame.select(mixture.rate().alias("rate")).collect()]
+    assert min(rates) == 0 and max(rates) > 4
+
+
+def test_what_no_rates_can_meet_is_told(spark):
+    frame = members(spark, [(10, [0.7, 0.3])] * 20 + [(10, [0.9, 0.1])] * 20)
+    mixture = fit_rates(frame, ["a", "b"], {"a": 0.2, "b": 0.8}, max_rate=None)
+    assert set(mixture.missed()) == {"a", "b"}
+    rates = [r["rate"] for r in frame.select(mixture.rate().alias("rate")).collect()]
+    assert min(rates) >= 0 and sum(mixture.drawn) > 0
