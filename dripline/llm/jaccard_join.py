@@ -1,8 +1,10 @@
 """Exact Jaccard similarity join of documents as a join in a metric space.
 
 A document is the set of its distinct five-word shingles (64-bit hashes). With distance 1 - J the
-sets form a metric space, and documents link if they are nearer than the radius. Only the linked
-groups are wanted, so what a group holds together needs no further comparison.
+sets form a metric space, and documents link if they are nearer than the radius. There are two
+jobs. :func:`link_components` and :func:`keep_one` want only the linked groups, so what a group
+holds together needs no further comparison. :func:`link_pairs` and :func:`link_counts` want every
+link, so for them groups are left out of all of the following: each class stays its own group.
 
 1. Documents with equal sets are one class; only classes are compared.
 2. Regions. A shingle is the centre of a region, to which the sets around it belong. A set lies
@@ -437,9 +439,19 @@ def nearest_pivots(pairs: DataFrame) -> DataFrame:
 
 
 def class_groups(
-    docs: DataFrame, signed: DataFrame, size: int, percent: int, first_pivots: int
-) -> DataFrame | None:
-    """(node, component): the group of every class that links with another; None if none does."""
+    docs: DataFrame,
+    signed: DataFrame,
+    size: int,
+    percent: int,
+    first_pivots: int,
+    all_links: bool = False,
+) -> tuple[DataFrame | None, DataFrame | None]:
+    """(node, component), the group of every class that links with another, and the links (a, b)
+    of classes that were found; None if no class links.
+
+    With ``all_links`` pairs inside a group are compared too, so the links are all there are, each
+    given once with a < b. Without, they are enough of them to hold the groups together.
+    """
     cells = (
         signed.where(F.col("cells").isNotNull())
         .groupBy("class")
@@ -478,16 +490,21 @@ def class_groups(
             found = answers.where("links").select("a", "b")
             if not found.isEmpty():
                 links = found if links is None else links.unionByName(found)
-                groups = components(links)
-                left = (
-                    grouped(left, groups)
-                    .where(F.col("group_a") != F.col("group_b"))
-                    .select("a", "b", "n_a", "n_b", "most")
-                )
+                if not all_links:
+                    groups = components(links)
+                    left = (
+                        grouped(left, groups)
+                        .where(F.col("group_a") != F.col("group_b"))
+                        .select("a", "b", "n_a", "n_b", "most")
+                    )
             waiting = chosen = store(left, "waiting")
         regions = store(_remaining(regions, pivots, groups), "regions")
         parts, number = parts * 4, number + 1
-    return groups
+    if all_links and links is not None:
+        ends = F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")
+        links = store(links.select(*ends).dropDuplicates(), "links")
+        groups = components(links)
+    return groups, links
 
 
 def _remaining(regions: DataFrame, pivots: DataFrame, groups: DataFrame | None) -> DataFrame:
@@ -513,16 +530,23 @@ def _remaining(regions: DataFrame, pivots: DataFrame, groups: DataFrame | None)
 
 
 def signed_groups(
-    documents: DataFrame, doc_id: str, text: str, size: int, percent: int, common: int, pivots: int
-) -> tuple[DataFrame, DataFrame | None]:
-    """(doc_id, n, class, check) of each document, and the groups of the classes that link."""
+    documents: DataFrame,
+    doc_id: str,
+    text: str,
+    size: int,
+    percent: int,
+    common: int,
+    pivots: int,
+    all_links: bool = False,
+) -> tuple[DataFrame, DataFrame | None, DataFrame | None]:
+    """(doc_id, n, class, check) of each document, and groups and links of the classes that link."""
     ship(documents.sparkSession)
     docs = documents.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     with shuffles_freed(documents.sparkSession):
         common_shingles = find_common(docs, size, common)
         signed = store(sign(docs, common_shingles, size, percent), "signed")
-        groups = class_groups(docs, signed, size, percent, pivots)
-    return signed.select("doc_id", "n", "class", "check"), groups
+        groups, links = class_groups(docs, signed, size, percent, pivots, all_links)
+    return signed.select("doc_id", "n", "class", "check"), groups, links
 
 
 def with_groups(classes: DataFrame, groups: DataFrame | None) -> DataFrame:
@@ -567,7 +591,11 @@ def link_components(
     Documents with the same ``class`` have equal sets. ``percent`` is the least similarity in
     hundredths, ``size`` the words of a shingle.
     """
-    rows, groups = signed_groups(documents, doc_id, text, size, percent, common, first_pivots)
+    rows, groups, _ = signed_groups(documents, doc_id, text, size, percent, common, first_pivots)
+    return _with_components(rows, groups)
+
+
+def _with_components(rows: DataFrame, groups: DataFrame | None) -> DataFrame:
     classes = with_groups(classes_of(rows), groups).select("class", "group", "least")
     if groups is not None:
         # Only classes that link have a group of several.
@@ -591,6 +619,57 @@ def link_components(
     )
 
 
+def link_pairs(
+    documents: DataFrame,
+    doc_id: str = "doc_id",
+    text: str = "text",
+    size: int = SHINGLE,
+    percent: int = PERCENT,
+    common: int = COMMON,
+    first_pivots: int = FIRST_PIVOTS,
+) -> tuple[DataFrame, DataFrame]:
+    """All links: the members (doc_id, n_shingles, component_id, class) of the classes, and the
+    pairs (a, b) of different classes that link, each once with a < b.
+
+    Every two documents of one class link, and every document of ``a`` with every one of ``b``.
+    """
+    rows, groups, links = signed_groups(
+        documents, doc_id, text, size, percent, common, first_pivots, all_links=True
+    )
+    if links is None:
+        links = documents.sparkSession.createDataFrame([], "a long, b long")
+    return _with_components(rows, groups), links
+
+
+def link_counts(documents: DataFrame, *args, **settings) -> DataFrame:
+    """(doc_id, n_shingles, component_id, class_id, n_links) of each document.
+
+    ``n_links`` counts the other rows that a row links with, copies of its own text among them.
+    """
+    members, links = link_pairs(documents, *args, **settings)
+    sizes = (
+        members.where(F.col("class").isNotNull())
+        .groupBy("class")
+        .agg(F.count(F.lit(1)).alias("n_rows"))
+    )
+    both = links.union(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    others = (
+        both.join(sizes.withColumnRenamed("class", "b"), "b")
+        .groupBy(F.col("a").alias("class"))
+        .agg(F.sum("n_rows").alias("n_others"))
+    )
+    of_class = sizes.join(others, "class", "left").select(
+        "class", (F.col("n_rows") - 1 + F.coalesce("n_others", F.lit(0))).alias("n_links")
+    )
+    return members.join(of_class, "class", "left").select(
+        "doc_id",
+        "n_shingles",
+        "component_id",
+        F.col("class").alias("class_id"),
+        F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links"),
+    )
+
+
 def keep_one(
     documents: DataFrame,
     doc_id: str = "doc_id",
@@ -606,7 +685,7 @@ def keep_one(
     A text whose class has one row and no link stays where it is; only the others, told by a bit
     table of fixed size, move to be joined with the decision.
     """
-    rows, groups = signed_groups(documents, doc_id, text, size, percent, common, first_pivots)
+    rows, groups, _ = signed_groups(documents, doc_id, text, size, percent, common, first_pivots)
     classes = store(with_groups(classes_of(rows), groups), "classes")
     linking = classes.groupBy("group").agg(
         F.count(F.lit(1)).alias("n_classes"), F.sum("n_rows").alias("n_rows")

@@ -153,3 +153,33 @@ def test_one_of_odd_rows_stays(odd_documents, no_documents):
     assert ids[1] == 1 and ids[2] == 1 and ids[3] == ids[4] == ids[5] == ids[6] == 1
     assert sum(row["text"] is None for row in kept) == 2
     assert keep_one(no_documents).collect() == []
+
+
+@pytest.mark.parametrize(("seed", "settings"), [(1, {}), (2, {"common": 0, "first_pivots": 1})])
+def test_all_links_against_all_pairs(spark, seed, settings):
+    texts = corpus(seed)
+    sets = [shingles(x) for x in texts]
+    linked = [
+        {j for j, b in enumerate(sets) if j != i and a and b and 100 * len(a & b) >= 75 * len(a | b)}
+        for i, a in enumerate(sets)
+    ]
+    _, roots = brute(texts)
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rows = jaccard_join.link_counts(frame.repartition(3), **settings).collect()
+    assert len(rows) == len(texts)
+    assert {r["doc_id"]: r["n_links"] for r in rows} == dict(enumerate(map(len, linked)))
+    assert {r["doc_id"]: r["component_id"] for r in rows} == dict(enumerate(roots))
+    classes = {r["doc_id"]: r["class_id"] for r in rows}
+    for i, a in enumerate(sets):
+        assert all((classes[i] == classes[j]) == (a == b) for j, b in enumerate(sets))
+    # More links than hold the groups together: the test would be empty otherwise.
+    assert sum(map(len, linked)) // 2 > len(texts) - len(set(roots))
+
+
+def test_links_of_odd_rows(odd_documents, no_documents):
+    rows = jaccard_join.link_counts(odd_documents).collect()
+    assert len(rows) == odd_documents.count()
+    assert all(r["n_links"] == 0 and r["class_id"] is None for r in rows if r["n_shingles"] == 0)
+    # A repeated row and a copy under another id; the same words once instead of three times too.
+    assert sorted(r["n_links"] for r in rows if r["doc_id"] == 1)[0] >= 2
+    assert jaccard_join.link_counts(no_documents).collect() == []
