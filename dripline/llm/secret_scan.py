@@ -13,7 +13,8 @@ bits of the secret; compressed data has no finer place than the whole compressed
 Defined results: null counts as empty and has no spans. Rows are scanned one by one: repeated
 rows give repeated results, a null id stays null, other columns are not read. A kind found twice
 at one place (also by two ways of decoding) is one span. One limit guards against decompression
-bombs: ``max_layer_chars`` for one decoded layer; ``n_unopened`` counts the parts beyond it.
+bombs: ``max_layer_chars`` for one decoded layer; ``n_unopened`` counts the parts beyond it, and
+redaction removes each such part as a whole.
 """
 
 from __future__ import annotations
@@ -45,6 +46,8 @@ ASSIGN_VALUE_CHARS = 8
 ACCESS = re.compile(r"AKIA[A-Z0-9]{12,}")
 HEX = re.compile(r"[0-9a-f]{32,}")
 KINDS = ("assign", "access", "hex")
+# Of a part that was not opened, in redacted texts.
+UNOPENED = "unopened"
 
 MAX_LAYER_CHARS = 1 << 24
 
@@ -129,6 +132,14 @@ class Unopened(Exception):
     """A part whose content is longer than the limit."""
 
 
+@dataclass
+class TooLong:
+    """The range of the original of a part that was not opened."""
+
+    low: int
+    high: int
+
+
 @dataclass(frozen=True)
 class Format:
     """A compressed format: how its data begins, and a reader of one member (stream or frame).
@@ -235,8 +246,10 @@ BASE64 = re.compile(
 _URL_SAFE = str.maketrans("-_", "+/")
 
 
-def unpacked(part: Data, limit: int) -> Iterator[Data | None]:
-    """The contents of what is compressed in some bytes, wherever it begins; None: too long.
+def unpacked(part: Data, limit: int) -> Iterator[Data | TooLong]:
+    """The contents of what is compressed in some bytes, wherever it begins.
+
+    Where a part that is too long ends is not known, so it counts to the end of the bytes.
 
     The search goes on behind what was unpacked whole. Bytes that only look like a beginning, and
     damaged or cut data, may hide a further beginning.
@@ -248,7 +261,7 @@ def unpacked(part: Data, limit: int) -> Iterator[Data | None]:
         try:
             content, end, whole = decompressed(part.data, form, start, limit)
         except Unopened:
-            yield None
+            yield TooLong(*part.range(start, len(part.data)))
             continue
         if whole:
             at = end
@@ -423,8 +436,8 @@ _PLAIN_RUN = re.compile(rb"[\x20-\x7e\t\r\n]{12,}")
 DECODERS = (percent_layers, unicode_layers, base64_layers)
 
 
-def _inner(item: Layer | Data, limit: int) -> Iterator[Layer | Data | None]:
-    """What one step of decoding makes of a layer or of decoded bytes; None: a part too long."""
+def _inner(item: Layer | Data, limit: int) -> Iterator[Layer | Data | TooLong]:
+    """What one step of decoding makes of a layer or of decoded bytes."""
     if isinstance(item, Layer):
         for decoder in DECODERS:
             yield from decoder(item)
@@ -436,16 +449,24 @@ def _inner(item: Layer | Data, limit: int) -> Iterator[Layer | Data | None]:
 
 def scan(text: str, limit: int = MAX_LAYER_CHARS) -> tuple[list[Span], list[Span], dict, int]:
     """Spans of the text itself, all spans, the path of each added one, parts not opened."""
+    base, spans, paths, unopened = scan_places(text, limit)
+    return base, spans, paths, len(unopened)
+
+
+def scan_places(
+    text: str, limit: int = MAX_LAYER_CHARS
+) -> tuple[list[Span], list[Span], dict, list[tuple[int, int]]]:
+    """What :func:`scan` gives, with the places of the parts not opened instead of their number."""
     base = base_spans(text)
     paths: dict[Span, tuple[str, ...]] = {span: () for span in base}
-    unopened = 0
+    unopened: list[tuple[int, int]] = []
     worklist: list[Layer | Data] = [Layer(text, None, None)]
     seen: set[tuple[type, int, int, bytes]] = set()
     while worklist:
         item = worklist.pop()
         for inner in _inner(item, limit):
-            if inner is None:
-                unopened += 1
+            if isinstance(inner, TooLong):
+                unopened.append((inner.low, inner.high))
                 continue
             is_text = isinstance(inner, Layer)
             content = inner.text.encode("utf-8", "surrogatepass") if is_text else inner.data
@@ -538,16 +559,22 @@ def find_secrets(
 def redacted(text: str, mark: str = "[{kind}]", limit: int = MAX_LAYER_CHARS) -> str:
     """A text with every secret replaced by a mark that names its kind.
 
-    Where spans touch or overlap, their union becomes one mark, named after the first of them.
+    Where spans touch or overlap, their union becomes one mark, named after the first of them. A
+    part that was too long to be opened may hold secrets: the whole of it becomes a mark, of the
+    kind :data:`UNOPENED`.
     """
+    _, spans, _, unopened = scan_places(text, limit)
+    places = [(start, KINDS[kind], end) for start, kind, end in spans]
+    if unopened:
+        places = sorted([*places, *((low, UNOPENED, high) for low, high in unopened)])
     out, at, union = [], 0, []
-    for start, kind, end in scan(text, limit)[1]:
+    for start, kind, end in places:
         if union and start < union[-1][2]:
             union[-1] = (union[-1][0], union[-1][1], max(end, union[-1][2]))
         else:
             union.append((start, kind, end))
     for start, kind, end in union:
-        out += [text[at:start], mark.format(kind=KINDS[kind])]
+        out += [text[at:start], mark.format(kind=kind)]
         at = end
     return "".join([*out, text[at:]])
 

@@ -263,3 +263,15 @@ def test_base64_in_lines(pack, width, first, between, last):
 def test_runs_of_letters_take_linear_time():
     for text in ("x" * 300_000, "abc\n" * 100_000, '"' * 100_000, "%78%9c" * 20_000, " \t" * 100_000):
         assert scan(text)[1] == []
+
+
+def test_what_is_too_long_to_be_opened_is_redacted_whole():
+    content = b"a" * 20_000 + SECRET.encode()
+    for name, pack in PACKERS.items():
+        hidden = base64.b64encode(pack(content)).decode()
+        text = f"see {hidden} and token: abcdefgh1 end"
+        assert scan(text, limit=10_000)[3] >= 1, name
+        out = redacted(text, limit=10_000)
+        assert "[unopened]" in out and out.endswith(" and [assign] end"), name
+        assert not hides_secret(out), name
+        assert "[unopened]" not in redacted(text), name
