@@ -7,28 +7,28 @@ domains. A document then adds to every domain in proportion to its posterior.
 
 The mixture is a rate for each document (how often it is drawn, 0 or more) such that the expected
 tokens by domain match the targets. Among all such rates, those nearest to 1 are wanted (least
-squares over tokens). They are found by projected gradient descent with lazy projection: the
-gradients by domain are summed up, and a document's rate is
+squares over tokens). They are found by lazy projection with damped Newton steps instead of plain
+gradient steps: the steps by domain are summed up, and a document's rate is
 
-    1 - posterior . summed gradients, projected to 0 or above (to 0 .. max_rate if there is one)
+    1 - posterior . summed steps, projected to 0 or above (to 0 .. max_rate if there is one)
 
 One step needs the tokens drawn by domain and their curvature (how they answer to a change), a few
-sums over all documents; the curvature scales the step, and a step that gains too little of the
-dual value (least squares plus gradients, which is largest at the wanted rates) is halved. It ends
-when the targets are met or, if they cannot be, when no step gains, and then has the rates that
-came nearest. Tokens wanted and drawn by domain are returned, and a miss is logged as a warning. A
-domain without a target takes no part: its tokens follow from the others. Rates are an expression
-of the posterior, so none are stored or moved.
+sums over all documents; a step solves the small matrix of curvatures on the driver, and a step that
+gains too little of the dual value (least squares plus the steps' part, which is largest at the
+wanted rates) is halved. It ends when the targets are met or, if they cannot be, when no step gains,
+and then has the rates that came nearest. Tokens wanted and drawn by domain are returned, and a miss
+is logged as a warning. A domain without a target takes no part: its tokens follow from the others.
+Rates are an expression of the posterior, so none are stored or moved.
 
 Bounds: the classifier is counted on at most ``per_domain`` labelled documents of each domain (the
 smallest by hash) and uses at most ``n_words`` words; everything else covers all documents. Only
 sums by domain, the classifier's table and the steps reach the driver.
 
 Defined results: labels without a document here teach nothing, not even the prior. A null or empty
-text has no tokens and keeps the rate its posterior gives; a null
-id is not learned. Repeated rows are learned once and count each in the totals. A domain without
-labelled documents, or without tokens, takes no part; if none is left, every rate is 1. An empty
-table gives no rows. Columns other than the named ones are not read.
+text has no tokens and keeps the rate its posterior gives; a null id is not learned. Repeated rows
+are learned once and count each in the totals. A domain without labelled documents, or without
+tokens, takes no part; if none is left, every rate is 1. An empty table gives no rows. Columns other
+than the named ones are not read.
 """
 
 from __future__ import annotations
