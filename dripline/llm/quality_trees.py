@@ -29,7 +29,14 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from dripline.llm.support import fold, held_out, labelled_sample, ship, strings
+from dripline.llm.support import (
+    collect_sorted,
+    fold,
+    held_out,
+    labelled_sample,
+    ship,
+    strings,
+)
 
 PER_CLASS = 10_000
 FOLDS, HELD_OUT = 5, 0
@@ -225,10 +232,9 @@ def fit(
             )
 
     sample = labelled_sample(documents, labels, label, FOLDS, HELD_OUT, per_class)
-    known = (
-        sample.mapInArrow(measure, "doc_id string, label int, found array<double>")
-        .orderBy("doc_id")
-        .toArrow()
+    known = collect_sorted(
+        sample.mapInArrow(measure, "doc_id string, label int, found array<double>"),
+        "doc_id",
     )
     target = known.column("label").to_numpy().astype(float)
     if len(set(target)) < 2:  # the labelled texts of a class are missing

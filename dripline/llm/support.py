@@ -119,12 +119,14 @@ def labelled_sample(
 ) -> DataFrame:
     """(doc_id, text, label) of at most ``per_class`` documents of each label, none held out.
 
-    An id with several label rows has the largest of them. An id with several texts gives the
-    first by content, so that repeated rows are learned once.
+    Labels are 0 and 1; others are not learned. An id with several label rows has the largest of
+    them. An id with several texts gives the first by content, so that repeated rows are learned
+    once. At most ``2 * per_class`` ids are chosen, so they go to the documents by broadcast and
+    only texts of the sample are shuffled.
     """
     known = (
         labels.select("doc_id", F.col(label).cast("int").alias("label"))
-        .where(F.col("label").isNotNull() & F.col("doc_id").isNotNull())
+        .where(F.col("label").isin(0, 1) & F.col("doc_id").isNotNull())
         .where(fold(F.col("doc_id"), folds) != remainder)
         .groupBy("doc_id")
         .agg(F.max("label").alias("label"))
@@ -132,12 +134,18 @@ def labelled_sample(
     chosen = smallest_by_hash(known, "label", "doc_id", per_class)
     return (
         documents.select("doc_id", "text")
-        .join(chosen, "doc_id")
+        .join(F.broadcast(chosen), "doc_id")
         .groupBy("doc_id", "label")
         .agg(F.min("text").alias("text"))
     )
 
 
+def collect_sorted(sample: DataFrame, by: str) -> pa.Table:
+    """A bounded sample on the driver, sorted there: a sort in Spark would compute it twice."""
+    found = sample.toArrow()
+    return found.sort_by(by) if found.num_rows else found
+
+
 # ------------------------------------------------------------------ Arrow columns
 
 

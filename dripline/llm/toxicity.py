@@ -27,7 +27,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from dripline.llm.grams import code_points, gram_buckets
-from dripline.llm.support import fold, held_out, labelled_sample, ship, strings
+from dripline.llm.support import (
+    collect_sorted,
+    fold,
+    held_out,
+    labelled_sample,
+    ship,
+    strings,
+)
 from dripline.session import materialize
 
 SIZES = (4, 6, 8)
@@ -194,10 +201,9 @@ def fit(
                 names=["doc_id", "label", "features"],
             )
 
-    rows = (
-        sample.mapInArrow(places, "doc_id string, label int, features array<int>")
-        .orderBy("doc_id")
-        .toArrow()
+    rows = collect_sorted(
+        sample.mapInArrow(places, "doc_id string, label int, features array<int>"),
+        "doc_id",
     )
     target = rows.column("label").to_numpy().astype(float)
     features = [np.asarray(x.values) for x in rows.column("features")]
