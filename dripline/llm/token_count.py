@@ -10,10 +10,9 @@ The table is made from a bounded sample (the ``sample_docs`` documents with the
 at most ``table_size`` entries). It decides how often tier two is asked, never a count. A worker
 empties its cache when that holds ``cache_size`` entries.
 
-The short way holds for the tokenizers whose file states the cut below and for characters whose
-treatment is beyond doubt (below U+0250, where normal form C changes nothing and Unicode versions
-agree). All other texts, texts with one of the tokenizer's special strings, and other tokenizers
-are encoded whole by the library.
+Words and their parts are those of :mod:`dripline.llm.pretokens`, in any script. Only texts with
+one of the tokenizer's special strings or with a word that the normal form changes a second time,
+and tokenizers with another cut, are encoded whole by the library.
 
 Defined results: a null or empty text has 0 bytes and 0 tokens. Rows are counted one by one:
 repeated rows give repeated results, a null id stays null, other columns are not read. An empty
@@ -22,17 +21,13 @@ table gives an empty result.
 
 from __future__ import annotations
 
-import json
-import os
-import re
-import unicodedata
 from collections import Counter
 from collections.abc import Iterator
-from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from dripline.llm.pretokens import Words
 from dripline.llm.support import ship, strings
 
 SAMPLE_DOCS = 2_000
@@ -41,24 +36,8 @@ CACHE_SIZE = 1_000_000
 LIMIT = 2048
 GROUP_CHARS = 1 << 20
 
-# Fixed value: the cut into pre-tokens as the vocabulary file states it.
-STATED_CUT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
-STATED_STEPS = ["NFC", "Replace", "Lowercase"]
-
-
-def _class(kind: str) -> str:
-    """The characters below U+0250 whose Unicode category begins with a letter, for a pattern."""
-    return "".join(
-        f"\\u{i:04x}" for i in range(0x250) if unicodedata.category(chr(i)).startswith(kind)
-    )
-
-
-# The same cut for what white space divides, below U+0250.
-_CUT = re.compile(
-    f"[{_class('L')}]+|'(?:s|t|re|ve|m|ll|d)|[{_class('N')}]|[^{_class('L')}{_class('N')}]+"
-)
-# U+001C to U+001F divide words in Python only; U+0130 becomes two characters in lower case.
-_NOT_PLAIN = re.compile("[\x1c-\x1fİɐ-\U0010ffff]")
+# Less than any sum of counts: a text with such a word is encoded whole.
+NOT_ALONE = -(1 << 60)
 
 
 class TokenCounter:
@@ -68,47 +47,36 @@ class TokenCounter:
         self.table: dict[str, int] = {}
         self.cache: dict[str, int] = {}
         self.cache_size = cache_size
-        self.by_words = False
+        self.cut: Words | None = None
         if path.endswith(".model"):
             import sentencepiece
 
             model = sentencepiece.SentencePieceProcessor(model_file=path)
             self.whole = lambda texts: [len(x) for x in model.encode(texts, num_threads=1)]
             return
-        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        from tokenizers import Tokenizer
-
-        tokenizer = Tokenizer.from_file(path)
-        tokenizer.no_truncation()
-        tokenizer.no_padding()
-        self.whole = lambda texts: [
-            len(x.ids) for x in tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-        ]
-        stated = json.loads(Path(path).read_text(encoding="utf-8"))
-        self.specials = [x["content"] for x in stated["added_tokens"]]
-        steps = (stated.get("normalizer") or {}).get("normalizers", [])
-        cuts = (stated.get("pre_tokenizer") or {}).get("pretokenizers", [])
-        self.by_words = [x["type"] for x in steps] == STATED_STEPS and [
-            x["pattern"].get("Regex") for x in cuts if x["type"] == "Split"
-        ] == [STATED_CUT]
+        self.cut = Words(path)
+        self.whole = lambda texts: [len(x) for x in self.cut.encode(texts)]
+
+    @property
+    def by_words(self) -> bool:
+        return self.cut is not None and self.cut.by_words
 
     def words(self, text: str) -> list[str] | None:
-        """The lower-cased words of a text, or None if it has to be encoded whole."""
-        if not self.by_words or _NOT_PLAIN.search(text):
-            return None
-        if any(special in text for special in self.specials):
-            return None
-        return text.lower().split()
+        """The normalised words of a text, or None if it has to be encoded whole."""
+        return self.cut.of(text) if self.cut else None
 
     def _learn(self, words: list[str]) -> None:
-        """Put the counts of words, and of their pre-tokens, into the cache."""
+        """Put the counts of words, and of their pre-tokens, into the cache.
+
+        The count of a word that can't be encoded alone is :data:`NOT_ALONE`.
+        """
         cache = self.cache
-        cut = {word: _CUT.findall(word) for word in words}
-        new = list({x for pieces in cut.values() for x in pieces if x not in cache})
+        cut = {word: self.cut.pieces(word) for word in words}
+        new = list({x for pieces in cut.values() for x in pieces or () if x not in cache})
         if new:
             cache.update(zip(new, self.whole(new), strict=True))
         for word, pieces in cut.items():
-            cache[word] = sum(map(cache.__getitem__, pieces))
+            cache[word] = NOT_ALONE if pieces is None else sum(map(cache.__getitem__, pieces))
 
     def count(self, texts: list[str], table: dict[str, int]) -> list[int]:
         """Token counts of whole texts; ``table`` is tier one, which the cache starts from."""
@@ -136,19 +104,14 @@ class TokenCounter:
         }
         if unknown:
             self._learn(list(unknown))
-        entire = iter(
-            self.whole([x for x, words in zip(texts, cut, strict=True) if words is None])
-            if None in cut
-            else ()
-        )
-        out = []
-        for words, counts in zip(cut, known, strict=True):
-            if words is None:
-                out.append(next(entire))
-            elif None in counts:
-                out.append(sum(map(cache.__getitem__, words)))
-            else:
-                out.append(sum(counts))
+            for i, counts in enumerate(known):
+                if counts and None in counts:
+                    known[i] = list(map(cache.__getitem__, cut[i]))
+        out = [NOT_ALONE if counts is None else sum(counts) for counts in known]
+        entire = [i for i, n in enumerate(out) if n < 0]
+        if entire:
+            for i, n in zip(entire, self.whole([texts[i] for i in entire]), strict=True):
+                out[i] = n
         return out
 
 
@@ -173,7 +136,9 @@ def frequent_pieces(
         .orderBy(F.xxhash64("doc_id"), "doc_id")
         .limit(sample_docs)
     )
-    texts = documents.join(sample, "doc_id", "left_semi").select("text")
+    texts = (
+        documents.join(F.broadcast(sample), "doc_id", "left_semi").select("text").dropDuplicates()
+    )
 
     def frequent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = counter(tokenizer)
@@ -185,7 +150,7 @@ def frequent_pieces(
                     seen.update(words)
         pieces: Counter[str] = Counter()
         for word, n in seen.items():
-            for piece in _CUT.findall(word):
+            for piece in own.cut.pieces(word) or ():
                 pieces[piece] += n
         top = pieces.most_common(table_size)
         yield pa.RecordBatch.from_arrays(
@@ -197,8 +162,9 @@ def frequent_pieces(
             names=["piece", "n", "tokens"],
         )
 
-    # The whole sample is bounded, so one task may hold its distinct pre-tokens.
-    found = texts.coalesce(1).mapInArrow(frequent, "piece string, n long, tokens int")
+    # The whole sample is bounded, so one task may hold its distinct pre-tokens. The documents are
+    # read by as many tasks as ever; only the sample moves.
+    found = texts.repartition(1).mapInArrow(frequent, "piece string, n long, tokens int")
     return {row["piece"]: row["tokens"] for row in found.select("piece", "tokens").collect()}
 
 

@@ -72,3 +72,40 @@ def test_odd_rows(odd_documents, no_documents):
 def test_table_is_bounded(odd_documents):
     table = token_count.frequent_pieces(odd_documents, PATH, 3, 7)
     assert len(table) <= 7
+
+
+def test_every_script_is_looked_up():
+    texts = [
+        "curly ’ quote, “so” it’s — an em dash…",
+        "Привет, МИР! Ещё раз: 12 ½ №5",
+        "漢字仮名交じり文の例です。 안녕 하세요 مرحبا بالعالم नमस्ते",
+        "décomposé Å ẞ ﬁn",
+        " wide　spaces and lines\u0085",
+    ]
+    counter = TokenCounter(PATH)
+    assert all(counter.words(x) for x in texts)
+    calls, table = [], {}
+    whole = counter.whole
+    counter.whole = lambda found: calls.append(list(found)) or whole(found)
+    assert counter.count(texts, table) == library_counts(texts)
+    assert not any(" " in x for found in calls for x in found)
+    n = len(calls)
+    assert counter.count(texts, table) == library_counts(texts) and len(calls) == n
+
+
+def test_words_that_change_twice_are_left_to_the_library():
+    texts = ["a J̌b c", "plain", "J̌", "x " * 50 + "J̌"]
+    counter = TokenCounter(PATH)
+    assert counter.words(texts[0]) == ["a", "ǰb", "c"]
+    for _ in range(2):
+        assert counter.count(texts, {}) == library_counts(texts)
+
+
+def test_random_code_points_count_as_the_library_counts():
+    generator = random.Random(11)
+    points = [i for i in range(1, 0x30000) if not 0xD800 <= i < 0xE000]
+    texts = [
+        " ".join("".join(map(chr, generator.choices(points, k=3))) + "aB" for _ in range(6))
+        for _ in range(3000)
+    ]
+    assert TokenCounter(PATH).count(texts, {}) == library_counts(texts)
