@@ -14,6 +14,7 @@ from dripline.llm import (
     jaccard_join,
     language,
     mixing,
+    packing,
     quality_trees,
     secret_scan,
     token_count,
@@ -106,6 +107,19 @@ def source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "n_tokens", *shares, "rate")
 
 
+def sequence_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    packed = packing.pack(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
+    return packed.select(
+        "doc_id",
+        "start",
+        "length",
+        F.crc32("ids").alias("ids_crc32"),
+        "doc_tokens",
+        "sequence_id",
+        "offset",
+    )
+
+
 QUERIES: dict[str, Query] = {
     "op1_secret_scans": secret_scans,
     "op2_language_id": language_id,
@@ -117,6 +131,7 @@ QUERIES: dict[str, Query] = {
     "op8_token_counts": token_counts,
     "op9_benchmark_decontamination": benchmark_decontamination,
     "op10_mixing": source_mixing,
+    "op13_packing": sequence_packing,
 }
 
 ALL_QUERIES: dict[str, Query] = {**QUERIES, "pipeline": corpus_pipeline.run}
