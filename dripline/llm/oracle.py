@@ -153,9 +153,91 @@ FROM docs JOIN reach ON origin = docs.doc_id LEFT JOIN sizes USING (doc_id)
 GROUP BY docs.doc_id
 """
 
+
+
+def _merkle_levels(first: str, first_way: str, name: str, levels: int) -> tuple[str, str, str]:
+    """CTEs of ``levels`` rounds over nodes (tree, place, digest, size), and of the way up from
+    leaves (row_key, tree, place, proof, folded). Returns them, the last nodes and the last ways."""
+    parts = []
+    nodes, way = first, first_way
+    for i in range(1, levels + 1):
+        parts.append(f"""
+{name}_run{i} AS MATERIALIZED (
+    SELECT tree, place // 8 AS place, size, list(digest ORDER BY place) AS digests
+    FROM {nodes} GROUP BY tree, place // 8, size
+), {name}_nodes{i} AS MATERIALIZED (
+    SELECT tree, place, (size + 7) // 8 AS size,
+        CASE WHEN size = 1 THEN digests[1] ELSE sha256(array_to_string(digests, '')) END AS digest
+    FROM {name}_run{i}
+), {name}_way{i} AS MATERIALIZED (
+    SELECT row_key, tree, w.place // 8 AS place,
+        proof || array_to_string(digests[: w.place % 8], '')
+            || array_to_string(digests[w.place % 8 + 2 :], '') AS proof,
+        CASE WHEN size = 1 THEN folded ELSE sha256(
+            array_to_string(digests[: w.place % 8], '') || folded
+            || array_to_string(digests[w.place % 8 + 2 :], '')) END AS folded
+    FROM {way} w JOIN {name}_run{i} r USING (tree) WHERE r.place = w.place // 8
+)""")
+        nodes, way = f"{name}_nodes{i}", f"{name}_way{i}"
+    return ",".join(parts), nodes, way
+
+
+def _merkle_manifest(levels: int = 10) -> str:
+    """The whole tree, level by level; ten levels of eight hold 8 ** 10 rows of a language."""
+    lower, subroots, lower_way = _merkle_levels("leaves", "start", "lower", levels)
+    upper, roots, upper_way = _merkle_levels("tops", "top_start", "upper", levels)
+    fields = " || ".join(
+        f"coalesce(strlen(cast({name} AS VARCHAR)) || ':' || {name}, '-')"
+        for name in ("doc_id", "source", "lang", "n_chars")
+    )
+    leaf = f"sha256({fields} || coalesce(strlen({{0}}) || ':' || {{0}}, '-'))"
+    upper_case, lower_case = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+    return f"""
+WITH crc AS MATERIALIZED (
+    SELECT list(c ORDER BY i) AS t FROM (
+        SELECT i, list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, k:
+            CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS c
+        FROM range(256) r(i))
+), numbered AS MATERIALIZED (
+    SELECT row_number() OVER () AS row_key, * FROM (
+        SELECT doc_id, lang, text, n_chars, source, xor(4294967295, list_reduce(
+            [4294967295] || list_transform(
+                string_split(cast(doc_id AS VARCHAR), ''), lambda x: cast(ascii(x) AS BIGINT)),
+            lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1]))) AS crc
+        FROM documents, crc)
+), hashed AS MATERIALIZED (
+    SELECT row_key, doc_id, lang, {leaf.format("text")} AS leaf,
+        CASE WHEN crc % 3 = 0 THEN translate(text, '{upper_case}', '{lower_case}') ELSE text END
+            AS present,
+        source, n_chars
+    FROM numbered
+), languages AS MATERIALIZED (
+    SELECT lang AS own_lang, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS tree, size
+    FROM (SELECT lang, count(*) AS size FROM documents GROUP BY lang)
+), placed AS MATERIALIZED (
+    SELECT row_key, doc_id, leaf, {leaf.format("present")} AS present, tree, size,
+        row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, leaf) - 1 AS place
+    FROM hashed h JOIN languages l ON lang IS NOT DISTINCT FROM own_lang
+), leaves AS (
+    SELECT tree, place, size, leaf AS digest FROM placed
+), start AS (
+    SELECT row_key, tree, place, '' AS proof, present AS folded FROM placed
+), {lower}, tops AS MATERIALIZED (
+    SELECT 0 AS tree, tree AS place, count(*) OVER () AS size, digest FROM {subroots}
+), top_start AS (
+    SELECT row_key, 0 AS tree, tree AS place, proof, folded FROM {lower_way}
+), {upper}
+SELECT doc_id, leaf, s.digest AS subroot, r.digest AS root, sha256(proof) AS proof_sha256,
+    folded AS folded_root, folded = r.digest AS verified
+FROM placed JOIN {upper_way} w USING (row_key) JOIN tops s ON s.place = placed.tree
+    CROSS JOIN {roots} r
+"""
+
+
 ORACLE_SQL: dict[str, str] = {
     "op5_ngram_jaccard_join": NGRAM_JACCARD_JOIN,
     "op6_quality_rules": QUALITY_RULES,
     "op7_chat_formatting": CHAT_FORMATTING,
     "op9_benchmark_decontamination": BENCHMARK_DECONTAMINATION,
+    "op11_merkle_manifest": _merkle_manifest(),
 }

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from string import ascii_lowercase, ascii_uppercase
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -13,6 +14,7 @@ from dripline.llm import (
     host_rules,
     jaccard_join,
     language,
+    merkle,
     mixing,
     packing,
     quality_trees,
@@ -107,6 +109,14 @@ def source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "n_tokens", *shares, "rate")
 
 
+def merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Proofs of all documents; of a third of them the text is presented in lower case."""
+    tampered = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 0
+    lowered = F.translate("text", ascii_uppercase, ascii_lowercase)
+    text = F.when(tampered, lowered).otherwise(F.col("text"))
+    return merkle.manifest(table(spark, sf_dir, "documents"), presented={"text": text})
+
+
 def sequence_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     packed = packing.pack(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
     return packed.select(
@@ -131,6 +141,7 @@ QUERIES: dict[str, Query] = {
     "op8_token_counts": token_counts,
     "op9_benchmark_decontamination": benchmark_decontamination,
     "op10_mixing": source_mixing,
+    "op11_merkle_manifest": merkle_manifest,
     "op13_packing": sequence_packing,
 }
 
