@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 import corpus_pipeline
 from dripline.llm import (
+    alignment,
     chat_format,
     decontaminate,
     host_rules,
@@ -117,6 +118,14 @@ def merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.manifest(table(spark, sf_dir, "documents"), presented={"text": text})
 
 
+def token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.align(
+        table(spark, sf_dir, "documents"),
+        tokenizer_path("byte_bpe_50k.json"),
+        tokenizer_path("piece_bpe_32k.model"),
+    )
+
+
 def sequence_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     packed = packing.pack(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
     return packed.select(
@@ -142,6 +151,7 @@ QUERIES: dict[str, Query] = {
     "op9_benchmark_decontamination": benchmark_decontamination,
     "op10_mixing": source_mixing,
     "op11_merkle_manifest": merkle_manifest,
+    "op12_token_alignment": token_alignment,
     "op13_packing": sequence_packing,
 }
 
