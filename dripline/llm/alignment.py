@@ -21,18 +21,22 @@ stays null. Columns other than the named are not read. An empty table gives no r
 
 from __future__ import annotations
 
+import json
 import os
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from hashlib import sha256
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
+from dripline.llm.pretokens import ByteWords
 from dripline.llm.support import ship, store, strings
 
 TABLE_SIZE = 1 << 20
+CACHE_SIZE = 1_000_000
 HOT_SHARE = 1_000
 _GROUP_CHARS = 1 << 19
 
@@ -73,19 +77,25 @@ class Vocabulary:
             tokenizer.encode_special_tokens = True
             tokenizer.no_truncation()
             tokenizer.no_padding()
-            self.encode = lambda texts: [
-                x.ids
-                for x in tokenizer.encode_batch_fast(
-                    [f" {x}" for x in texts], add_special_tokens=False
-                )
-            ]
+            stated = json.loads(Path(path).read_text(encoding="utf-8"))
+            words = ByteWords(tokenizer, stated, CACHE_SIZE)
+            self.encode = lambda texts: words.encode([f" {x}" for x in texts])
             byte = byte_of_character()
             self.spelled = [
                 bytes(byte[c] for c in x) if x is not None and all(c in byte for c in x) else b""
                 for x in map(tokenizer.id_to_token, range(tokenizer.get_vocab_size()))
             ]
+        self.spelled = np.array(self.spelled, dtype=object)
         self.lengths = np.array([len(x) for x in self.spelled], dtype=np.int64)
-        self.names = np.array([f"{i}," for i in range(len(self.spelled))], dtype=object)
+        # How an id is written inside a group, at the end of A's part and at the end of B's.
+        self.inside, self.last_a, self.last_b = (
+            np.array([f"{i}{end}" for i in range(len(self.spelled))], dtype=object)
+            for end in ",|;"
+        )
+
+
+    def spells(self, ids: list[int] | np.ndarray, whole: bytes) -> bool:
+        return b"".join(self.spelled[np.asarray(ids, np.int64)].tolist()) == whole
 
 
 @dataclass
@@ -110,14 +120,10 @@ class Aligner:
         ids = zip(texts, self.a.encode(texts), self.b.encode(texts), strict=True)
         for text, ids_a, ids_b in ids:
             whole = f" {text}".encode()
-            if (
-                not text
-                or b"".join(map(self.a.spelled.__getitem__, ids_a)) != whole
-                or b"".join(map(self.b.spelled.__getitem__, ids_b)) != whole
-            ):
-                yield Alignment()
+            if text and self.a.spells(ids_a, whole) and self.b.spells(ids_b, whole):
+                yield self._aligned(np.array(ids_a, np.int64), np.array(ids_b, np.int64))
             else:
-                yield self._aligned(np.array(ids_a), np.array(ids_b))
+                yield Alignment()
 
     def _aligned(self, ids_a: np.ndarray, ids_b: np.ndarray) -> Alignment:
         ends_a = np.cumsum(self.a.lengths[ids_a])
@@ -125,7 +131,9 @@ class Aligner:
         ends = np.union1d(ends_a, ends_b)
         in_a, in_b = np.searchsorted(ends_a, ends), np.searchsorted(ends_b, ends)
         both = ends[(ends_a[in_a] == ends) & (ends_b[in_b] == ends)]
-        pairs, times = np.unique((ids_a[in_a] << 32) | ids_b[in_b], return_counts=True)
+        links = np.sort((ids_a[in_a] << 32) | ids_b[in_b])
+        first = np.flatnonzero(np.concatenate(([True], links[1:] != links[:-1])))
+        pairs, times = links[first], np.diff(np.append(first, len(links)))
         groups = self._groups(ids_a, ids_b, ends_a, ends_b, both)
         return Alignment(
             len(ids_a),
@@ -143,16 +151,13 @@ class Aligner:
         behind those of A of the same group."""
         until_a = np.searchsorted(ends_a, both, side="right")
         until_b = np.searchsorted(ends_b, both, side="right")
+        before_b = np.concatenate(([0], until_b))
         of_a, of_b = np.searchsorted(both, ends_a), np.searchsorted(both, ends_b)
         out = np.empty(len(ids_a) + len(ids_b), dtype=object)
-        out[np.arange(len(ids_a)) + np.concatenate(([0], until_b))[of_a]] = self.a.names[ids_a]
-        out[np.arange(len(ids_b)) + until_a[of_b]] = self.b.names[ids_b]
-        for ids, until, shift, end in (
-            (ids_a, until_a, np.concatenate(([0], until_b))[:-1], "|"),
-            (ids_b, until_b, until_a, ";"),
-        ):
-            last = until - 1
-            out[last + shift] = [f"{x}{end}" for x in ids[last].tolist()]
+        out[np.arange(len(ids_a)) + before_b[of_a]] = self.a.inside[ids_a]
+        out[np.arange(len(ids_b)) + until_a[of_b]] = self.b.inside[ids_b]
+        out[until_a - 1 + before_b[:-1]] = self.a.last_a[ids_a[until_a - 1]]
+        out[until_b - 1 + until_a] = self.b.last_b[ids_b[until_b - 1]]
         return "".join(out.tolist())[:-1]
 
 

@@ -30,14 +30,14 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
-from dripline.llm.pretokens import Words
+from dripline.llm.pretokens import Codes, Words
 from dripline.llm.support import ship, store, strings
 
 LENGTH = 4096
 END_ID = 2
 GROUP_DOCS = 1024
 MOST_PADDING = 16
-CACHE_SIZE = 400_000
+CACHE_SIZE = 1_000_000
 _GROUP_CHARS = 1 << 20
 _LOCAL_BITS = 24
 
@@ -49,39 +49,26 @@ class IdEncoder:
         self.words = Words(path)
         small = self.words.tokenizer.get_vocab_size() <= 1 << 16
         self.dtype = np.dtype("<u2" if small else "<u4")
-        self.cache: dict[str, bytes | None] = {}
+        self.cache = Codes()
         self.cache_size = cache_size
 
-    def _encode(self, texts: list[str]) -> list[bytes]:
-        return [np.array(x, dtype=self.dtype).tobytes() for x in self.words.encode(texts)]
-
-    def _learn(self, words: set[str]) -> None:
-        """Put the ids of words and of their parts into the cache; None if encoded only in place."""
-        cache = self.cache
-        cut = {word: self.words.pieces(word) for word in words}
-        new = list({x for pieces in cut.values() for x in pieces or () if x not in cache})
-        cache.update(zip(new, self._encode(new), strict=True))
-        for word, pieces in cut.items():
-            cache[word] = None if pieces is None else b"".join(map(cache.__getitem__, pieces))
-
     def encode(self, texts: list[str]) -> list[bytes]:
         if len(self.cache) > self.cache_size:
             self.cache.clear()
-        cache = self.cache
         cut = [self.words.of(text) for text in texts]
-        unknown = {word for words in cut if words for word in words if word not in cache}
-        if unknown:
-            self._learn(unknown)
-        out: list[bytes | None] = []
-        for words in cut:
-            try:
-                out.append(None if words is None else b"".join(map(cache.__getitem__, words)))
-            except TypeError:  # one of the words is encoded only in place
-                out.append(None)
+        known = [None if words is None else self.cache.of(words) for words in cut]
+        if self.cache.new:
+            without = self.cache.fill(self.words.encode_words(self.cache.new, self.dtype))
+            if without:
+                known = [
+                    None if words is None or not without.isdisjoint(words) else found
+                    for words, found in zip(cut, known, strict=True)
+                ]
+        out = [None if found is None else b"".join(found) for found in known]
         entire = [i for i, ids in enumerate(out) if ids is None]
-        if entire:
-            for i, ids in zip(entire, self._encode([texts[i] for i in entire]), strict=True):
-                out[i] = ids
+        encoded = self.words.encode([texts[i] for i in entire])
+        for i, ids in zip(entire, encoded, strict=True):
+            out[i] = np.array(ids, dtype=self.dtype).tobytes()
         return out
 
 

@@ -171,3 +171,16 @@ def test_query(spark, sf_dir, tools):
         if row["doc_id"] in expected:
             assert tuple(row[x] for x in NAMES[:4]) == expected[row["doc_id"]][:4]
             assert row["groups_sha256"] == expected[row["doc_id"]][6]
+
+
+def test_cached_ids_are_those_of_the_library(tools):
+    tokenizer, _, _ = tools
+    generator = random.Random(9)
+    letters = "ab'sStT 01,.!?-\t\n\r\x0b\x1c\x85\xa0ßéǅİ€中😀²½ªÂ ſ’—Ж<|>endoftxtary  "
+    texts = ["".join(generator.choices(letters, k=generator.randint(0, 40))) for _ in range(3000)]
+    texts += [f" {chr(i)} a{chr(i)}b{chr(i)}'{chr(i)}s 1{chr(i)}\n{chr(i)}" for i in range(1, 0x260)]
+    texts += ["a<|endoftext|>b", "it's  I'll\n\n\nwe", "   ", ""]
+    words = Aligner(A, B).a
+    expected = [tokenizer.encode(f" {x}", add_special_tokens=False).ids for x in texts]
+    for _ in range(2):
+        assert [x.tolist() for x in words.encode(texts)] == expected
