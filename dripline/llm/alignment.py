@@ -128,7 +128,8 @@ class Aligner:
     def _aligned(self, ids_a: np.ndarray, ids_b: np.ndarray) -> Alignment:
         ends_a = np.cumsum(self.a.lengths[ids_a])
         ends_b = np.cumsum(self.b.lengths[ids_b])
-        ends = np.union1d(ends_a, ends_b)
+        ends = np.sort(np.concatenate((ends_a, ends_b)))
+        ends = ends[np.append(ends[1:] != ends[:-1], True)]
         in_a, in_b = np.searchsorted(ends_a, ends), np.searchsorted(ends_b, ends)
         both = ends[(ends_a[in_a] == ends) & (ends_b[in_b] == ends)]
         links = np.sort((ids_a[in_a] << 32) | ids_b[in_b])
