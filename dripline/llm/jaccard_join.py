@@ -15,9 +15,10 @@ link, so for them groups are left out of all of the following: each class stays
    few parts. All classes of the region are compared with them. Before the sets are touched, the
    counts of shingles in fixed cells bound the distance from below (the triangle inequality for
    the distances to the cells): only pairs inside that window go on.
-4. Voronoi cells. Every class first meets its nearest pivot by that bound, and its set is moved
-   once. Classes that now belong to one group are not compared again; a class between two cells
-   meets its next pivot too.
+4. Voronoi cells. Every class first meets the pivot whose windows overlap most with its own: one
+   pair for each class, however large the region. Classes that now belong to one group are not
+   compared again. Two groups that met then try one pair of theirs, and so on while that joins
+   groups; only what still stands apart is compared pair by pair.
 5. Recursion. Pivots have met everyone and leave. A region whose remaining classes are in one group
    is done; the others go on with more pivots. Every pair of a region was compared,
    excluded by a bound, or is in one group already: no link between groups is lost.
@@ -46,8 +47,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
-from pyspark.sql import Window
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from dripline.llm.components import components
 from dripline.llm.support import (
@@ -69,6 +69,9 @@ COUNTED_TOGETHER = 1 << 22
 FIRST_PIVOTS = 4
 FILTER_BITS = 24
 
+# Groups go on trying one pair each while at least one in so many of the pairs joins two.
+LEAST_JOINED = 8
+
 _CLASS_SEED, _CHECK_SEED, _CELL_SEED = (np.uint64(x) for x in (0x51, 0xA7, 0xC3))
 
 
@@ -270,7 +273,8 @@ def regions_of(signed: DataFrame) -> DataFrame:
 
 
 def pivot_pairs(regions: DataFrame, parts: int, salt: int, percent: int) -> tuple:
-    """The round's pivots (region, pivot), and the pairs (a, b) of a pivot a and another class b.
+    """The round's pivots (region, pivot), and the pairs (a, b) of a pivot a and another class b
+    with the number of regions in which they met.
 
     Each region is dealt into ``parts`` parts; the most central class of each is a pivot. Pairs
     whose sizes alone keep them apart, and pairs of one group, are left out.
@@ -296,8 +300,8 @@ def pivot_pairs(regions: DataFrame, parts: int, salt: int, percent: int) -> tupl
         others.join(pivots, "region")
         .where(F.col("group_a") != F.col("group_b"))
         .where(100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b"))
-        .select("a", "b", "n_a", "n_b")
-        .dropDuplicates(["a", "b"])
+        .groupBy("a", "b", "n_a", "n_b")
+        .agg(F.count(F.lit(1)).alias("met"))
     )
     return pivots.select("region", "a"), pairs
 
@@ -334,11 +338,11 @@ def within_window(pairs: DataFrame, cells: DataFrame, percent: int) -> DataFrame
     )
 
 
-def _bit_table(classes: DataFrame) -> np.ndarray:
-    """A bit for each hash of a class, 64 in a word: of one size, however many classes there are."""
-    slot = F.shiftrightunsigned("class", 64 - FILTER_BITS)
+def _bit_table(hashes: DataFrame) -> np.ndarray:
+    """A bit for each hash of one column, 64 in a word: of one size, however many there are."""
+    slot = F.shiftrightunsigned(hashes.columns[0], 64 - FILTER_BITS)
     words = (
-        classes.select(slot.alias("slot"))
+        hashes.select(slot.alias("slot"))
         .select(
             F.shiftright("slot", 6).alias("word"),
             F.expr("shiftleft(1L, cast(slot & 63 AS int))").alias("bit"),
@@ -357,18 +361,35 @@ def _has_bit(table: np.ndarray, name: int) -> bool:
     return bool(int(table[slot >> 6]) >> (slot & 63) & 1)
 
 
-def sets_of(docs: DataFrame, classes: DataFrame, size: int) -> DataFrame:
+def _id_hash(doc_id: str = "doc_id") -> Column:
+    return F.xxhash64(doc_id)
+
+
+def sets_of(docs: DataFrame, signed: DataFrame, classes: DataFrame, size: int) -> DataFrame:
     """(class, shingles) of some classes, from the texts.
 
-    A bit table of fixed size keeps nearly all other sets from leaving their task.
+    Every class has one id by which its text is found. Bit tables of fixed size, of these ids and of
+    the classes, leave nearly all other texts unread and keep other sets from leaving their task.
     """
-    wanted = docs.sparkSession.sparkContext.broadcast(_bit_table(classes))
+    context = docs.sparkSession.sparkContext
+    found_by = (
+        signed.join(classes, "class", "left_semi")
+        .groupBy("class")
+        .agg(F.min(_id_hash()).alias("id_hash"))
+    )
+    ids = context.broadcast(_bit_table(found_by.select("id_hash")))
+    wanted = context.broadcast(_bit_table(classes))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = set()
         for batch in batches:
+            slots = batch.column("id_hash").to_numpy().view(np.uint64) >> np.uint64(
+                64 - FILTER_BITS
+            )
+            bits = ids.value[(slots >> np.uint64(6)).astype(np.int64)]
+            named = (bits >> (slots & np.uint64(63))) & np.uint64(1)
             names, sets = [], []
-            for own in shingle_sets(batch.column("text"), size):
+            for own in shingle_sets(batch.column("text").filter(pa.array(named == 1)), size):
                 if len(own) == 0:
                     continue
                 name = set_hash(own, _CLASS_SEED)
@@ -382,7 +403,7 @@ def sets_of(docs: DataFrame, classes: DataFrame, size: int) -> DataFrame:
             )
 
     return (
-        docs.select("text")
+        docs.select(_id_hash().alias("id_hash"), "text")
         .mapInArrow(run, "class long, shingles binary")
         .join(classes, "class", "left_semi")
         .groupBy("class")
@@ -433,9 +454,21 @@ def grouped(pairs: DataFrame, groups: DataFrame) -> DataFrame:
 
 
 def nearest_pivots(pairs: DataFrame) -> DataFrame:
-    """The pair (a, b) of each class b with the pivot that seems nearest."""
-    nearest = F.max(F.struct("most", "a")).alias("nearest")
-    return pairs.groupBy("b").agg(nearest).select(F.col("nearest.a").alias("a"), "b")
+    """The pair (a, b) of each class b with the pivot that it met in most regions."""
+    nearest = F.max(F.struct("met", "a", "n_a", "n_b")).alias("nearest")
+    return pairs.groupBy("b").agg(nearest).select("nearest.a", "b", "nearest.n_a", "nearest.n_b")
+
+
+def nearest_of_groups(pairs: DataFrame) -> DataFrame:
+    """Of all pairs between two groups, the one that met in most regions."""
+    nearest = F.max(F.struct("met", "a", "b", "n_a", "n_b")).alias("nearest")
+    return (
+        pairs.groupBy(
+            F.least("group_a", "group_b").alias("low"), F.greatest("group_a", "group_b").alias("high")
+        )
+        .agg(nearest)
+        .select("nearest.a", "nearest.b", "nearest.n_a", "nearest.n_b")
+    )
 
 
 def class_groups(
@@ -463,41 +496,56 @@ def class_groups(
     while not regions.isEmpty():
         pivots, pairs = pivot_pairs(regions, parts, number, percent)
         pivots = store(pivots, "pivots")
-        possible = within_window(pairs, cells, percent)
         if answered is not None:
-            possible = possible.join(answered, ["a", "b"], "left_anti")
-        waiting = store(possible, "waiting")
-        classes = (
-            waiting.select(F.col("a").alias("class"))
-            .union(waiting.select(F.col("b").alias("class")))
-            .dropDuplicates()
-        )
-        if known is not None:
-            classes = classes.join(known, "class", "left_anti")
-        classes = store(classes, "classes")
-        if not classes.isEmpty():
-            fresh = store(sets_of(docs, classes, size), "sets")
-            sets = fresh if sets is None else sets.unionByName(fresh)
-            known = classes if known is None else known.unionByName(classes)
-        # Each class meets the pivot of its cell first, then all those it is not yet grouped with.
-        chosen = nearest_pivots(waiting)
-        while not waiting.isEmpty():
-            answers = store(linked(chosen, sets, percent), "answers")
-            met = answers.select("a", "b")
-            met = met.union(met.select(F.col("b").alias("a"), F.col("a").alias("b")))
-            answered = met if answered is None else answered.unionByName(met)
-            left = waiting.join(met, ["a", "b"], "left_anti")
-            found = answers.where("links").select("a", "b")
-            if not found.isEmpty():
-                links = found if links is None else links.unionByName(found)
-                if not all_links:
-                    groups = components(links)
-                    left = (
-                        grouped(left, groups)
-                        .where(F.col("group_a") != F.col("group_b"))
-                        .select("a", "b", "n_a", "n_b", "most")
-                    )
-            waiting = chosen = store(left, "waiting")
+            pairs = pairs.join(answered, ["a", "b"], "left_anti")
+        waiting = store(pairs, "waiting")
+        # Each class meets the pivot of its cell first. Then two groups meet by one pair, for as long
+        # as that joins groups. What is left are pairs of groups that seem apart: all are compared.
+        chosen = waiting if all_links else store(nearest_pivots(waiting), "chosen")
+        everyone = all_links
+        while True:
+            possible = store(within_window(chosen, cells, percent), "possible")
+            found = None
+            if not possible.isEmpty():
+                classes = (
+                    possible.select(F.col("a").alias("class"))
+                    .union(possible.select(F.col("b").alias("class")))
+                    .dropDuplicates()
+                )
+                if known is not None:
+                    classes = classes.join(known, "class", "left_anti")
+                classes = store(classes, "classes")
+                if not classes.isEmpty():
+                    fresh = store(sets_of(docs, signed, classes, size), "sets")
+                    sets = fresh if sets is None else sets.unionByName(fresh)
+                    known = classes if known is None else known.unionByName(classes)
+                answers = store(linked(possible, sets, percent), "answers")
+                met = answers.select("a", "b")
+                met = met.union(met.select(F.col("b").alias("a"), F.col("a").alias("b")))
+                answered = met if answered is None else answered.unionByName(met)
+                found = answers.where("links").select("a", "b")
+                if found.isEmpty():
+                    found = None
+                else:
+                    links = found if links is None else links.unionByName(found)
+            if everyone:
+                break
+            if found is not None:
+                groups = components(links)
+            left = waiting.join(chosen, ["a", "b"], "left_anti")
+            if groups is not None:
+                left = grouped(left, groups).where(F.col("group_a") != F.col("group_b"))
+            else:
+                left = left.withColumns({"group_a": F.col("a"), "group_b": F.col("b")})
+            waiting = store(left, "waiting")
+            if waiting.isEmpty():
+                break
+            everyone = found is None or found.count() * LEAST_JOINED < chosen.count()
+            waiting = waiting.select("a", "b", "n_a", "n_b", "met", "group_a", "group_b")
+            chosen = waiting if everyone else store(nearest_of_groups(waiting), "chosen")
+            waiting = waiting.drop("group_a", "group_b")
+        if everyone and links is not None and not all_links:
+            groups = components(links)
         regions = store(_remaining(regions, pivots, groups), "regions")
         parts, number = parts * 4, number + 1
     if all_links and links is not None:
