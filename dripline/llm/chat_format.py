@@ -21,6 +21,7 @@ conversation. Columns other than the named ones are not read.
 from __future__ import annotations
 
 import hashlib
+import math
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -87,7 +88,7 @@ class Flattener:
 
     def _attach(self, kind: str, part: dict) -> None:
         units = part.get("units")
-        units = 1.0 if units is None or units != units else max(0.0, units)
+        units = 1.0 if units is None or not math.isfinite(units) else max(0.0, units)
         tokens = -int(-units * self.unit_tokens[kind] // 1)
         number = len(self.attachments)
         self._end_text()

@@ -344,8 +344,11 @@ def keep_clean(
         judged = contamination(
             names, benchmark, share=share, window=window, k=k, block_words=block_words
         )
-        bad = judged.where("contaminated").select(F.col("doc_id").alias("__digest")).distinct()
-        return documents.join(bad, digest == F.col("__digest"), "left_anti")
+        bad = judged.where("contaminated").select(F.col("doc_id").alias("bad")).distinct()
+        # The row travels as one struct, so that no column of it can meet a name used here.
+        row = F.struct(*(F.col(f"`{name}`") for name in documents.columns))
+        kept = documents.select(row.alias("row"), digest.alias("digest"))
+        return kept.join(bad, F.col("digest") == F.col("bad"), "left_anti").select("row.*")
     rows = [(row["item_id"], row["text"]) for row in items.collect()]
     block = documents.sparkSession.sparkContext.broadcast(build_block(rows, window, k))
 

@@ -745,7 +745,7 @@ def keep_one(
         contested.groupBy("group")
         .agg(F.min(F.struct("least", "class")).alias("first"))
         .select(
-            F.col("first.least.doc_id").alias("__keep_id"), F.col("first.class").alias("__keep")
+            F.col("first.least.doc_id").alias("keep_id"), F.col("first.class").alias("keep")
         )
     )
     bits = documents.sparkSession.sparkContext.broadcast(_bit_table(contested.select("class")))
@@ -759,26 +759,27 @@ def keep_one(
             asked.append(name is not None and _has_bit(bits.value, name))
         return pd.DataFrame({"class": pd.array(names, dtype="Int64"), "contested": asked})
 
+    # The row travels as one struct, so that no column of it can meet a name used here.
     columns = [F.col(f"`{c}`") for c in documents.columns]
-    marked = documents.select(*columns, named(F.col(text)).alias("__named"))
-    alone = marked.where(~F.col("__named.contested")).select(*columns)
-    moved = marked.where(F.col("__named.contested"))
+    marked = documents.select(F.struct(*columns).alias("row"), named(F.col(text)).alias("named"))
+    alone = marked.where(~F.col("named.contested")).select("row.*")
+    moved = marked.where(F.col("named.contested"))
     # A bit may stand for other classes too: what is not contested after all stays as well.
-    known = contested.select(F.col("class").alias("__known"))
+    known = contested.select(F.col("class").alias("known"))
     decided = (
-        moved.join(known, F.col("__named.class") == F.col("__known"), "left")
+        moved.join(known, F.col("named.class") == F.col("known"), "left")
         .join(
             chosen,
-            (F.col("__named.class") == F.col("__keep"))
-            & F.col(doc_id).eqNullSafe(F.col("__keep_id")),
+            (F.col("named.class") == F.col("keep"))
+            & F.col("row").getField(doc_id).eqNullSafe(F.col("keep_id")),
             "left",
         )
-        .where(F.col("__known").isNull() | F.col("__keep").isNotNull())
+        .where(F.col("known").isNull() | F.col("keep").isNotNull())
     )
-    first = Window.partitionBy("__named.class").orderBy(F.col(text), F.to_json(F.struct(*columns)))
+    first = Window.partitionBy("named.class").orderBy(F.col("row").getField(text), F.to_json("row"))
     single = (
-        decided.withColumn("__rank", F.row_number().over(first))
-        .where(F.col("__keep").isNull() | (F.col("__rank") == 1))
-        .select(*columns)
+        decided.withColumn("rank", F.row_number().over(first))
+        .where(F.col("keep").isNull() | (F.col("rank") == 1))
+        .select("row.*")
     )
     return alone.unionByName(single)

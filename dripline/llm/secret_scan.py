@@ -7,6 +7,9 @@ that was seen at the same place with the same content is not entered again, whic
 archive that holds itself). Every character of a layer knows which characters of the original text it came from, so
 a secret found in any layer is reported by its place in the original.
 
+Escapes of escapes are entered layer by layer to a depth of :data:`DEEP`; what is nested deeper at
+one place is decoded in one pass, so that the cost grows with the length of the text alone.
+
 How places are mapped: escapes character by character; base64 by the characters that hold the
 bits of the secret; compressed data has no finer place than the whole compressed part.
 
@@ -435,11 +438,55 @@ _PLAIN_RUN = re.compile(rb"[\x20-\x7e\t\r\n]{12,}")
 
 DECODERS = (percent_layers, unicode_layers, base64_layers)
 
+# Layers of escapes in a row after which the rest of them is decoded in one step. Each layer costs
+# the length of its text, so that chains such as %2525...41 would cost the square of theirs.
+DEEP = 8
+_ESCAPES = {"url", "unicode", "escapes"}
+_ENDS_ESCAPE = set("0123456789ABCDEFabcdef};")
+_ASCII_ESCAPE = re.compile(
+    r"(?:%|\\x|\\u00|\\U000000|\\u\{0{0,4})([0-7][0-9A-Fa-f])\}?\Z"
+    r"|\\u\{0{0,5}([0-9A-Fa-f])\}\Z|&\#[xX]0{0,5}([0-7]?[0-9A-Fa-f]);\Z"
+    r"|&\#(0{0,6}[0-9]|0{0,5}[0-9]{2}|0{0,4}1[0-2][0-9]);\Z"
+)
+
+
+def flattened(layer: Layer) -> Layer | None:
+    """The layer with every escape of an ASCII character decoded, also those that arise by that;
+    None if there are none. One pass: what is decoded joins what stands before it."""
+    low, high = (x.tolist() for x in layer.ranges(0, len(layer.text)))
+    out: list[str] = []
+    lows: list[int] = []
+    highs: list[int] = []
+    changed = False
+    for character, first, last in zip(layer.text, low, high, strict=True):
+        out.append(character)
+        lows.append(first)
+        highs.append(last)
+        while out[-1] in _ENDS_ESCAPE:
+            tail = "".join(out[-12:])
+            match = _ASCII_ESCAPE.search(tail)
+            if match is None or ("{" in match[0]) != match[0].endswith("}"):
+                break
+            n = len(match[0])
+            digits = match[match.lastindex]
+            lows[-n:] = [min(lows[-n:])]
+            highs[-n:] = [max(highs[-n:])]
+            out[-n:] = [chr(int(digits, 10 if match.lastindex == 4 else 16))]
+            changed = True
+    if not changed:
+        return None
+    return Layer("".join(out), np.array(lows), np.array(highs), (*layer.path, "escapes"))
+
 
 def _inner(item: Layer | Data, limit: int) -> Iterator[Layer | Data | TooLong]:
     """What one step of decoding makes of a layer or of decoded bytes."""
     if isinstance(item, Layer):
-        for decoder in DECODERS:
+        flat = None
+        if len(item.path) >= DEEP and _ESCAPES.issuperset(item.path[-DEEP:]):
+            flat = flattened(item)
+        if flat is not None:
+            yield flat
+        for decoder in DECODERS if flat is None else (base64_layers,):
             yield from decoder(item)
         return
     yield from unpacked(item, limit)

@@ -8,6 +8,8 @@ settings.load_profile("no_deadline")
 
 # Names that the operators use inside; here they are columns of the table.
 CLASHING = ["class", "n", "group", "score", "label", "posterior", "words", "spans", "n_tokens"]
+CLASHING += ["row", "named", "known", "keep", "keep_id", "rank", "digest", "bad", "key", "tree"]
+CLASHING += ["__named", "__known", "__keep", "__keep_id", "__rank", "__digest", "__pipeline_score"]
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 PROSE = "the quick brown fox jumps over the lazy dog while nine wizards box with vexing jinx "
 

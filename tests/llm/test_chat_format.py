@@ -1,5 +1,6 @@
 import hashlib
 
+import pytest
 from hypothesis import given, strategies as st
 
 from dripline.llm.chat_format import (
@@ -112,3 +113,12 @@ def test_typed_parts_in_a_table(spark):
     row = format_turns(frame).collect()[0]
     assert row["added_tokens"] == 768 and row["attachments"][0]["ref"] == "u"
     assert read_back(format_turns(frame)).collect()[0]["n_turns"] == 1
+
+
+@pytest.mark.parametrize(
+    ("units", "tokens"), [(None, 7), (float("nan"), 7), (float("inf"), 7), (-float("inf"), 7), (-2.0, 0), (1.5, 11)]
+)
+def test_units_that_are_no_number_count_once(units, tokens):
+    part = {"type": "image", "text": None, "ref": "r", "units": units}
+    _, attachments, added = format_turn("user", [part], {"image": 7})
+    assert attachments[0]["tokens"] == added == tokens

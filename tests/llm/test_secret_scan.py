@@ -1,3 +1,4 @@
+import time
 import base64
 import bz2
 import gzip
@@ -102,6 +103,39 @@ def test_layers_that_repeat_end():
     assert scan("\\u005cu005cu0041" * 3)[3] == 0
 
 
+NESTED = {
+    "percent": lambda n, c: "%" + "25" * n + f"{ord(c):02x}",
+    "unicode": lambda n, c: "\\" + "u005c" * n + f"u{ord(c):04x}",
+    "braces": lambda n, c: "\\" + "u{5c}" * n + f"u{{{ord(c):x}}}",
+    "hex": lambda n, c: "\\" + "x5c" * n + f"x{ord(c):02x}",
+    "entities": lambda n, c: "&" + "#38;" * n + f"#{ord(c)};",
+    "hex entities": lambda n, c: "&" + "#x26;" * n + f"#x{ord(c):x};",
+    "mixed": lambda n, c: "%" + "25" * n + "5cu00" + f"{ord(c):02x}",
+}
+
+
+@pytest.mark.parametrize("name", NESTED)
+@pytest.mark.parametrize("n", [0, 3, 7, 8, 9, 40])
+def test_nested_escapes_are_decoded_to_the_end(name, n):
+    nested = NESTED[name]
+    text = "é " + "".join(nested(n, c) for c in "password") + "=abcdefgh1 x"
+    assert (2, 0, len(text) - 2) in scan(text)[1]
+
+
+@pytest.mark.parametrize("name", NESTED)
+def test_nested_escapes_take_linear_time(name):
+    text = NESTED[name](20_000, "p") + "assword=abcdefgh1 x"
+    started = time.perf_counter()
+    assert (0, 0, len(text) - 2) in scan(text)[1]
+    assert time.perf_counter() - started < 20
+
+
+def test_deep_escapes_beside_other_layers():
+    hidden = base64.b64encode(SECRET.encode()).decode()
+    text = "".join(NESTED["percent"](12, c) for c in hidden) + " %C3%A9 " + "%25" * 9 + "C3%A9"
+    assert [s for s in scan(text)[1] if s[1] == 0]
+
+
 def test_too_long_a_layer_is_counted_and_the_rest_is_read():
     bomb = base64.b64encode(zlib.compress(b"a" * 100_000)).decode()
     other = base64.b64encode(SECRET.encode()).decode()
