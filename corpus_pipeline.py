@@ -36,9 +36,6 @@ Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 # Shares of tokens. Documents of low quality are gone by then, so that domain has no target.
 MIX_TARGETS = {"good": 0.92, "toxic": 0.08}
 
-# The name of a helper column; no table has it.
-SCORE = "__pipeline_score"
-
 
 def _columns(docs: DataFrame) -> list[str]:
     return [f"`{name}`" for name in docs.columns]
@@ -46,8 +43,10 @@ def _columns(docs: DataFrame) -> list[str]:
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier does not reject."""
-    scored = quality_trees.with_score(docs, table(spark, sf_dir, "labels"), SCORE)
-    return scored.where(F.col(SCORE) >= quality_trees.THRESHOLD).select(*_columns(docs))
+    # The row travels as one struct, so that no column of it can meet a name used here.
+    rows = docs.select("doc_id", "text", F.struct(*_columns(docs)).alias("row"))
+    scored = quality_trees.with_score(rows, table(spark, sf_dir, "labels"), "score")
+    return scored.where(F.col("score") >= quality_trees.THRESHOLD).select("row.*")
 
 
 def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
