@@ -37,12 +37,14 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder all executors can reach, as the session names it.
 
     Only a local-mode session without the setting falls back to a temporary folder; on a
-    cluster a missing setting is an error, because one machine's disk is not shared.
+    cluster, also one of executors on this machine, a missing setting is an error, because the
+    driver's temporary folder is not the executors'.
     """
     configured = spark.conf.get(CHECKPOINT_DIR_KEY, None)
     if configured:
         return configured
-    if not spark.sparkContext.master.startswith("local"):
+    master = spark.sparkContext.master
+    if not master.startswith("local") or master.startswith("local-cluster"):
         raise RuntimeError(f"set {CHECKPOINT_DIR_KEY} to a folder shared by all executors")
     fallback = tempfile.mkdtemp(prefix="dripline-")
     spark.conf.set(CHECKPOINT_DIR_KEY, fallback)
@@ -54,6 +56,14 @@ def new_work_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/dripline/{label}-{uuid.uuid4().hex}"
 
 
+def remove_work_path(spark: SparkSession, path: str) -> None:
+    """Remove a folder below the shared one that :func:`new_work_path` named, if it is there."""
+    if not path.startswith(f"{shared_dir(spark).rstrip('/')}/dripline/"):
+        raise ValueError(f"not a work folder: {path}")
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
 def materialize(df: DataFrame) -> DataFrame:
     """Write an aggregate once to the shared folder, so several results can read it.
 
