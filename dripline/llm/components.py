@@ -4,8 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from dripline.llm.support import store
-
+from dripline.llm.support import discard, folder_of, store, stored_at
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -14,7 +13,8 @@ def components(links: DataFrame) -> DataFrame:
     Every node takes the smallest name among its neighbours, then the name that this name has by
     now, until nothing changes: names travel twice as far each round. Smallest names are found by
     aggregation, which a node with very many neighbours leaves as one row per task. Each round
-    is written to the shared folder, so a lost executor costs no earlier round.
+    is written to the shared folder, so a lost executor costs no earlier round; the one before is
+    removed then.
     """
     both = store(
         links.select("a", "b")
@@ -48,6 +48,8 @@ def components(links: DataFrame) -> DataFrame:
             ),
             "names",
         )
-        names = moved.select("node", "component")
+        discard(names)
+        names = stored_at(moved.select("node", "component"), folder_of(moved))
         if moved.where("changed").isEmpty():
+            discard(both)
             return names

@@ -52,6 +52,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from dripline.llm.components import components
 from dripline.llm.support import (
     NOT_SPACE,
+    discard,
     gram_hashes,
     mix,
     sequence_hash,
@@ -70,7 +71,7 @@ FIRST_PIVOTS = 4
 FILTER_BITS = 24
 
 # Groups go on trying one pair each while at least one in so many of the pairs joins two.
-LEAST_JOINED = 8
+LEAST_JOINED = 2
 
 _CLASS_SEED, _CHECK_SEED, _CELL_SEED = (np.uint64(x) for x in (0x51, 0xA7, 0xC3))
 
@@ -531,22 +532,27 @@ def class_groups(
             if everyone:
                 break
             if found is not None:
-                groups = components(links)
-            left = waiting.join(chosen, ["a", "b"], "left_anti")
+                groups = regrouped(links, groups)
+            left = waiting.select("a", "b", "n_a", "n_b", "met").join(
+                chosen, ["a", "b"], "left_anti"
+            )
             if groups is not None:
                 left = grouped(left, groups).where(F.col("group_a") != F.col("group_b"))
             else:
                 left = left.withColumns({"group_a": F.col("a"), "group_b": F.col("b")})
+            everyone = found is None or found.count() * LEAST_JOINED < chosen.count()
+            before = waiting, chosen, possible
             waiting = store(left, "waiting")
+            discard(*before)
             if waiting.isEmpty():
                 break
-            everyone = found is None or found.count() * LEAST_JOINED < chosen.count()
-            waiting = waiting.select("a", "b", "n_a", "n_b", "met", "group_a", "group_b")
             chosen = waiting if everyone else store(nearest_of_groups(waiting), "chosen")
-            waiting = waiting.drop("group_a", "group_b")
+        discard(waiting, chosen, possible)
         if everyone and links is not None and not all_links:
-            groups = components(links)
+            groups = regrouped(links, groups)
+        before = regions, pivots
         regions = store(_remaining(regions, pivots, groups), "regions")
+        discard(*before)
         parts, number = parts * 4, number + 1
     if all_links and links is not None:
         ends = F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")
@@ -555,6 +561,13 @@ def class_groups(
     return groups, links
 
 
+def regrouped(links: DataFrame, groups: DataFrame | None) -> DataFrame:
+    """The groups by all links found so far, in place of earlier ones."""
+    found = components(links)
+    discard(groups)
+    return found
+
+
 def _remaining(regions: DataFrame, pivots: DataFrame, groups: DataFrame | None) -> DataFrame:
     """The regions without their pivots, as far as they still hold two groups."""
     gone = pivots.select("region", F.col("a").alias("class"))

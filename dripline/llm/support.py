@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql import Window
 
-from dripline.session import new_work_path
+from dripline.session import new_work_path, remove_work_path
 
 CHUNK_BYTES = 1 << 18
 
@@ -68,7 +68,32 @@ def store(df: DataFrame, label: str) -> DataFrame:
     spark = df.sparkSession
     path = new_work_path(spark, label)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return stored_at(spark.read.schema(df.schema).parquet(path), path)
+
+
+_STORED_AT = "_dripline_stored_at"
+
+
+def stored_at(df: DataFrame, path: str | None) -> DataFrame:
+    """The frame with a note of the folder that holds its rows, for :func:`discard`."""
+    df.__dict__[_STORED_AT] = path
+    return df
+
+
+def folder_of(df: DataFrame) -> str | None:
+    return df.__dict__.get(_STORED_AT)
+
+
+def discard(*frames: DataFrame | None) -> None:
+    """Remove stored tables that no frame still to be computed reads.
+
+    What was made of them is stored itself, so no lost executor asks for them again. Frames that
+    were not stored are left alone.
+    """
+    for frame in frames:
+        path = None if frame is None else folder_of(frame)
+        if path is not None:
+            remove_work_path(frame.sparkSession, path)
 
 
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
