@@ -13,8 +13,9 @@ link, so for them groups are left out of all of the following: each class stays
    some of their first shingles are the same. So each linked pair meets in a region.
 3. Pivots. In every region, in rounds, some classes become pivots: the most central of each of a
    few parts. All classes of the region are compared with them. Before the sets are touched, the
-   counts of shingles in fixed cells bound the distance from below (the triangle inequality for
-   the distances to the cells): only pairs inside that window go on.
+   sizes, the places of the region's shingle in both sets, and the counts of shingles in fixed
+   cells bound the distance from below (the triangle inequality for the distances to the cells):
+   only pairs inside that window go on.
 4. Voronoi cells. Every class first meets the pivot whose windows overlap most with its own: one
    pair for each class, however large the region. Classes that now belong to one group are not
    compared again. Two groups that met then try one pair of theirs, and so on while that joins
@@ -255,22 +256,42 @@ _SIGNED = {
 
 
 def regions_of(signed: DataFrame) -> DataFrame:
-    """(region, class, n, central) of all regions that can hold two classes.
+    """(region, class, n, place, central) of all regions that can hold two classes.
 
-    A region of a rare shingle is small by construction, so its rows meet in one window. Common
+    ``place`` is how many shingles of the set come before the region's in the common order. Common
     shingles may have regions of any size; those rows are left where they are.
     """
     every = Window.partitionBy("region")
-    columns = ("class", "n", "central")
+    # Size and place travel as one number: most rows are gone after this shuffle.
+    size = F.shiftleft(F.col("n").cast("long"), 32)
+    columns = ["region", "class", "size_place", "central"]
     rare = (
-        signed.select(F.explode("rare").alias("region"), *columns)
+        signed.select("class", "n", "central", F.posexplode("rare").alias("place", "region"))
+        .withColumn("size_place", size + F.col("place"))
+        .select(*columns)
         .withColumn("low", F.min("class").over(every))
         .withColumn("high", F.max("class").over(every))
         .where(F.col("low") < F.col("high"))
-        .select("region", *columns)
+        .select(*columns)
+    )
+    frequent = (
+        signed.select(
+            "class", "n", "central", "rare", F.posexplode("shared").alias("place", "region")
+        )
+        .withColumn("size_place", size + F.size("rare") + F.col("place"))
+        .select(*columns)
+    )
+    return (
+        rare.unionByName(frequent)
+        .dropDuplicates(["region", "class"])
+        .select(
+            "region",
+            "class",
+            F.shiftright("size_place", 32).cast("int").alias("n"),
+            F.col("size_place").bitwiseAND((1 << 31) - 1).cast("int").alias("place"),
+            "central",
+        )
     )
-    frequent = signed.select(F.explode("shared").alias("region"), *columns)
-    return rare.unionByName(frequent).dropDuplicates(["region", "class"])
 
 
 def pivot_pairs(regions: DataFrame, parts: int, salt: int, percent: int) -> tuple:
@@ -278,16 +299,17 @@ def pivot_pairs(regions: DataFrame, parts: int, salt: int, percent: int) -> tupl
     with the number of regions in which they met.
 
     Each region is dealt into ``parts`` parts; the most central class of each is a pivot. Pairs
-    whose sizes alone keep them apart, and pairs of one group, are left out.
+    whose sizes and places alone keep them apart, and pairs of one group, are left out.
     """
     part = F.pmod(F.xxhash64("class", F.lit(salt)), F.lit(parts))
     pivots = (
         regions.groupBy("region", part.alias("part"))
-        .agg(F.max(F.struct("central", "class", "n", "group")).alias("best"))
+        .agg(F.max(F.struct("central", "class", "n", "place", "group")).alias("best"))
         .select(
             "region",
             F.col("best.class").alias("a"),
             F.col("best.n").alias("n_a"),
+            F.col("best.place").alias("place_a"),
             F.col("best.group").alias("group_a"),
         )
     )
@@ -295,12 +317,16 @@ def pivot_pairs(regions: DataFrame, parts: int, salt: int, percent: int) -> tupl
         "region",
         F.col("class").alias("b"),
         F.col("n").alias("n_b"),
+        F.col("place").alias("place_b"),
         F.col("group").alias("group_b"),
     )
+    # If this is the first shingle that two sets share, they share at most what is left of either.
+    # Of the regions of two linked sets, that of the first shared shingle keeps them.
+    left = F.least(F.col("n_a") - F.col("place_a"), F.col("n_b") - F.col("place_b"))
     pairs = (
         others.join(pivots, "region")
         .where(F.col("group_a") != F.col("group_b"))
-        .where(100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b"))
+        .where(100 * left >= percent * (F.col("n_a") + F.col("n_b") - left))
         .groupBy("a", "b", "n_a", "n_b")
         .agg(F.count(F.lit(1)).alias("met"))
     )
@@ -586,7 +612,7 @@ def _remaining(regions: DataFrame, pivots: DataFrame, groups: DataFrame | None)
         .select("region")
     )
     return left.join(open_regions, "region", "left_semi").select(
-        "region", "class", "n", "central", "group"
+        "region", "class", "n", "place", "central", "group"
     )
 
 
