@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from dripline.schema import MONTH
+from dripline.sources import versions
+
 
 def write_combined(combined: DataFrame, path: str) -> None:
     """Combined reports as CSV part files with a header, replacing what was there."""
@@ -21,6 +23,20 @@ def write_table(df: DataFrame, path: str, fmt: str = "parquet") -> None:
     writer.format(fmt).save(path)
 
 
+def replace_table(df: DataFrame, path: str) -> None:
+    """A result table in place of the one below ``path``, by one switch: whoever reads it with
+    :func:`current_table` sees the old or the new rows, also if this job dies."""
+    versions.replace(df, path)
+
+
+def current_table(spark: SparkSession, path: str) -> DataFrame:
+    """The table that :func:`replace_table` wrote last."""
+    found = versions.read(spark, path)
+    if found is None:
+        raise FileNotFoundError(f"no table was written to {path}")
+    return found
+
+
 def with_month(df: DataFrame, day: str = "day") -> DataFrame:
     """Add the month of a date column as a number such as 202401; null without a day."""
     if day not in df.columns:

@@ -30,6 +30,20 @@ _FILE_SCHEMA = StructType(
 )
 
 
+def arrivals(
+    spark: SparkSession, folder: str, pattern: str, max_files_per_batch: int
+) -> DataFrame:
+    """The names of arriving files as a stream."""
+    return (
+        spark.readStream.format("binaryFile")
+        .schema(_FILE_SCHEMA)
+        .option("pathGlobFilter", pattern)
+        .option("maxFilesPerTrigger", max_files_per_batch)
+        .load(folder)
+        .select("path")
+    )
+
+
 def start_incremental_combine(
     spark: SparkSession,
     folder: str,
@@ -47,15 +61,6 @@ def start_incremental_combine(
     correct any earlier day, so the streaming state is the log itself and no watermark
     applies. ``once`` handles what is there and stops.
     """
-    arrivals = (
-        spark.readStream.format("binaryFile")
-        .schema(_FILE_SCHEMA)
-        .option("pathGlobFilter", pattern)
-        .option("maxFilesPerTrigger", max_files_per_batch)
-        .load(folder)
-        .select("path")
-    )
-
     def append_batch(batch: DataFrame, batch_id: int) -> None:
         paths = sorted(row["path"] for row in batch.collect())
         if not paths:
@@ -67,7 +72,8 @@ def start_incremental_combine(
         latest = dedupe_latest(typed_dates(rows))
         write_by_month(latest, f"{log_path}/{BATCH_COLUMN}={batch_id}", "Day")
 
-    writer = arrivals.writeStream.foreachBatch(append_batch).option(
+    files = arrivals(spark, folder, pattern, max_files_per_batch)
+    writer = files.writeStream.foreachBatch(append_batch).option(
         "checkpointLocation", checkpoint_path
     )
     writer = writer.trigger(availableNow=True) if once else writer

@@ -407,6 +407,7 @@ _BODIES: dict[str, tuple[tuple[str, ...], str]] = {
     "combine_reports": ((COMBINED,), "SELECT * FROM combined"),
     "write_combined": ((COMBINED,), _COMBINED_TEXT),
     "incremental_combine": ((COMBINED,), _COMBINED_TEXT),
+    "versioned_combine": ((COMBINED,), _COMBINED_TEXT),
     "load_profile": (
         (),
         f"""SELECT count(*) AS records, {_DATES}, count(DISTINCT journey_name) AS journeys,

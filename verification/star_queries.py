@@ -29,7 +29,7 @@ from dripline.session import new_work_path
 from dripline.sources import combine, sinks
 from dripline.sources.reports import standardize
 from dripline.sources.star import CHANNELS, ROW_KEY, campaign_fact, star_config
-from dripline.streaming import incremental
+from dripline.streaming import incremental, versioned
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -190,16 +190,21 @@ def write_combined(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.option("header", True).csv(path)
 
 
-def incremental_combine(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Report files arriving one after the other, combined by the stream."""
+def _report_files(spark: SparkSession, sf_dir: str, root: str) -> None:
+    """The three sources as report files below ``root``."""
     reported = _reported(spark, sf_dir)
-    root = new_work_path(spark, "incremental")
     for name, (condition, _) in SOURCES.items():
         # A campaign-day lies in one file, in row-key order.
         part = reported.where(condition).repartition("campaign_id", "day")
         part = part.sortWithinPartitions(*ROW_KEY).select(*_REPORT_COLUMNS[name])
         part = part.withColumnsRenamed(COLUMN_TO_HEADER)
         sinks.write_combined(combine.render_dates(part), f"{root}/reports/{name}")
+
+
+def incremental_combine(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Report files arriving one after the other, combined by the stream."""
+    root = new_work_path(spark, "incremental")
+    _report_files(spark, sf_dir, root)
     stream = incremental.start_incremental_combine(
         spark, f"{root}/reports/*", f"{root}/log", f"{root}/state", pattern="*.csv"
     )
@@ -207,6 +212,18 @@ def incremental_combine(spark: SparkSession, sf_dir: str) -> DataFrame:
     return standardize(incremental.current_table(spark, f"{root}/log"))
 
 
+def versioned_combine(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same, merged month by month into a table that switches versions, and compacted."""
+    root = new_work_path(spark, "versioned")
+    _report_files(spark, sf_dir, root)
+    stream = versioned.start_versioned_combine(
+        spark, f"{root}/reports/*", f"{root}/table", f"{root}/state", pattern="*.csv"
+    )
+    stream.awaitTermination()
+    versioned.compact(spark, f"{root}/table")
+    return standardize(versioned.current_table(spark, f"{root}/table"))
+
+
 def filter_spec(fact: DataFrame) -> DataFrame:
     chosen = filters.apply_filters(fact, SELECTION, CONFIG)
     return chosen.groupBy("journey_name", "channel", "status").agg(
@@ -277,6 +294,7 @@ QUERIES: dict[str, Query] = {
     "combine_reports": combine_reports,
     "write_combined": write_combined,
     "incremental_combine": incremental_combine,
+    "versioned_combine": versioned_combine,
     "load_profile": _on_fact(agg.load_profile),
     # Rows.
     "user_segments": _on_fact(
