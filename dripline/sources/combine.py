@@ -15,7 +15,7 @@ from dripline.schema import (
     SOURCE_ROW,
     SOURCE_TS,
 )
-from dripline.sources.reports import read_reports, typed_dates
+from dripline.sources.reports import RejectedFile, read_reports, typed_dates
 
 _POSITION = (SOURCE_RANK, SOURCE_BLOCK, SOURCE_ROW)
 
@@ -86,14 +86,22 @@ def drop_provenance(df: DataFrame) -> DataFrame:
 
 
 def combine_reports(
-    spark: SparkSession, paths: Sequence[str], in_order: bool = True, multi_line: bool = True
+    spark: SparkSession,
+    paths: Sequence[str],
+    in_order: bool = True,
+    multi_line: bool = True,
+    skip_bad: bool = False,
+    rejected: list[RejectedFile] | None = None,
 ) -> DataFrame:
     """Latest row per campaign-day over all files, with dates as text.
 
+    ``skip_bad`` and ``rejected`` are those of :func:`read_reports`.
+
     ``in_order`` sorts chronologically; the input position ends the sort key, so days that
     hold many rows still spread over several range partitions.
     """
-    latest = dedupe_latest(typed_dates(read_reports(spark, paths, multi_line)))
+    read = read_reports(spark, paths, multi_line, skip_bad, rejected)
+    latest = dedupe_latest(typed_dates(read))
     if in_order:
         latest = latest.orderBy(*chronological(latest.columns))
     return drop_provenance(render_dates(latest))

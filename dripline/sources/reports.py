@@ -3,12 +3,18 @@
 from __future__ import annotations
 
 import logging
-from collections.abc import Sequence
-from concurrent.futures import ThreadPoolExecutor
+import re
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
+from fnmatch import fnmatchcase
+from pathlib import PurePosixPath
+from typing import TypeVar
+from urllib.parse import unquote
 
+from py4j.protocol import Py4JJavaError
 from pyspark.errors import PySparkException
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from dripline.config import MetricConfig
 from dripline.functions.exprs import missing_to_null, parse_day
@@ -16,6 +22,7 @@ from dripline.operators.lookups import with_segments
 from dripline.operators.rows import clean_numeric, clean_strings, parse_days, with_row_metrics
 from dripline.schema import (
     HEADER_TO_COLUMN,
+    PROVENANCE_COLUMNS,
     SOURCE_BLOCK,
     SOURCE_FILE,
     SOURCE_RANK,
@@ -25,9 +32,6 @@ from dripline.schema import (
 
 log = logging.getLogger(__name__)
 
-# Files whose headers are looked up at the same time. Only header lines reach the driver.
-_HEADER_LOOKUPS = 16
-
 
 def discover(spark: SparkSession, folder: str, pattern: str = "report*.csv") -> list[str]:
     """Report files of a folder, sorted by path; file listing only, no content is read."""
@@ -41,9 +45,17 @@ class NoReportRowsError(ValueError):
     """None of the given files holds a row."""
 
 
+@dataclass(frozen=True)
+class RejectedFile:
+    """A file that is left out, and why."""
+
+    path: str
+    reason: str
+
+
 @dataclass
 class _HeaderGroup:
-    """Paths that share one header, and the rank of each file below them."""
+    """Files that share one header, and the rank of each."""
 
     paths: list[str] = field(default_factory=list)
     file_ranks: list[tuple[str, str]] = field(default_factory=list)
@@ -54,52 +66,175 @@ def _read_raw(spark: SparkSession, paths: str | list[str], multi_line: bool) ->
     return reader.csv(paths)
 
 
-def _header_and_files(
-    spark: SparkSession, path: str, multi_line: bool
-) -> tuple[tuple[str, ...], list[str]] | None:
-    try:
-        raw = _read_raw(spark, path, multi_line)
-    except PySparkException as error:
-        log.warning("skipping %s: %s", path, error)
-        return None
-    return (tuple(raw.columns), raw.inputFiles()) if raw.columns else None
+def _spelled(path: str) -> str:
+    """One spelling of local paths, which Spark gives with one slash or with three."""
+    return re.sub("^file:/+", "file:/", path)
+
+
+def _file_path() -> Column:
+    """The path of a row's file, spelled as :func:`_spelled` does."""
+    # "+" stays as it is in a file path, but url_decode would take it for a blank.
+    path = F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))
+    return F.regexp_replace(path, "^file:/+", "file:/")
+
+
+_MISSING = re.compile(r"\[PATH_NOT_FOUND\] Path does not exist: (.*?)\. SQLSTATE")
+_UNREADABLE = re.compile(r"\[FAILED_READ_FILE[^]]*\] Encountered error while reading file (.*?)\.\s")
+
+Found = TypeVar("Found")
+
+
+def _without_failing(
+    paths: list[str], run: Callable[[list[str]], Found]
+) -> tuple[Found | None, list[RejectedFile]]:
+    """Run over paths; a path that is missing or breaks is set aside and the rest is run again."""
+    rejected: list[RejectedFile] = []
+    left = {_spelled(path): path for path in paths}
+    while left:
+        try:
+            return run(list(left.values())), rejected
+        except (PySparkException, Py4JJavaError) as error:
+            text = str(error)
+            missing, broken = _MISSING.search(text), _UNREADABLE.search(text)
+            found = missing[1] if missing else unquote(broken[1]) if broken else None
+            # Paths given without a scheme are reported with one.
+            names = [x for x in left if found and _spelled(found).endswith(x)]
+            if not names:
+                raise
+            reason = "missing" if missing else "breaks while it is read"
+            name = max(names, key=len)
+            log.warning("skipping %s: %s", left[name], reason)
+            rejected.append(RejectedFile(left.pop(name), reason))
+    return None, rejected
+
+
+def _list_files(spark: SparkSession, paths: list[str]) -> list[str]:
+    """The files below some paths, from a listing alone."""
+    listing = spark.read.format("binaryFile").load(paths).select("path")
+    return [row["path"] for row in listing.collect()]
+
+
+def _ranks(paths: Sequence[str], files: list[str]) -> dict[str, str]:
+    """The place in the list of the path that each file was given by."""
+    given: dict[str, int] = {}
+    for rank, path in enumerate(paths):
+        given.setdefault(re.sub("^[a-z0-9]+:/+", "/", path).rstrip("/"), rank)
+    patterns = [(x, rank) for x, rank in given.items() if any(c in x for c in "*?[{")]
+    out = {}
+    for file in files:
+        plain = re.sub("^[a-z0-9]+:/+", "/", file)
+        places = [plain, *map(str, PurePosixPath(plain).parents)]
+        # A relative path is the end of the whole one.
+        rank = next((given[x] for x in places if x in given), None)
+        if rank is None:
+            rank = next((r for x, r in given.items() if plain.endswith(f"/{x}")), None)
+        if rank is None:
+            hits = (r for x, r in patterns if any(fnmatchcase(y, x) for y in places))
+            rank = next(hits, len(given))
+        out[_spelled(file)] = f"{rank:012d}"
+    return out
 
 
 def _group_by_header(
-    spark: SparkSession, paths: Sequence[str], multi_line: bool
-) -> list[_HeaderGroup]:
-    """Group paths by header, in order of first appearance; missing and empty ones drop out."""
-    with ThreadPoolExecutor(_HEADER_LOOKUPS) as pool:
-        found = list(pool.map(lambda path: _header_and_files(spark, path, multi_line), paths))
-    groups: dict[tuple[str, ...], _HeaderGroup] = {}
-    for rank, (path, entry) in enumerate(zip(paths, found, strict=True)):
-        if entry is None:
-            continue
-        header, files = entry
-        if header not in groups:
-            # A file without rows must not add its columns, so the first file of a group
-            # has to hold at least one row.
-            if _read_raw(spark, path, multi_line).isEmpty():
-                continue
-            groups[header] = _HeaderGroup()
-        groups[header].paths.append(path)
-        groups[header].file_ranks += [(file, f"{rank:012d}") for file in files]
-    return list(groups.values())
+    spark: SparkSession, paths: Sequence[str]
+) -> tuple[list[_HeaderGroup], list[RejectedFile]]:
+    """Group files by header, in order of first appearance; files without rows drop out.
+
+    One listing and one pass over the lines, whatever the number of files: the first line of every
+    file comes from the executors. A header with a line break inside quotes is its file's own.
+    """
+    listed, missing = _without_failing(list(paths), lambda left: _list_files(spark, left))
+    ranks = _ranks(paths, listed or [])
+
+    def first_lines(files: list[str]) -> list:
+        place = F.struct(F.col("_metadata.file_block_start"), F.monotonically_increasing_id())
+        lines = spark.read.text(files).select(_file_path().alias("path"), "value", place.alias("at"))
+        return (
+            lines.where(F.trim("value") != "")
+            .groupBy("path")
+            .agg(F.min_by("value", "at").alias("header"), F.count(F.lit(1)).alias("n"))
+            .where("n > 1")
+            .collect()
+        )
+
+    found, broken = _without_failing(listed or [], first_lines)
+    rows = sorted(found or [], key=lambda row: (ranks[row["path"]], row["path"]))
+    groups: dict[tuple[str, str], _HeaderGroup] = {}
+    for row in rows:
+        alone = row["path"] if row["header"].count('"') % 2 else ""
+        group = groups.setdefault((row["header"], alone), _HeaderGroup())
+        group.paths.append(row["path"])
+        group.file_ranks.append((row["path"], ranks[row["path"]]))
+    return list(groups.values()), [*missing, *broken]
+
+
+def _unsound(spark: SparkSession, group: _HeaderGroup, multi_line: bool) -> DataFrame:
+    """(path, reason) of the files of a group that do not fit their header, or are not UTF-8."""
+    names = _read_raw(spark, group.paths, multi_line).columns
+    more = "_more"
+    while more in names:
+        more += "_"
+    fields = [StructField(name, StringType()) for name in (*names, more)]
+    reader = spark.read.schema(StructType(fields)).option("header", True).option("escape", '"')
+    rows = reader.option("multiLine", multi_line).csv(group.paths)
+    unreadable = F.lit(False)
+    for name in names:
+        unreadable |= F.coalesce(F.contains(F.col(f"`{name}`"), F.lit("\ufffd")), F.lit(False))
+    counted = rows.groupBy(_file_path().alias("path")).agg(
+        F.count_if(F.col(more).isNotNull()).alias("longer"), F.count_if(unreadable).alias("odd")
+    )
+    longer = F.concat("longer", F.lit(" rows with more cells than the header"))
+    odd = F.concat("odd", F.lit(" rows that are not UTF-8"))
+    return counted.where("longer > 0 OR odd > 0").select(
+        "path", F.when(F.col("longer") > 0, longer).otherwise(odd).alias("reason")
+    )
+
+
+def _sound(
+    spark: SparkSession, groups: list[_HeaderGroup], multi_line: bool
+) -> tuple[list[_HeaderGroup], list[RejectedFile]]:
+    """The groups without the files that cannot be read to their end as their header says."""
+    rejected = []
+    for group in groups:
+        found = _unsound(spark, group, multi_line).collect()
+        rejected += [RejectedFile(row["path"], row["reason"]) for row in found]
+    bad = {x.path for x in rejected}
+    for file in rejected:
+        log.warning("skipping %s: %s", file.path, file.reason)
+    kept = [
+        _HeaderGroup(
+            [x for x in group.paths if x not in bad],
+            [x for x in group.file_ranks if x[0] not in bad],
+        )
+        for group in groups
+    ]
+    return [group for group in kept if group.paths], rejected
 
 
 def read_reports(
-    spark: SparkSession, paths: Sequence[str], multi_line: bool = True
+    spark: SparkSession,
+    paths: Sequence[str],
+    multi_line: bool = True,
+    skip_bad: bool = False,
+    rejected: list[RejectedFile] | None = None,
 ) -> DataFrame:
     """All report files as one text table with provenance columns.
 
     One scan per distinct header, matched by name: the first file sets the column order,
-    later columns append, and a column a file lacks is null. A path may be a folder whose
-    files share one header; it then costs a single header lookup.
+    later columns append, and a column a file lacks is null. Missing files, and files that break
+    while their lines are read, are left out. With ``skip_bad`` so are, as a whole, files with a
+    row that has more cells than the header or is not UTF-8; that takes one more pass. All that
+    are left out are added to ``rejected``.
 
     Quoted cells may span lines, so each file is read by one task. ``multi_line=False`` splits
     large files over tasks, for reports without line breaks in cells.
     """
-    groups = _group_by_header(spark, list(paths), multi_line)
+    groups, left_out = _group_by_header(spark, list(paths))
+    if skip_bad:
+        groups, unsound = _sound(spark, groups, multi_line)
+        left_out += unsound
+    if rejected is not None:
+        rejected += left_out
     if not groups:
         raise NoReportRowsError("no report rows found in the given files")
     in_path_order = list(paths) == sorted(paths)
@@ -107,23 +242,20 @@ def read_reports(
     for group in groups:
         raw = _read_raw(spark, group.paths, multi_line)
         texts = [missing_to_null(F.col(f"`{name}`")).alias(name) for name in raw.columns]
-        file_path = F.col("_metadata.file_path")
         # Position of a row: file in the list, block in the file, row in the block.
         part = raw.select(
             *texts,
             F.col("_metadata.file_modification_time").alias(SOURCE_TS),
             F.col("_metadata.file_name").alias(SOURCE_FILE),
-            # "+" stays as it is in a file path, but url_decode would take it for a blank.
-            F.url_decode(F.replace(file_path, F.lit("+"), F.lit("%2B"))).alias(SOURCE_RANK),
+            _file_path().alias(SOURCE_RANK),
             F.col("_metadata.file_block_start").alias(SOURCE_BLOCK),
             F.monotonically_increasing_id().alias(SOURCE_ROW),
-            # The same spelling as in DataFrame.inputFiles, unlike the metadata path.
-            F.input_file_name().alias("_path"),
         )
         if not in_path_order:
-            ranks = spark.createDataFrame(group.file_ranks, f"_path string, {SOURCE_RANK} string")
-            part = part.drop(SOURCE_RANK).join(ranks, "_path", "left")
-        parts.append(part.drop("_path"))
+            ranks = spark.createDataFrame(group.file_ranks, f"{SOURCE_RANK} string, _rank string")
+            part = part.join(ranks, SOURCE_RANK, "left").withColumn(SOURCE_RANK, F.col("_rank"))
+            part = part.select(*(f"`{x}`" for x in raw.columns), *PROVENANCE_COLUMNS)
+        parts.append(part)
     combined = parts[0]
     for part in parts[1:]:
         combined = combined.unionByName(part, allowMissingColumns=True)

@@ -408,6 +408,7 @@ _BODIES: dict[str, tuple[tuple[str, ...], str]] = {
     "write_combined": ((COMBINED,), _COMBINED_TEXT),
     "incremental_combine": ((COMBINED,), _COMBINED_TEXT),
     "versioned_combine": ((COMBINED,), _COMBINED_TEXT),
+    "combine_sound_files": ((COMBINED,), _COMBINED_TEXT),
     "load_profile": (
         (),
         f"""SELECT count(*) AS records, {_DATES}, count(DISTINCT journey_name) AS journeys,
@@ -470,6 +471,7 @@ _BODIES: dict[str, tuple[tuple[str, ...], str]] = {
         "SELECT journey_name, gtv FROM summary WHERE gtv > (SELECT quantile_cont(gtv, 0.5) FROM summary)",
     ),
     "journey_summary": ((SUMMARY,), "SELECT * FROM summary"),
+    "loaded_report": ((SUMMARY,), "SELECT * FROM summary"),
     "journey_summary_raw_roi": ((SUMMARY,), "SELECT * FROM raw_roi"),
     "legacy_summary": ((SUMMARY,), "SELECT * FROM legacy"),
     "summary_with_financials": ((SUMMARY,), "SELECT * FROM legacy"),

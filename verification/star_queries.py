@@ -26,7 +26,7 @@ from dripline.plans import report as report_plan
 from dripline.plans.dashboard import dashboard_tab
 from dripline.schema import COLUMN_TO_HEADER, LEGACY_DETAIL_COLUMNS, SOURCE_TS
 from dripline.session import new_work_path
-from dripline.sources import combine, sinks
+from dripline.sources import combine, reports, sinks
 from dripline.sources.reports import standardize
 from dripline.sources.star import CHANNELS, ROW_KEY, campaign_fact, star_config
 from dripline.streaming import incremental, versioned
@@ -172,13 +172,13 @@ _REPORT_COLUMNS = {
 def combine_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Three reports with different columns, merged by name and reduced to the latest rows."""
     reported = _reported(spark, sf_dir)
-    reports = []
+    parts = []
     for name, (condition, time) in SOURCES.items():
         arrived = F.lit(time).cast("timestamp").alias(SOURCE_TS)
-        reports.append(
+        parts.append(
             reported.where(condition).select(*_REPORT_COLUMNS[name], arrived, *ROW_KEY)
         )
-    latest = combine.dedupe_latest(combine.align(reports), position=ROW_KEY)
+    latest = combine.dedupe_latest(combine.align(parts), position=ROW_KEY)
     ordered = latest.orderBy(*combine.chronological(latest.columns, ROW_KEY))
     return combine.render_dates(ordered).drop(SOURCE_TS, *ROW_KEY)
 
@@ -212,6 +212,35 @@ def incremental_combine(spark: SparkSession, sf_dir: str) -> DataFrame:
     return standardize(incremental.current_table(spark, f"{root}/log"))
 
 
+def combine_sound_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The reports as files beside one that breaks behind its first rows, which is left out."""
+    root = new_work_path(spark, "sound")
+    _report_files(spark, sf_dir, root)
+    # A copy of the second report whose last line has more cells than the header.
+    second = spark.read.text(f"{root}/reports/second")
+    lines = [row["value"] for row in second.limit(3).collect()]
+    broken = spark.createDataFrame([(x,) for x in (*lines, lines[-1] + ",more")], "value string")
+    broken.coalesce(1).write.text(f"{root}/reports/broken")
+    paths = [f"{root}/reports/{name}" for name in (*SOURCES, "broken")]
+    rejected: list[reports.RejectedFile] = []
+    combined = combine.combine_reports(spark, paths, skip_bad=True, rejected=rejected)
+    if len(rejected) != 1:
+        raise AssertionError(f"one file breaks, left out were {rejected}")
+    return standardize(combined)
+
+
+def loaded_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Journey summary of a report that was written as CSV files and loaded with strict days."""
+    fact = campaign_fact(spark, sf_dir)
+    path = new_work_path(spark, "loaded")
+    names = {x: y for x, y in COLUMN_TO_HEADER.items() if x in fact.columns}
+    sinks.write_combined(combine.render_dates(fact.select(*names)).withColumnsRenamed(names), path)
+    loaded = reports.load_report(spark, path, CONFIG, strict_days=True)
+    # Loaded amounts are floating point, so that a sum depends on its order beyond the cents.
+    summary = agg.journey_summary(loaded, CONFIG).withColumn("revenue", F.round("revenue", 2))
+    return _text_days(summary)
+
+
 def versioned_combine(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same, merged month by month into a table that switches versions, and compacted."""
     root = new_work_path(spark, "versioned")
@@ -295,6 +324,8 @@ QUERIES: dict[str, Query] = {
     "write_combined": write_combined,
     "incremental_combine": incremental_combine,
     "versioned_combine": versioned_combine,
+    "combine_sound_files": combine_sound_files,
+    "loaded_report": loaded_report,
     "load_profile": _on_fact(agg.load_profile),
     # Rows.
     "user_segments": _on_fact(
