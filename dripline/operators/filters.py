@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
-from datetime import date, datetime
+from datetime import date, datetime, time
+from decimal import Decimal
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
@@ -131,3 +133,82 @@ def selection_counts(df: DataFrame, spec: FilterSpec, config: MetricConfig) -> D
         F.coalesce(F.sum("shown"), F.lit(0)).alias("campaigns_shown"),
         F.coalesce(F.sum("total"), F.lit(0)).alias("campaigns_total"),
     )
+
+
+# What may stand before the value in a filter cell; without any, numbers and dates are equal to
+# the value and texts contain it.
+_CELL = re.compile(
+    r"\s*(<=|>=|!=|<|>|=|icontains\b|contains\b|is not blank\b|is blank\b)?\s*(.*?)\s*\Z", re.DOTALL
+)
+_NUMBERS = ("tinyint", "smallint", "int", "bigint", "float", "double")
+
+
+def _cell_value(name: str, kind: str, text: str) -> Column:
+    """The value of a filter cell, as a literal of the column's type."""
+    if len(text) > 1 and text[0] == text[-1] and text[0] in "\"'":
+        text = text[1:-1]
+    if kind == "string":
+        return F.lit(text)
+    try:
+        if kind in ("date", "timestamp", "timestamp_ntz"):
+            moment = datetime.fromisoformat(text)
+            whole_day = moment == datetime.combine(moment.date(), time())
+            if kind == "date" and whole_day:
+                return F.lit(moment.date())
+            return F.lit(moment.isoformat(" ")).cast("timestamp" if kind == "date" else kind)
+        if kind in _NUMBERS or kind.startswith("decimal"):
+            number = Decimal(text.replace(",", ""))
+            if not number.is_finite():
+                raise ValueError(text)
+            # A whole number keeps the type of a whole column, so that the scan can use it.
+            if number == number.to_integral_value() and "int" in kind and abs(number) < 1 << 62:
+                return F.lit(int(number))
+            return F.lit(float(number)) if kind in ("float", "double") else F.lit(number)
+    except (ValueError, ArithmeticError) as error:
+        raise ValueError(f"filter on {name}: {text!r} does not fit a column of {kind}") from error
+    raise ValueError(f"filter on {name}: columns of {kind} are not filtered")
+
+
+def filter_table(df: DataFrame, cells: Mapping[str, str]) -> DataFrame:
+    """The rows that satisfy the filter cells of a table: column name -> text such as ``> 100``,
+    ``!= 3``, ``contains push``, ``is blank`` or a bare value.
+
+    A blank cell filters nothing; all others must hold. The filter is one predicate on the typed
+    columns, so it reaches the scan. Rows whose value is null satisfy ``is blank`` and ``!=`` only.
+    """
+    kinds = dict(df.dtypes)
+    chosen = F.lit(True)
+    for name, cell in cells.items():
+        if name not in kinds:
+            raise ValueError(f"filter on {name}: there is no such column")
+        kind, column = kinds[name], F.col(f"`{name}`")
+        operator, text = _CELL.match(cell).groups()
+        if not operator and not text:
+            continue
+        blank = column.isNull() | (F.trim(column) == "") if kind == "string" else column.isNull()
+        if operator in ("is blank", "is not blank"):
+            if text:
+                raise ValueError(f"filter on {name}: nothing may follow {operator!r}")
+            chosen &= blank if operator == "is blank" else ~blank
+            continue
+        if not text:
+            raise ValueError(f"filter on {name}: {operator!r} needs a value")
+        operator = operator or ("contains" if kind == "string" else "=")
+        if operator in ("contains", "icontains"):
+            if kind != "string":
+                raise ValueError(f"filter on {name}: {operator!r} needs a text column, not {kind}")
+            value = _cell_value(name, kind, text)
+            ignoring = operator == "icontains"
+            found = F.contains(F.lower(column), F.lower(value)) if ignoring else column.contains(value)
+            chosen &= found
+            continue
+        value = _cell_value(name, kind, text)
+        chosen &= {
+            "=": lambda c, v: c == v,
+            "!=": lambda c, v: ~c.eqNullSafe(v),
+            "<": lambda c, v: c < v,
+            "<=": lambda c, v: c <= v,
+            ">": lambda c, v: c > v,
+            ">=": lambda c, v: c >= v,
+        }[operator](column, value)
+    return df.where(chosen)

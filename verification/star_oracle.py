@@ -427,10 +427,19 @@ _BODIES: dict[str, tuple[tuple[str, ...], str]] = {
            FROM fact""",
     ),
     "details_display": ((ROWS,), DETAILS_DISPLAY),
-    "details_page": (
+    **dict.fromkeys(
+        ("details_page", "details_page_by_cursor"),
+        (
+            (ROWS,),
+            f"""SELECT {_DETAILS} FROM metrics WHERE roi > 100 AND status = 'Running'
+              ORDER BY {_DETAILS} LIMIT 25 OFFSET 50""",
+        ),
+    ),
+    "table_filter": (
         (ROWS,),
-        f"""SELECT {_DETAILS} FROM metrics WHERE roi > 100 AND status = 'Running'
-          ORDER BY {_DETAILS} LIMIT 25 OFFSET 50""",
+        f"""SELECT * FROM (SELECT {_DETAILS} FROM metrics)
+          WHERE contains(journey_name, 'URGENT') AND status IS DISTINCT FROM 'Running'
+            AND sent >= 10 AND roi > 100 AND cast(day AS date) < DATE '1997-01-01'""",
     ),
     "filter_spec": (
         (),

@@ -281,6 +281,27 @@ def details_page(fact: DataFrame) -> DataFrame:
     return ranking.page(details, details.columns, number=3, size=25)
 
 
+def details_page_by_cursor(fact: DataFrame) -> DataFrame:
+    """The same page, reached from the ends of the two before it."""
+    details = rows.campaign_details(rows.enrich(fact, CONFIG)).where("roi > 100 and status = 'Running'")
+    order = [(name, "asc") for name in details.columns]
+    cursor = None
+    for _ in range(2):
+        shown = ranking.page_after(details, order, 25, cursor).collect()
+        cursor = ranking.cursor_after(shown, order, cursor)
+    return ranking.page_after(details, order, 25, cursor)
+
+
+def table_filter(fact: DataFrame) -> DataFrame:
+    """Campaign details under the filter cells of a table."""
+    details = rows.campaign_details(rows.enrich(fact, CONFIG))
+    cells = {
+        "journey_name": "contains URGENT", "status": "!= Running", "sent": ">= 10", "roi": "> 100",
+        "day": "< 1997-01-01", "channel": "",
+    }
+    return filters.filter_table(details, cells)
+
+
 def report_section(name: str) -> Query:
     return _on_fact(
         lambda fact: report_plan.report(fact, CONFIG, None, share_scan=False)[name]
@@ -342,6 +363,8 @@ QUERIES: dict[str, Query] = {
         lambda fact: display.details_display(rows.campaign_details(rows.enrich(fact, CONFIG)))
     ),
     "details_page": _on_fact(details_page),
+    "details_page_by_cursor": _on_fact(details_page_by_cursor),
+    "table_filter": _on_fact(table_filter),
     # Filters.
     "filter_spec": _on_fact(filter_spec),
     "filter_domains": _on_fact(lambda fact: filters.filter_domains(fact, CONFIG)),
