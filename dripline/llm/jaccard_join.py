@@ -67,7 +67,7 @@ from dripline.llm.support import (
 SHINGLE = 5
 PERCENT = 75
 COMMON = 1 << 19
-COUNTED_TOGETHER = 1 << 22
+COUNTED_TOGETHER = 1 << 21
 FIRST_PIVOTS = 4
 FILTER_BITS = 24
 
@@ -176,6 +176,7 @@ def find_common(docs: DataFrame, size: int, most: int) -> CommonShingles:
                         n = 0
         if held:
             yield counted()
+        pa.default_memory_pool().release_unused()
 
     totals = store(
         docs.select("text")
@@ -796,11 +797,14 @@ def keep_one(
             name = set_hash(own, _CLASS_SEED) if len(own) else None
             names.append(name)
             asked.append(name is not None and _has_bit(bits.value, name))
+        pa.default_memory_pool().release_unused()
         return pd.DataFrame({"class": pd.array(names, dtype="Int64"), "contested": asked})
 
     # The row travels as one struct, so that no column of it can meet a name used here.
     columns = [F.col(f"`{c}`") for c in documents.columns]
-    marked = documents.select(F.struct(*columns).alias("row"), named(F.col(text)).alias("named"))
+    marked = documents.select(F.struct(*columns).alias("row")).withColumn(
+        "named", named(F.col("row").getField(text))
+    )
     alone = marked.where(~F.col("named.contested")).select("row.*")
     moved = marked.where(F.col("named.contested"))
     # A bit may stand for other classes too: what is not contested after all stays as well.
