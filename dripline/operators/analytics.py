@@ -9,9 +9,8 @@ from pyspark.sql import DataFrame, Window, functions as F
 from dripline.config import MetricConfig
 from dripline.functions.exprs import guarded
 from dripline.operators.aggregates import journey_daily, kpi_totals
-from dripline.operators.quantiles import exact_quantiles
+from dripline.operators.quantiles import quantile_map
 from dripline.operators.ranking import top_n
-from dripline.session import materialize
 
 TIER_COLUMNS = ("roi", "ctr", "conversion_rate", "orders_per_sent", "delivery_rate")
 VOLUME_FLAG_COLUMNS = ("sent", "delivered", "clicks", "orders")
@@ -20,15 +19,14 @@ VOLUME_FLAG_COLUMNS = ("sent", "delivered", "clicks", "orders")
 def performance_tiers(summary: DataFrame, columns: Sequence[str] = TIER_COLUMNS) -> DataFrame:
     """Add ``<column>_tier`` from the column's 10th, 25th, 75th and 90th percentile.
 
-    The first matching tier wins: excellent, good, very_poor, poor, none. The summary is
-    written once, so finding the thresholds does not compute it a second time.
+    The first matching tier wins: excellent, good, very_poor, poor, none. Nothing runs here: the
+    thresholds are a subquery of the plan. Pass a stored summary where its own source is large.
     """
-    summary = materialize(summary)
-    limits = exact_quantiles(summary, columns, [0.10, 0.25, 0.75, 0.90])
+    limits = quantile_map(summary, columns, [0.10, 0.25, 0.75, 0.90])
     tiers = {}
     for name in columns:
         value = F.col(name)
-        p10, p25, p75, p90 = (F.lit(limit) for limit in limits[name])
+        p10, p25, p75, p90 = (limits[name][i] for i in range(4))
         tiers[f"{name}_tier"] = (
             F.when(value >= p90, "excellent")
             .when(value >= p75, "good")
@@ -41,10 +39,9 @@ def performance_tiers(summary: DataFrame, columns: Sequence[str] = TIER_COLUMNS)
 
 def high_volume_flags(summary: DataFrame, columns: Sequence[str] = VOLUME_FLAG_COLUMNS) -> DataFrame:
     """Add ``<column>_high``: at or above the column's 95th percentile."""
-    summary = materialize(summary)
-    limits = exact_quantiles(summary, columns, [0.95])
+    limits = quantile_map(summary, columns, [0.95])
     return summary.withColumns(
-        {f"{name}_high": F.col(name) >= F.lit(limits[name][0]) for name in columns}
+        {f"{name}_high": F.col(name) >= limits[name][0] for name in columns}
     )
 
 

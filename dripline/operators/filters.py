@@ -13,9 +13,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from dripline.config import UNKNOWN_SEGMENT, MetricConfig
 from dripline.operators.lookups import with_segments
-from dripline.operators.quantiles import exact_quantiles
+from dripline.operators.quantiles import quantile_map
 from dripline.schema import MONTH
-from dripline.session import materialize
 
 
 @dataclass(frozen=True)
@@ -92,9 +91,8 @@ def performance_filter(summary: DataFrame, choice: str) -> DataFrame:
 
 def above_median(summary: DataFrame, column: str = "gtv") -> DataFrame:
     """Rows whose value lies above the median of the column."""
-    summary = materialize(summary)
-    median = exact_quantiles(summary, [column], [0.5])[column][0]
-    return summary.filter(F.col(column) > F.lit(median))
+    median = quantile_map(summary, [column], [0.5])[column][0]
+    return summary.filter(F.col(column) > median)
 
 
 def filter_domains(df: DataFrame, config: MetricConfig) -> DataFrame:

@@ -1,31 +1,39 @@
-"""Exact quantiles of journey-level tables, in one task only while they are small."""
+"""Exact quantiles of journey-level tables, by ranks inside value ranges at every size."""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window, functions as F
-
-# Up to this many rows an exact percentile fits one task easily. Above it, values are ranked
-# in buckets.
-ONE_TASK_ROWS = 200_000
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 # Value ranges the ranking work is split into.
 _BUCKETS = 128
 
 
+def quantile_map(
+    df: DataFrame, columns: Sequence[str], probabilities: Sequence[float]
+) -> Column:
+    """The quantiles of a table as a value for expressions: ``quantile_map(...)[column][i]``.
+
+    A scalar subquery of one row, so nothing runs before the plan that uses it does. A column
+    without values gives null. The plan reads ``df`` once more than the query around it.
+    """
+    return ranked_quantiles(df, columns, probabilities).scalar()
+
+
 def exact_quantiles(
     df: DataFrame,
     columns: Sequence[str],
     probabilities: Sequence[float],
-    one_task_rows: int = ONE_TASK_ROWS,
+    one_task_rows: int | None = None,
 ) -> dict[str, list[float | None]]:
     """Linearly interpolated quantiles per column, in the order of ``probabilities``.
 
-    Runs at once, like ``DataFrame.approxQuantile``, and reads ``df`` more than once: pass a
-    materialized table. A column without values gives ``None``.
+    Runs at once, like ``DataFrame.approxQuantile``; :func:`quantile_map` does not. A column
+    without values gives ``None``. Tables of at most ``one_task_rows`` rows, if that is given, are
+    left to one task.
     """
-    if df.count() <= one_task_rows:
+    if one_task_rows is not None and df.count() <= one_task_rows:
         wanted = F.array(*[F.lit(float(p)) for p in probabilities])
         row = df.agg(*[F.percentile(name, wanted).alias(name) for name in columns]).first()
         found = row.asDict()

@@ -253,6 +253,33 @@ def test_quantiles_of_nothing(spark):
     assert quantiles.exact_quantiles(frame, ["x"], [0.5], one_task_rows=-1) == {"x": [None]}
 
 
+def test_quantiles_wait_for_the_plan(spark):
+    frame = spark.range(1_000).select((F.col("id") % 97).cast("double").alias("roi"))
+    context = spark.sparkContext
+    context.setJobGroup("lazy", "plans only")
+    try:
+        built = [
+            analytics.performance_tiers(frame, ["roi"]),
+            analytics.high_volume_flags(frame, ["roi"]),
+            filters.above_median(frame, "roi"),
+        ]
+        for table in built:
+            table._jdf.queryExecution().executedPlan()
+        assert list(context.statusTracker().getJobIdsForGroup("lazy")) == []
+    finally:
+        context.setLocalProperty("spark.jobGroup.id", None)
+    values = np.arange(1_000) % 97.0
+    assert built[2].count() == int((values > np.quantile(values, 0.5)).sum())
+    assert built[1].where("roi_high").count() == int((values >= np.quantile(values, 0.95)).sum())
+
+
+def test_tiers_without_values(spark):
+    frame = spark.createDataFrame([("a", None), ("b", None)], "journey_name string, roi double")
+    assert {r["roi_tier"] for r in analytics.performance_tiers(frame, ["roi"]).collect()} == {"none"}
+    assert filters.above_median(frame, "roi").count() == 0
+    assert analytics.performance_tiers(frame.limit(0), ["roi"]).count() == 0
+
+
 def test_tiers(spark):
     data = [(f"j{i:02d}", float(i)) for i in range(101)]
     frame = spark.createDataFrame(data, "journey_name string, roi double")

@@ -254,6 +254,25 @@ def _pivot(metric: str, total: str = "Total") -> str:
     return f"SELECT journey_name, {cells}, cast(sum({metric}) AS double) AS {total} FROM fact GROUP BY ALL"
 
 
+# A cell for each channel of a block in which the journey has rows.
+_PIVOT_CELLS = """
+SELECT * EXCLUDE (n) FROM (
+  SELECT j.journey_name, c.channel, c.block,
+         cast(coalesce(sum(f.sent), 0) AS double) AS sent,
+         cast(coalesce(sum(f.delivered), 0) AS double) AS delivered,
+         cast(coalesce(sum(f.unique_clicks), 0) AS double) AS clicks,
+         cast(coalesce(sum(f.ct_conversions), 0) AS double) AS orders,
+         cast(coalesce(sum(f.cost_d), 0) AS double) AS cost,
+         cast(coalesce(sum(f.ct_conversions), 0) * 1500 AS double) AS gtv,
+         count(f.channel) AS n
+  FROM (SELECT DISTINCT journey_name FROM fact) j
+  CROSS JOIN (SELECT channel, cast((row_number() OVER (ORDER BY channel) - 1) // 4 AS integer) AS block
+              FROM (SELECT DISTINCT channel FROM fact)) c
+  LEFT JOIN fact f ON f.journey_name = j.journey_name AND f.channel = c.channel
+  GROUP BY j.journey_name, c.channel, c.block)
+QUALIFY sum(n) OVER (PARTITION BY journey_name, block) > 0"""
+
+
 _BREAKDOWN = (("sent", "Sent"), ("delivered", "Delivered"), ("ct_conversions", "Conversions"))
 
 
@@ -554,6 +573,7 @@ _BODIES: dict[str, tuple[tuple[str, ...], str]] = {
     "pivot_orders": ((), _pivot("ct_conversions")),
     "pivot_cost": ((), _pivot("cost_d")),
     "pivot_gtv": ((), _pivot("(ct_conversions * 1500)")),
+    "pivot_blocks": ((), _PIVOT_CELLS),
     "pivot_fixed": ((), _pivot("sent", "Total_Sent")),
     "channel_breakdown": ((), _breakdown(text=True, over_four=False)),
     "channel_breakdown_four": ((), _breakdown(text=True, over_four=True)),

@@ -22,7 +22,7 @@ from dripline.operators import (
 )
 from dripline.operators.filters import FilterSpec
 from dripline.operators.lookups import with_segments
-from dripline.plans import report as report_plan
+from dripline.plans import pivot_blocks as blocks, report as report_plan
 from dripline.plans.dashboard import dashboard_tab
 from dripline.schema import COLUMN_TO_HEADER, LEGACY_DETAIL_COLUMNS, SOURCE_TS
 from dripline.session import new_work_path
@@ -325,6 +325,13 @@ def _pivot(metric: str) -> Query:
     return _on_fact(lambda fact: reshape.channel_pivots(fact, CONFIG, CHANNELS)[metric])
 
 
+def pivot_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All six matrices in blocks of four channels, read back as cells."""
+    root = new_work_path(spark, "pivot-blocks")
+    blocks.write_pivot_blocks(campaign_fact(spark, sf_dir), CONFIG, root, width=4)
+    return blocks.pivot_cells(spark, root)
+
+
 def _only(*columns: str) -> Callable[[DataFrame], DataFrame]:
     return lambda summary: summary.select("journey_name", *columns)
 
@@ -403,6 +410,7 @@ QUERIES: dict[str, Query] = {
     "journey_totals": _on_fact(lambda fact: agg.journey_totals(fact, CONFIG)),
     # Pivots.
     **{f"pivot_{metric}": _pivot(metric) for metric in reshape.PIVOT_METRICS},
+    "pivot_blocks": pivot_blocks,
     "pivot_fixed": _on_fact(
         lambda fact: reshape.fixed_pivots(fact, CHANNELS)["sent"]
     ),
