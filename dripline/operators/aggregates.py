@@ -40,9 +40,14 @@ MAX_PRICE_SUMS = 16
 _COST_TYPE = "decimal(34,8)"
 
 
-def _measures(volumes: Sequence[str]) -> list[Column]:
+# How many report rows a row stands for, in a table that is summed already.
+CAMPAIGN_ROWS = "campaign_rows"
+
+
+def _measures(df: DataFrame, volumes: Sequence[str]) -> list[Column]:
+    rows = f"sum({CAMPAIGN_ROWS})" if CAMPAIGN_ROWS in df.columns else "count(1)"
     sums = [F.expr(f"sum({name}) AS {VOLUME_NAMES[name]}") for name in volumes]
-    return [F.expr("count(1) AS campaigns"), *sums]
+    return [F.expr(f"{rows} AS campaigns"), *sums]
 
 
 def channel_cube(
@@ -57,7 +62,7 @@ def channel_cube(
     """
     grouping = dict.fromkeys([*keys, "channel"])
     extras = [F.expr(f"{sql} AS {name}") for name, sql in (extra or {}).items()]
-    return df.groupBy(*grouping).agg(*_measures(volumes), *extras)
+    return df.groupBy(*grouping).agg(*_measures(df, volumes), *extras)
 
 
 def sum_cube(cube: DataFrame, keys: Sequence[str], config: MetricConfig) -> DataFrame:
@@ -87,7 +92,7 @@ def exact_totals(
         F.sum(F.when(F.col("channel").isin(*channels), F.col("sent"))).alias(f"_paid_{i}")
         for i, channels in enumerate(by_price.values())
     ]
-    totals = df.groupBy(*keys).agg(*_measures(volumes), *paid)
+    totals = df.groupBy(*keys).agg(*_measures(df, volumes), *paid)
     cost = f"cast(0 AS {_COST_TYPE})"
     for i, price in enumerate(by_price):
         part = f"coalesce(cast(_paid_{i} AS decimal(28,4)), 0) * cast('{price}' AS decimal(9,4))"

@@ -12,6 +12,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, functions as F
 
 from dripline.config import UNKNOWN_SEGMENT, MetricConfig
+from dripline.operators.aggregates import CAMPAIGN_ROWS
 from dripline.operators.lookups import with_segments
 from dripline.operators.quantiles import quantile_map
 from dripline.schema import MONTH
@@ -122,8 +123,9 @@ def selection_counts(df: DataFrame, spec: FilterSpec, config: MetricConfig) -> D
     """Journeys and campaign rows inside a selection, beside those of the whole table."""
     predicate = spec.predicate(config.segments)
     inside = F.lit(True) if predicate is None else F.coalesce(predicate, F.lit(False))
+    rows = F.col(CAMPAIGN_ROWS) if CAMPAIGN_ROWS in df.columns else F.lit(1).cast("bigint")
     per_journey = df.groupBy("journey_name").agg(
-        F.count_if(inside).alias("shown"), F.count(F.lit(1)).alias("total")
+        F.sum(F.when(inside, rows).otherwise(0)).alias("shown"), F.sum(rows).alias("total")
     )
     return per_journey.agg(
         F.count_if(F.col("shown") > 0).alias("journeys_shown"),

@@ -23,10 +23,13 @@ def dashboard_tab(
     """Named frames of a tab over the selected rows.
 
     The weekly tab reads empty journey and channel lists as "all" and shows one journey, or
-    every journey when none is named.
+    every journey when none is named. ``fact`` may be a stored cube (:mod:`dripline.plans.cube`)
+    for all tabs but the details.
     """
     if tab not in TABS:
         raise ValueError(f"unknown tab: {tab}")
+    if tab == "details" and agg.CAMPAIGN_ROWS in fact.columns:
+        raise ValueError("the details tab needs report rows, not a cube")
     chosen = apply_filters(fact, spec, config)
     if tab == "overview":
         summary = agg.journey_summary(chosen, config)

@@ -33,12 +33,14 @@ def _name(month: int | None) -> str:
     return _NO_MONTH if month is None else str(month)
 
 
-def _write_months(rows: DataFrame, root: str) -> dict[str, str]:
+def write_months(rows: DataFrame, root: str) -> dict[str, str]:
     """Write rows by month; returns the folder of each month that has rows."""
     folder = versions.new_folder()
-    months = [row[0] for row in rows.select(MONTH).distinct().collect()]
     balanced = rows.hint("rebalance", F.col(MONTH))
     balanced.write.partitionBy(MONTH).parquet(f"{root}/{folder}")
+    # The months stand in the names of the folders, so the rows are not computed for them.
+    written = rows.sparkSession.read.schema(f"{MONTH} int").parquet(f"{root}/{folder}")
+    months = [row[0] for row in written.select(MONTH).distinct().collect()]
     return {_name(x): f"{folder}/{MONTH}={_name(x)}" for x in months}
 
 
@@ -75,7 +77,7 @@ def merge(
         # In the order in which the columns came, whichever months are read.
         rows = dedupe_latest(rows.select(*(f"`{x}`" for x in columns), MONTH))
         folders = {x: y for x, y in base.folders.items() if x not in months}
-        folders |= _write_months(rows, root)
+        folders |= write_months(rows, root)
         return Version(0, folders, {"columns": columns, "batches": batches})
 
     return versions.change(spark, root, build)
@@ -142,6 +144,6 @@ def compact(spark: SparkSession, root: str, months: Sequence[int | None] | None
         if not stored:
             return None
         rows = versions.read(spark, root, Version(0, stored))
-        return Version(0, {**base.folders, **_write_months(rows, root)}, base.notes)
+        return Version(0, {**base.folders, **write_months(rows, root)}, base.notes)
 
     return versions.change(spark, root, build)

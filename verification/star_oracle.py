@@ -499,6 +499,7 @@ _BODIES: dict[str, tuple[tuple[str, ...], str]] = {
         "SELECT journey_name, gtv FROM summary WHERE gtv > (SELECT quantile_cont(gtv, 0.5) FROM summary)",
     ),
     "journey_summary": ((SUMMARY,), "SELECT * FROM summary"),
+    "journey_summary_from_cube": ((SUMMARY,), "SELECT * FROM summary"),
     "loaded_report": ((SUMMARY,), "SELECT * FROM summary"),
     "journey_summary_raw_roi": ((SUMMARY,), "SELECT * FROM raw_roi"),
     "legacy_summary": ((SUMMARY,), "SELECT * FROM legacy"),
@@ -679,4 +680,6 @@ _BODIES: dict[str, tuple[tuple[str, ...], str]] = {
     ),
 }
 
+_BODIES["weekly_view_from_cube"] = _BODIES["weekly_view"]
+
 ORACLE_SQL = {name: _with(*ctes) + body for name, (ctes, body) in _BODIES.items()}

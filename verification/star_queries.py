@@ -22,7 +22,7 @@ from dripline.operators import (
 )
 from dripline.operators.filters import FilterSpec
 from dripline.operators.lookups import with_segments
-from dripline.plans import pivot_blocks as blocks, report as report_plan
+from dripline.plans import cube, pivot_blocks as blocks, report as report_plan
 from dripline.plans.dashboard import dashboard_tab
 from dripline.schema import COLUMN_TO_HEADER, LEGACY_DETAIL_COLUMNS, SOURCE_TS
 from dripline.session import new_work_path
@@ -332,6 +332,17 @@ def pivot_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return blocks.pivot_cells(spark, root)
 
 
+def _on_cube(operator: Callable[[DataFrame], DataFrame]) -> Query:
+    """An operator over the stored cube of the report rows."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        root = new_work_path(spark, "cube")
+        cube.store_cube(campaign_fact(spark, sf_dir), root)
+        return _text_days(operator(cube.current_cube(spark, root)))
+
+    return run
+
+
 def _only(*columns: str) -> Callable[[DataFrame], DataFrame]:
     return lambda summary: summary.select("journey_name", *columns)
 
@@ -389,6 +400,8 @@ QUERIES: dict[str, Query] = {
         lambda summary: filters.above_median(_only("gtv")(summary))
     ),
     # Aggregates.
+    "journey_summary_from_cube": _on_cube(lambda rows: agg.journey_summary(rows, CONFIG)),
+    "weekly_view_from_cube": _on_cube(weekly_view),
     "journey_summary": _on_summary(lambda summary: summary),
     "journey_summary_raw_roi": _on_fact(lambda fact: agg.journey_summary_raw_roi(fact, CONFIG)),
     "legacy_summary": _on_fact(lambda fact: agg.legacy_summary(fact, CONFIG)),
