@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from dripline.config import MetricConfig
 from dripline.functions.exprs import guarded
 from dripline.operators.aggregates import journey_daily, kpi_totals
-from dripline.operators.quantiles import quantile_map
+from dripline.operators.quantiles import with_quantiles
 from dripline.operators.ranking import top_n
 
 TIER_COLUMNS = ("roi", "ctr", "conversion_rate", "orders_per_sent", "delivery_rate")
@@ -22,27 +22,31 @@ def performance_tiers(summary: DataFrame, columns: Sequence[str] = TIER_COLUMNS)
     The first matching tier wins: excellent, good, very_poor, poor, none. Nothing runs here: the
     thresholds are a subquery of the plan. Pass a stored summary where its own source is large.
     """
-    limits = quantile_map(summary, columns, [0.10, 0.25, 0.75, 0.90])
-    tiers = {}
-    for name in columns:
-        value = F.col(name)
-        p10, p25, p75, p90 = (limits[name][i] for i in range(4))
-        tiers[f"{name}_tier"] = (
-            F.when(value >= p90, "excellent")
-            .when(value >= p75, "good")
-            .when(value <= p10, "very_poor")
-            .when(value <= p25, "poor")
-            .otherwise("none")
-        )
-    return summary.withColumns(tiers)
+
+    def tiers(limits: Column) -> dict[str, Column]:
+        found = {}
+        for name in columns:
+            value = F.col(name)
+            p10, p25, p75, p90 = (limits[name][i] for i in range(4))
+            found[f"{name}_tier"] = (
+                F.when(value >= p90, "excellent")
+                .when(value >= p75, "good")
+                .when(value <= p10, "very_poor")
+                .when(value <= p25, "poor")
+                .otherwise("none")
+            )
+        return found
+
+    return with_quantiles(summary, columns, [0.10, 0.25, 0.75, 0.90], tiers)
 
 
 def high_volume_flags(summary: DataFrame, columns: Sequence[str] = VOLUME_FLAG_COLUMNS) -> DataFrame:
     """Add ``<column>_high``: at or above the column's 95th percentile."""
-    limits = quantile_map(summary, columns, [0.95])
-    return summary.withColumns(
-        {f"{name}_high": F.col(name) >= limits[name][0] for name in columns}
-    )
+
+    def flags(limits: Column) -> dict[str, Column]:
+        return {f"{name}_high": F.col(name) >= limits[name][0] for name in columns}
+
+    return with_quantiles(summary, columns, [0.95], flags)
 
 
 def conversion_funnel(df: DataFrame, config: MetricConfig) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
@@ -21,6 +21,23 @@ def quantile_map(
     return ranked_quantiles(df, columns, probabilities).scalar()
 
 
+def with_quantiles(
+    df: DataFrame,
+    columns: Sequence[str],
+    probabilities: Sequence[float],
+    build: Callable[[Column], dict[str, Column]],
+) -> DataFrame:
+    """Add the columns that ``build`` makes of the quantiles.
+
+    The subquery stands in the plan once, however often the new columns refer to it.
+    """
+    held = "_quantiles"
+    while held in df.columns:
+        held += "_"
+    limits = quantile_map(df, columns, probabilities)
+    return df.withColumn(held, limits).withColumns(build(F.col(held))).drop(held)
+
+
 def exact_quantiles(
     df: DataFrame,
     columns: Sequence[str],
