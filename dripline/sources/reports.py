@@ -7,6 +7,7 @@ import re
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
 from fnmatch import fnmatchcase
+from functools import reduce
 from pathlib import PurePosixPath
 from typing import TypeVar
 from urllib.parse import unquote
@@ -18,7 +19,7 @@ from pyspark.sql.types import StringType, StructField, StructType
 
 from dripline.config import MetricConfig
 from dripline.functions.exprs import missing_to_null, parse_day
-from dripline.operators.lookups import with_segments
+from dripline.operators.lookups import _INLINE_ROWS, local_table, with_segments
 from dripline.operators.rows import clean_numeric, clean_strings, parse_days, with_row_metrics
 from dripline.schema import (
     HEADER_TO_COLUMN,
@@ -55,10 +56,10 @@ class RejectedFile:
 
 @dataclass
 class _HeaderGroup:
-    """Files that share one header, and the rank of each."""
+    """Files that share one header, and of each its path, its rank and its path as rows give it."""
 
     paths: list[str] = field(default_factory=list)
-    file_ranks: list[tuple[str, str]] = field(default_factory=list)
+    file_ranks: list[tuple[str, str, str]] = field(default_factory=list)
 
 
 def _read_raw(spark: SparkSession, paths: str | list[str], multi_line: bool) -> DataFrame:
@@ -71,10 +72,13 @@ def _spelled(path: str) -> str:
     return re.sub("^file:/+", "file:/", path)
 
 
-def _file_path() -> Column:
-    """The path of a row's file, spelled as :func:`_spelled` does."""
+_FILE = "_metadata.file_path"
+
+
+def _file_path(file: str) -> Column:
+    """The path of a file, spelled as :func:`_spelled` does."""
     # "+" stays as it is in a file path, but url_decode would take it for a blank.
-    path = F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))
+    path = F.url_decode(F.replace(F.col(file), F.lit("+"), F.lit("%2B")))
     return F.regexp_replace(path, "^file:/+", "file:/")
 
 
@@ -135,6 +139,13 @@ def _ranks(paths: Sequence[str], files: list[str]) -> dict[str, str]:
     return out
 
 
+def _rank_table(spark: SparkSession, rows: list[tuple[str, str]]) -> DataFrame:
+    """The ranks of files as a table of known size, so that rows get theirs without a shuffle."""
+    blocks = [rows[i : i + _INLINE_ROWS] for i in range(0, len(rows), _INLINE_ROWS)]
+    tables = [local_table(spark, block, (SOURCE_RANK, "_rank")) for block in blocks]
+    return reduce(DataFrame.union, tables)
+
+
 def _group_by_header(
     spark: SparkSession, paths: Sequence[str]
 ) -> tuple[list[_HeaderGroup], list[RejectedFile]]:
@@ -148,12 +159,13 @@ def _group_by_header(
 
     def first_lines(files: list[str]) -> list:
         place = F.struct(F.col("_metadata.file_block_start"), F.monotonically_increasing_id())
-        lines = spark.read.text(files).select(_file_path().alias("path"), "value", place.alias("at"))
+        lines = spark.read.text(files).select(F.col(_FILE).alias("file"), "value", place.alias("at"))
         return (
             lines.where(F.trim("value") != "")
-            .groupBy("path")
+            .groupBy("file")
             .agg(F.min_by("value", "at").alias("header"), F.count(F.lit(1)).alias("n"))
             .where("n > 1")
+            .select("file", _file_path("file").alias("path"), "header")
             .collect()
         )
 
@@ -164,7 +176,7 @@ def _group_by_header(
         alone = row["path"] if row["header"].count('"') % 2 else ""
         group = groups.setdefault((row["header"], alone), _HeaderGroup())
         group.paths.append(row["path"])
-        group.file_ranks.append((row["path"], ranks[row["path"]]))
+        group.file_ranks.append((row["path"], ranks[row["path"]], row["file"]))
     return list(groups.values()), [*missing, *broken]
 
 
@@ -180,8 +192,10 @@ def _unsound(spark: SparkSession, group: _HeaderGroup, multi_line: bool) -> Data
     unreadable = F.lit(False)
     for name in names:
         unreadable |= F.coalesce(F.contains(F.col(f"`{name}`"), F.lit("\ufffd")), F.lit(False))
-    counted = rows.groupBy(_file_path().alias("path")).agg(
-        F.count_if(F.col(more).isNotNull()).alias("longer"), F.count_if(unreadable).alias("odd")
+    counted = (
+        rows.groupBy(F.col(_FILE).alias("file"))
+        .agg(F.count_if(F.col(more).isNotNull()).alias("longer"), F.count_if(unreadable).alias("odd"))
+        .withColumn("path", _file_path("file"))
     )
     longer = F.concat("longer", F.lit(" rows with more cells than the header"))
     odd = F.concat("odd", F.lit(" rows that are not UTF-8"))
@@ -247,15 +261,15 @@ def read_reports(
             *texts,
             F.col("_metadata.file_modification_time").alias(SOURCE_TS),
             F.col("_metadata.file_name").alias(SOURCE_FILE),
-            _file_path().alias(SOURCE_RANK),
+            F.col(_FILE).alias(SOURCE_RANK),
             F.col("_metadata.file_block_start").alias(SOURCE_BLOCK),
             F.monotonically_increasing_id().alias(SOURCE_ROW),
         )
-        if not in_path_order:
-            ranks = spark.createDataFrame(group.file_ranks, f"{SOURCE_RANK} string, _rank string")
-            part = part.join(ranks, SOURCE_RANK, "left").withColumn(SOURCE_RANK, F.col("_rank"))
-            part = part.select(*(f"`{x}`" for x in raw.columns), *PROVENANCE_COLUMNS)
-        parts.append(part)
+        # The path is spelled once per file, not once per row.
+        ranks = [(file, path if in_path_order else rank) for path, rank, file in group.file_ranks]
+        part = part.join(_rank_table(spark, ranks), SOURCE_RANK, "left")
+        part = part.withColumn(SOURCE_RANK, F.col("_rank"))
+        parts.append(part.select(*(f"`{x}`" for x in raw.columns), *PROVENANCE_COLUMNS))
     combined = parts[0]
     for part in parts[1:]:
         combined = combined.unionByName(part, allowMissingColumns=True)
