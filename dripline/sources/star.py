@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from dripline.config import MetricConfig
@@ -46,9 +48,17 @@ def _by_remainder(key: str, labels: tuple[str, ...]) -> str:
     return f"CASE {key} % {len(labels)} {cases} ELSE '{labels[-1]}' END"
 
 
-def campaign_fact(spark: SparkSession, sf_dir: str, keep_row_key: bool = False) -> DataFrame:
+def campaign_fact(
+    spark: SparkSession,
+    sf_dir: str,
+    keep_row_key: bool = False,
+    arrange: Callable[[DataFrame], DataFrame] | None = None,
+) -> DataFrame:
     """One report row per order line; ``keep_row_key`` adds the row key and a ``source`` flag.
 
+    ``arrange`` lays out the joined lines before their columns are derived, so that a shuffle
+    there moves the stored numbers and not the texts that follow from them.
+
     Orders meet customers before lines: that pair is narrow, so the wide line table is
     shuffled once, on the order key only. No side is hinted as broadcast, since all three
     tables grow with the data; adaptive execution picks the join and splits hot keys.
@@ -64,12 +74,13 @@ def campaign_fact(spark: SparkSession, sf_dir: str, keep_row_key: bool = False)
         "ELSE 'Paused' END AS status",
         "to_date(o_orderdate) AS day",
     )
+    lines = table(spark, sf_dir, "lineitem").select(*ROW_KEY, "l_returnflag")
+    joined = lines.join(context, F.col("l_orderkey") == F.col("o_orderkey"))
+    if arrange is not None:
+        joined = arrange(joined)
     # Lines numbered 7 sent nothing.
     active = F.when(F.col("l_linenumber") == 7, F.lit(0)).otherwise(F.col("l_quantity"))
-    lines = table(spark, sf_dir, "lineitem").select(
-        *ROW_KEY, "l_returnflag", active.cast("bigint").alias("active")
-    )
-    joined = lines.join(context, F.col("l_orderkey") == F.col("o_orderkey"))
+    joined = joined.withColumn("active", active.cast("bigint"))
     columns = [
         "concat('C', l_partkey) AS campaign_id",
         "concat('Campaign ', l_partkey) AS campaign_name",

@@ -10,6 +10,7 @@ from dripline.operators import aggregates as agg, filters
 from dripline.operators.filters import FilterSpec
 from dripline.sources import combine, sinks
 from dripline.sources.star import campaign_fact
+from verification import star_queries
 from verification.star_queries import CONFIG, QUERIES, SELECTION, dedupe_latest
 
 # These write and read their own files, so their last plan is only the read.
@@ -79,3 +80,11 @@ def test_totals_need_one_aggregate_and_no_price_join(spark, sf_dir):
 def test_combined_sort_key_ends_in_row_position():
     names = ["Campaign ID", "Day", "_source_ts", "_source_rank", "_source_block", "_source_row"]
     assert len(combine.chronological(names)) == 5
+
+
+def test_report_files_shuffle_stored_numbers(spark, sf_dir):
+    reported = star_queries._reported(spark, sf_dir, lambda lines: lines.repartition("l_partkey", "day"))
+    text = plan(reported.where("source = 'A'").select("campaign_id", "day", "sent", "delivered"))
+    above, dealt = text.split("hashpartitioning(l_partkey", 1)
+    assert "concat(C" in above and "concat(C" not in dealt
+    assert "l_returnflag" in dealt and "IsNotNull(l_returnflag)" in dealt

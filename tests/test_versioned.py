@@ -171,3 +171,48 @@ def test_a_table_is_replaced_by_one_switch(spark, tmp_path):
     old = sinks.current_table(spark, root)
     sinks.replace_table(spark.range(7), root)
     assert sinks.current_table(spark, root).count() == 7 and old.count() == 5
+
+
+def test_new_months_come_as_they_were_written(spark, tmp_path, monkeypatch):
+    months = [[["c", f"2024-{m:02d}-05", "", f"{i}-{m}"] for m in range(first, first + 2)]
+              for i, first in enumerate((1, 3, 4))]
+    paths = [write_csv(tmp_path / f"report{i}.csv", HEADER, x, i + 1) for i, x in enumerate(months)]
+    rows = [latest_rows(spark, [path]) for path in paths]
+    root = str(tmp_path / "table")
+    with monkeypatch.context() as patch:
+        patch.setattr(versioned, "dedupe_latest", lambda *_: pytest.fail("compared again"))
+        versioned.merge(spark, root, rows[0], ("s", 0), reduced=True)
+        before = versioned.merge(spark, root, rows[1], ("s", 1), reduced=True)
+    after = versioned.merge(spark, root, rows[2], ("s", 2), reduced=True)
+    assert {x for x in after.folders if after.folders[x] != before.folders.get(x)} == {"202404", "202405"}
+    assert cells(versioned.current_table(spark, root)) == cells(combine.combine_reports(spark, paths))
+
+
+def test_reduced_batches_equal_one_combine(spark, tmp_path):
+    paths = files_of(tmp_path, seed=7)
+    root = str(tmp_path / "table")
+    for i, path in enumerate(paths):
+        versioned.merge(spark, root, latest_rows(spark, [path]), ("s", i), reduced=True)
+    assert cells(versioned.current_table(spark, root)) == cells(combine.combine_reports(spark, paths))
+
+
+def test_compaction_puts_files_together_without_a_shuffle(spark, tmp_path):
+    root = str(tmp_path / "table")
+    data = [["c", f"2024-{m:02d}-{d:02d}", "", f"{m}-{d}"] for m in (1, 2, 3) for d in range(1, 20)]
+    path = write_csv(tmp_path / "report1.csv", HEADER, [*data, ["c", "", "", "none"]], 1)
+    version = versioned.merge(spark, root, latest_rows(spark, [path]))
+    rows = versions.read(spark, root, version)
+    folder = versions.new_folder()
+    rows.repartition(4).write.partitionBy(MONTH).parquet(f"{root}/{folder}")
+    folders = {x: f"{folder}/{MONTH}={x}" for x in version.folders}
+    versions.commit(spark, root, versions.Version(2, folders, version.notes))
+    before = cells(versioned.current_rows(spark, root))
+    plan = versioned._month_by_month(spark, root, folders, 1 << 20)._jdf.queryExecution()
+    assert "Exchange" not in plan.executedPlan().toString()
+    whole = versioned.compact(spark, root)
+    assert cells(versioned.current_rows(spark, root)) == before
+    files = [len([y for y in os.listdir(f"{root}/{x}") if y.endswith(".parquet")]) for x in whole.folders.values()]
+    # The largest month keeps two tasks, so that the months are not all read by one.
+    assert len(files) == 4 and sum(files) <= 5
+    versioned.compact(spark, root, [202401])
+    assert cells(versioned.current_rows(spark, root)) == before

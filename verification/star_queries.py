@@ -150,10 +150,13 @@ def _source_time() -> Column:
     return F.expr(f"CASE {cases} END")
 
 
-def _reported(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _reported(
+    spark: SparkSession, sf_dir: str, arrange: Callable[[DataFrame], DataFrame] | None = None
+) -> DataFrame:
     """Fact with row key, in which some start dates are missing."""
     start = F.when(F.col("source_seq") == 3, F.lit(None).cast("date")).otherwise(F.col("start_date"))
-    return campaign_fact(spark, sf_dir, keep_row_key=True).withColumn("start_date", start)
+    fact = campaign_fact(spark, sf_dir, keep_row_key=True, arrange=arrange)
+    return fact.withColumn("start_date", start)
 
 
 def dedupe_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -192,10 +195,10 @@ def write_combined(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _report_files(spark: SparkSession, sf_dir: str, root: str) -> None:
     """The three sources as report files below ``root``."""
-    reported = _reported(spark, sf_dir)
+    # A campaign-day lies in one file, in row-key order. The part key is the campaign's.
+    reported = _reported(spark, sf_dir, lambda lines: lines.repartition("l_partkey", "day"))
     for name, (condition, _) in SOURCES.items():
-        # A campaign-day lies in one file, in row-key order.
-        part = reported.where(condition).repartition("campaign_id", "day")
+        part = reported.where(condition)
         part = part.sortWithinPartitions(*ROW_KEY).select(*_REPORT_COLUMNS[name])
         part = part.withColumnsRenamed(COLUMN_TO_HEADER)
         sinks.write_combined(combine.render_dates(part), f"{root}/reports/{name}")
