@@ -83,10 +83,14 @@ def start_incremental_combine(
 def current_rows(spark: SparkSession, log_path: str) -> DataFrame:
     """Latest row per campaign-day over all batches so far, with provenance.
 
-    A filter on ``report_month`` reads and compares those months only.
+    A filter on ``report_month`` reads and compares those months only. Every batch was reduced
+    before it was written, so the rows of a log of one batch are not compared again.
     """
-    log = spark.read.option("mergeSchema", True).parquet(log_path).drop(BATCH_COLUMN)
-    return dedupe_latest(log)
+    log = spark.read.option("mergeSchema", True).parquet(log_path)
+    mark = f"/{BATCH_COLUMN}="
+    batches = {x.rpartition(mark)[2].split("/")[0] for x in log.inputFiles() if mark in x}
+    log = log.drop(BATCH_COLUMN)
+    return log if len(batches) == 1 else dedupe_latest(log)
 
 
 def current_table(spark: SparkSession, log_path: str) -> DataFrame:

@@ -156,6 +156,28 @@ def test_month_filter_skips_folders_of_the_log(spark, tmp_path):
     assert "report_month" in text[text.index("PartitionFilters") : text.index("PushedFilters")]
 
 
+def test_a_log_of_one_batch_is_read_without_comparing(spark, tmp_path):
+    inbox = tmp_path / "in"
+    inbox.mkdir()
+    files = random_files(inbox, 3)
+    log, state = str(tmp_path / "log"), str(tmp_path / "state")
+    incremental.start_incremental_combine(spark, str(inbox), log, state).awaitTermination()
+    found = incremental.current_table(spark, log)
+    assert "Exchange" not in found._jdf.queryExecution().executedPlan().toString()
+    assert values(found) == sorted(brute_force(files), key=str)
+
+
+def test_ranks_reach_the_rows_without_a_shuffle(spark, tmp_path):
+    paths = [
+        write_csv(tmp_path / f"{name}.csv", HEADER, [["c", "2024-01-05", "", name]], 1)
+        for name in ("b+ %41", "a c", "d")
+    ]
+    frame = reports.read_reports(spark, paths)
+    text = frame._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in text and "SortMergeJoin" not in text and "hashpartitioning" not in text
+    assert [row["Sent"] for row in frame.orderBy("_source_rank").collect()] == ["b+ %41", "a c", "d"]
+
+
 def test_discover(spark, tmp_path):
     write_csv(tmp_path / "report_b.csv", HEADER, [["c", "", "", "1"]], 1)
     write_csv(tmp_path / "report_a.csv", HEADER, [["c", "", "", "1"]], 1)
