@@ -4,30 +4,33 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from dripline.llm.support import discard, folder_of, store, stored_at
+from dripline.llm.support import discard, folder_of, gathered, store, stored_at
 
 
-def components(links: DataFrame) -> DataFrame:
+def components(links: DataFrame, known: DataFrame | None = None) -> DataFrame:
     """(node, component) of every node in links (a, b); a component's name is its smallest node.
 
     Every node takes the smallest name among its neighbours, then the name that this name has by
     now, until nothing changes: names travel twice as far each round. Smallest names are found by
     aggregation, which a node with very many neighbours leaves as one row per task. Each round
     is written to the shared folder, so a lost executor costs no earlier round; the one before is
-    removed then.
+    removed then. The tables of small graphs are read by one task and not shuffled. ``known`` are
+    the components by some of the links; from them fewer rounds are left.
     """
-    both = store(
-        links.select("a", "b")
-        .union(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        .dropDuplicates(),
-        "neighbours",
-    )
-    names = store(
-        both.groupBy(F.col("a").alias("node"))
-        .agg(F.min("b").alias("least"))
-        .select("node", F.least("node", "least").alias("component")),
-        "names",
+    both = gathered(
+        store(
+            links.select("a", "b")
+            .union(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
+            .dropDuplicates(),
+            "neighbours",
+        )
     )
+    first = both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("least"))
+    smallest = ["node", "least"]
+    if known is not None:
+        first = first.join(known.select("node", F.col("component").alias("known")), "node", "left")
+        smallest.append("known")
+    names = gathered(store(first.select("node", F.least(*smallest).alias("component")), "names"))
     while True:
         heard = (
             both.join(names.withColumnRenamed("node", "a"), "a")
@@ -40,13 +43,15 @@ def components(links: DataFrame) -> DataFrame:
         further = names.select(
             F.col("node").alias("found"), F.col("component").alias("beyond")
         )
-        moved = store(
-            nearer.join(further, "found").select(
-                "node",
-                F.least("found", "beyond").alias("component"),
-                (F.least("found", "beyond") != F.col("component")).alias("changed"),
-            ),
-            "names",
+        moved = gathered(
+            store(
+                nearer.join(further, "found").select(
+                    "node",
+                    F.least("found", "beyond").alias("component"),
+                    (F.least("found", "beyond") != F.col("component")).alias("changed"),
+                ),
+                "names",
+            )
         )
         discard(names)
         names = stored_at(moved.select("node", "component"), folder_of(moved))

@@ -54,15 +54,19 @@ from dripline.llm.components import components
 from dripline.llm.support import (
     NOT_SPACE,
     discard,
+    folder_of,
+    gathered,
     gram_hashes,
     mix,
     sequence_hash,
     ship,
     shuffles_freed,
     store,
+    store_parts,
     text_chunks,
     word_hashes,
 )
+from dripline.session import work_size
 
 SHINGLE = 5
 PERCENT = 75
@@ -71,6 +75,10 @@ COUNTED_TOGETHER = 1 << 21
 FIRST_PIVOTS = 4
 FILTER_BITS = 24
 
+# The regions are built in so many slices at most, each from so many stored bytes of windows at least.
+MOST_SLICES = 4
+SLICE_BYTES = 1 << 25
+
 # Groups go on trying one pair each while at least one in so many of the pairs joins two.
 LEAST_JOINED = 2
 
@@ -256,8 +264,9 @@ _SIGNED = {
 }
 
 
-def regions_of(signed: DataFrame) -> DataFrame:
-    """(region, class, n, place, central) of all regions that can hold two classes.
+def regions_of(signed: DataFrame, slices: int = 1, number: int = 0) -> DataFrame:
+    """(region, class, n, place, central) of all regions that can hold two classes, or of those in
+    one of several slices.
 
     ``place`` is how many shingles of the set come before the region's in the common order. Common
     shingles may have regions of any size; those rows are left where they are.
@@ -266,8 +275,10 @@ def regions_of(signed: DataFrame) -> DataFrame:
     # Size and place travel as one number: most rows are gone after this shuffle.
     size = F.shiftleft(F.col("n").cast("long"), 32)
     columns = ["region", "class", "size_place", "central"]
+    own = F.pmod(F.col("region"), F.lit(slices)) == number
     rare = (
         signed.select("class", "n", "central", F.posexplode("rare").alias("place", "region"))
+        .where(own)
         .withColumn("size_place", size + F.col("place"))
         .select(*columns)
         .withColumn("low", F.min("class").over(every))
@@ -279,6 +290,7 @@ def regions_of(signed: DataFrame) -> DataFrame:
         signed.select(
             "class", "n", "central", "rare", F.posexplode("shared").alias("place", "region")
         )
+        .where(own)
         .withColumn("size_place", size + F.size("rare") + F.col("place"))
         .select(*columns)
     )
@@ -295,15 +307,20 @@ def regions_of(signed: DataFrame) -> DataFrame:
     )
 
 
-def pivot_pairs(regions: DataFrame, parts: int, salt: int, percent: int) -> tuple:
-    """The round's pivots (region, pivot), and the pairs (a, b) of a pivot a and another class b
-    with the number of regions in which they met.
+def stored_regions(signed: DataFrame) -> DataFrame:
+    """The regions of the stored windows, slice by slice: most of what is shuffled for them goes no
+    further, so the shuffle files of all at once would be the most disk of the whole job."""
+    size = work_size(signed.sparkSession, folder_of(signed))
+    slices = min(MOST_SLICES, 1 + size // SLICE_BYTES)
+    parts = (regions_of(signed, slices, i) for i in range(slices))
+    return store_parts((x.withColumn("group", F.col("class")) for x in parts), "regions")
 
-    Each region is dealt into ``parts`` parts; the most central class of each is a pivot. Pairs
-    whose sizes and places alone keep them apart, and pairs of one group, are left out.
-    """
+
+def pivots_of(regions: DataFrame, parts: int, salt: int) -> DataFrame:
+    """The round's pivots: each region is dealt into ``parts`` parts, and the most central class
+    of each is a pivot."""
     part = F.pmod(F.xxhash64("class", F.lit(salt)), F.lit(parts))
-    pivots = (
+    return (
         regions.groupBy("region", part.alias("part"))
         .agg(F.max(F.struct("central", "class", "n", "place", "group")).alias("best"))
         .select(
@@ -314,6 +331,12 @@ def pivot_pairs(regions: DataFrame, parts: int, salt: int, percent: int) -> tupl
             F.col("best.group").alias("group_a"),
         )
     )
+
+
+def pivot_pairs(regions: DataFrame, pivots: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) of a pivot a and another class b with the number of regions in which they
+    met. Pairs whose sizes and places alone keep them apart, and pairs of one group, are left out.
+    """
     others = regions.select(
         "region",
         F.col("class").alias("b"),
@@ -324,14 +347,13 @@ def pivot_pairs(regions: DataFrame, parts: int, salt: int, percent: int) -> tupl
     # If this is the first shingle that two sets share, they share at most what is left of either.
     # Of the regions of two linked sets, that of the first shared shingle keeps them.
     left = F.least(F.col("n_a") - F.col("place_a"), F.col("n_b") - F.col("place_b"))
-    pairs = (
+    return (
         others.join(pivots, "region")
         .where(F.col("group_a") != F.col("group_b"))
         .where(100 * left >= percent * (F.col("n_a") + F.col("n_b") - left))
         .groupBy("a", "b", "n_a", "n_b")
         .agg(F.count(F.lit(1)).alias("met"))
     )
-    return pivots.select("region", "a"), pairs
 
 
 def within_window(pairs: DataFrame, cells: DataFrame, percent: int) -> DataFrame:
@@ -502,6 +524,8 @@ def nearest_of_groups(pairs: DataFrame) -> DataFrame:
 def class_groups(
     docs: DataFrame,
     signed: DataFrame,
+    cells: DataFrame,
+    regions: DataFrame,
     size: int,
     percent: int,
     first_pivots: int,
@@ -512,27 +536,23 @@ def class_groups(
 
     With ``all_links`` pairs inside a group are compared too, so the links are all there are, each
     given once with a < b. Without, they are enough of them to hold the groups together.
+    The stored ``regions`` are removed as the rounds go on.
     """
-    cells = (
-        signed.where(F.col("cells").isNotNull())
-        .groupBy("class")
-        .agg(F.min("cells").alias("cells"))
-    )
-    regions = store(regions_of(signed).withColumn("group", F.col("class")), "regions")
+    regions = gathered(regions)
     links, groups, sets, known, answered = None, None, None, None, None
     parts, number = first_pivots, 0
     while not regions.isEmpty():
-        pivots, pairs = pivot_pairs(regions, parts, number, percent)
-        pivots = store(pivots, "pivots")
+        pivots = gathered(store(pivots_of(regions, parts, number), "pivots"))
+        pairs = pivot_pairs(regions, pivots, percent)
         if answered is not None:
             pairs = pairs.join(answered, ["a", "b"], "left_anti")
-        waiting = store(pairs, "waiting")
+        waiting = gathered(store(pairs, "waiting"))
         # Each class meets the pivot of its cell first. Then two groups meet by one pair, for as long
         # as that joins groups. What is left are pairs of groups that seem apart: all are compared.
-        chosen = waiting if all_links else store(nearest_pivots(waiting), "chosen")
+        chosen = waiting if all_links else gathered(store(nearest_pivots(waiting), "chosen"))
         everyone = all_links
         while True:
-            possible = store(within_window(chosen, cells, percent), "possible")
+            possible = gathered(store(within_window(chosen, cells, percent), "possible"))
             found = None
             if not possible.isEmpty():
                 classes = (
@@ -542,12 +562,12 @@ def class_groups(
                 )
                 if known is not None:
                     classes = classes.join(known, "class", "left_anti")
-                classes = store(classes, "classes")
+                classes = gathered(store(classes, "classes"))
                 if not classes.isEmpty():
                     fresh = store(sets_of(docs, signed, classes, size), "sets")
                     sets = fresh if sets is None else sets.unionByName(fresh)
                     known = classes if known is None else known.unionByName(classes)
-                answers = store(linked(possible, sets, percent), "answers")
+                answers = gathered(store(linked(possible, sets, percent), "answers"))
                 met = answers.select("a", "b")
                 met = met.union(met.select(F.col("b").alias("a"), F.col("a").alias("b")))
                 answered = met if answered is None else answered.unionByName(met)
@@ -569,16 +589,18 @@ def class_groups(
                 left = left.withColumns({"group_a": F.col("a"), "group_b": F.col("b")})
             everyone = found is None or found.count() * LEAST_JOINED < chosen.count()
             before = waiting, chosen, possible
-            waiting = store(left, "waiting")
+            waiting = gathered(store(left, "waiting"))
             discard(*before)
             if waiting.isEmpty():
                 break
-            chosen = waiting if everyone else store(nearest_of_groups(waiting), "chosen")
+            chosen = (
+                waiting if everyone else gathered(store(nearest_of_groups(waiting), "chosen"))
+            )
         discard(waiting, chosen, possible)
         if everyone and links is not None and not all_links:
             groups = regrouped(links, groups)
         before = regions, pivots
-        regions = store(_remaining(regions, pivots, groups), "regions")
+        regions = gathered(store(_remaining(regions, pivots, groups), "regions"))
         discard(*before)
         parts, number = parts * 4, number + 1
     if all_links and links is not None:
@@ -589,8 +611,8 @@ def class_groups(
 
 
 def regrouped(links: DataFrame, groups: DataFrame | None) -> DataFrame:
-    """The groups by all links found so far, in place of earlier ones."""
-    found = components(links)
+    """The groups by all links found so far, made from earlier ones and in their place."""
+    found = components(links, groups)
     discard(groups)
     return found
 
@@ -632,9 +654,22 @@ def signed_groups(
     docs = documents.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     with shuffles_freed(documents.sparkSession):
         common_shingles = find_common(docs, size, common)
-        signed = store(sign(docs, common_shingles, size, percent), "signed")
-        groups, links = class_groups(docs, signed, size, percent, pivots, all_links)
-    return signed.select("doc_id", "n", "class", "check"), groups, links
+        windows = store(sign(docs, common_shingles, size, percent), "windows")
+        regions = stored_regions(windows)
+        cells = (
+            windows.where(F.col("cells").isNotNull())
+            .groupBy("class")
+            .agg(F.min("cells").alias("cells"))
+        )
+        cells = store(cells, "cells")
+        signed = store(windows.select("doc_id", "n", "class", "check"), "signed")
+        # The windows take more disk than all that is left of them.
+        discard(windows)
+        groups, links = class_groups(
+            docs, signed, cells, regions, size, percent, pivots, all_links
+        )
+        discard(cells)
+    return signed, groups, links
 
 
 def with_groups(classes: DataFrame, groups: DataFrame | None) -> DataFrame:

@@ -9,7 +9,7 @@ from __future__ import annotations
 import hashlib
 import tempfile
 import zipfile
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from contextlib import contextmanager
 from dataclasses import dataclass
 from pathlib import Path
@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql import Window
 
-from dripline.session import new_work_path, remove_work_path
+from dripline.session import new_work_path, remove_work_path, work_size
 
 CHUNK_BYTES = 1 << 18
 
@@ -71,6 +71,34 @@ def store(df: DataFrame, label: str) -> DataFrame:
     return stored_at(spark.read.schema(df.schema).parquet(path), path)
 
 
+def store_parts(parts: Iterable[DataFrame], label: str) -> DataFrame:
+    """Write several frames with equal columns into one table, one after the other.
+
+    With :func:`shuffles_freed` the disk holds the shuffle files of one part at a time.
+    """
+    path = None
+    for part in parts:
+        spark, schema = part.sparkSession, part.schema
+        path = path or new_work_path(spark, label)
+        part.write.mode("append").parquet(path)
+    return stored_at(spark.read.schema(schema).parquet(path), path)
+
+
+# Below this a table is one partition when adaptive execution merges its partitions.
+SMALL_BYTES = 1 << 20
+
+
+def gathered(stored: DataFrame) -> DataFrame:
+    """A stored table that one task reads if it is small.
+
+    Joins and aggregates of such tables need no shuffle. Larger tables are left as they are.
+    """
+    path = folder_of(stored)
+    if work_size(stored.sparkSession, path) > SMALL_BYTES:
+        return stored
+    return stored_at(stored.coalesce(1), path)
+
+
 _STORED_AT = "_dripline_stored_at"
 
 

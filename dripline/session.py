@@ -64,6 +64,13 @@ def remove_work_path(spark: SparkSession, path: str) -> None:
     place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
 
 
+def work_size(spark: SparkSession, path: str) -> int:
+    """Bytes of the files in a work folder."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = place.getFileSystem(spark._jsc.hadoopConfiguration())
+    return files.getContentSummary(place).getLength()
+
+
 def materialize(df: DataFrame) -> DataFrame:
     """Write an aggregate once to the shared folder, so several results can read it.
 

@@ -1,6 +1,7 @@
 import random
 import re
 from collections import Counter
+from pathlib import Path
 
 import pytest
 from hypothesis import given, strategies as st
@@ -9,6 +10,8 @@ from pyspark.sql import functions as F
 from dripline.llm import jaccard_join
 from dripline.llm.components import components
 from dripline.llm.jaccard_join import keep_one, least_shared, link_components, most_shared
+from dripline.llm.support import store
+from dripline.session import shared_dir
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -123,6 +126,41 @@ def test_components(spark):
     assert names[30] == 30 and {names[i] for i in range(100, 161)} == {100}
 
 
+def test_components_go_on_from_known_ones(spark):
+    edges = [(i, i + 1) for i in range(40)] + [(-9, -8), (50, 51), (51, -9)]
+    early = components(spark.createDataFrame(edges[:20] + edges[40:42], "a long, b long"))
+    every = spark.createDataFrame(edges, "a long, b long")
+    found = components(every, early)
+    # A graph as small as this is read by one task.
+    assert found.rdd.getNumPartitions() == 1
+    assert sorted(found.collect()) == sorted(components(every).collect())
+    assert dict(found.collect()) == {i: 0 for i in range(41)} | {i: -9 for i in (-9, -8, 50, 51)}
+
+
+def test_slices_hold_all_regions(spark, monkeypatch):
+    frame = spark.createDataFrame(list(enumerate(corpus(3))), "doc_id long, text string")
+    none = jaccard_join.CommonShingles(*(jaccard_join.np.zeros(0, x) for x in ("u8", "u1")))
+    windows = store(jaccard_join.sign(frame.repartition(3), none, 5, 75), "windows")
+    whole = sorted(jaccard_join.regions_of(windows).collect())
+    monkeypatch.setattr(jaccard_join, "SLICE_BYTES", 1000)
+    regions = jaccard_join.stored_regions(windows)
+    assert len(whole) > 100 and sorted(regions.drop("group").collect()) == whole
+    monkeypatch.setattr(jaccard_join, "MOST_SLICES", 1)
+    assert sorted(jaccard_join.stored_regions(windows).drop("group").collect()) == whole
+
+
+def test_windows_and_regions_leave_the_disk(spark):
+    frame = spark.createDataFrame(list(enumerate(corpus(5, 60))), "doc_id long, text string")
+    folder = Path(shared_dir(spark).removeprefix("file:")) / "dripline"
+    before = {x.name for x in folder.iterdir()} if folder.exists() else set()
+    link_components(frame.repartition(3)).collect()
+    left = [x for x in folder.iterdir() if x.name not in before]
+    labels = {x.name.rpartition("-")[0] for x in left}
+    assert "signed" in labels and not labels & {"windows", "regions", "cells"}
+    (signed,) = (x for x in left if x.name.startswith("signed-"))
+    assert spark.read.parquet(str(signed)).columns == ["doc_id", "n", "class", "check"]
+
+
 def test_odd_rows(odd_documents, no_documents):
     rows = link_components(odd_documents).collect()
     found = sorted(
