@@ -603,6 +603,7 @@ def class_groups(
         regions = gathered(store(_remaining(regions, pivots, groups), "regions"))
         discard(*before)
         parts, number = parts * 4, number + 1
+    discard(regions)
     if all_links and links is not None:
         ends = F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")
         links = store(links.select(*ends).dropDuplicates(), "links")
